@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -33,8 +34,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df):
-    """Reliable checkpoint: survives executor loss, truncates the plan."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint()
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a reused intermediate once to the shared folder and read it back.
+
+    The plan is truncated, the rows survive executor loss, and file sizes let the planner
+    pick join strategies for what follows.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/hypnolake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
