@@ -20,8 +20,11 @@ SPLIT_ABOVE = 200_000
 def histogram(df: DataFrame, group: Sequence[str], value: str, counts: dict[str, Column] | None = None) -> DataFrame:
     """Distinct (group, value) with additive counts; NULL and NaN values are left out."""
     counts = counts or {"n": F.lit(1)}
+    known = F.col(value).isNotNull()
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        known &= ~F.isnan(value)
     return (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+        df.where(known)
         .groupBy(*group, value)
         .agg(*[F.sum(e).cast("long").alias(n) for n, e in counts.items()])
     )

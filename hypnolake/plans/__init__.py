@@ -1,6 +1,6 @@
 """Registered queries over the supplied tables."""
 
 from .registry import ORACLES, QUERIES
-from . import scoring, sequences  # noqa: F401
+from . import cohorts, scoring, sequences  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

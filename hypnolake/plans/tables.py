@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.clock import clock_seconds
 from ..operators.ordered import Axis, ordinal, with_axis
 
 USER = ["user_id"]
@@ -31,12 +32,6 @@ def _mapped(values: dict[str, int]) -> Column:
     return reduce(lambda c, kv: c.when(F.col("event_type") == kv[0], kv[1]), rest, col)
 
 
-def clock_seconds(ts: str) -> Column:
-    """Seconds of a zone-less timestamp, independent of the session time zone."""
-    day = F.unix_date(F.to_date(ts)).cast("double") * 86400
-    return day + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-
-
 def props_k() -> Column:
     return F.regexp_extract("props", r"(\d+)", 1).cast("int")
 
