@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _beta_cf(a: float, b: float, x: float) -> float:
@@ -69,22 +70,22 @@ def _apply(fn, *series: pd.Series) -> pd.Series:
     return pd.Series([fn(*v) if good else None for good, *v in zip(ok, *series)], index=series[0].index, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return _apply(lambda v: math.erfc(abs(v) / math.sqrt(2)), z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_two_sided(t: pd.Series, dof: pd.Series) -> pd.Series:
     return _apply(lambda v, d: beta_inc(d / 2, 0.5, d / (d + v * v)), t, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_tail(x: pd.Series, dof: pd.Series) -> pd.Series:
     return _apply(lambda v, d: gamma_upper(d / 2, v / 2), x, dof)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     inv = NormalDist().inv_cdf
     return _apply(inv, p)
