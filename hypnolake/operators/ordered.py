@@ -213,7 +213,7 @@ def rising_edges(df: DataFrame, ax: Axis, on: Column, name: str = "n_events") ->
     return stepped.groupBy(*ax.keys).agg(F.sum(onset.cast("long")).alias(name), F.count(F.lit(1)).alias("n_samples"))
 
 
-def merge_gaps(run_rows: DataFrame, keys: Sequence[str], start: str, end: str, gap, min_len, max_len, within: Axis | None = None) -> DataFrame:
+def merge_gaps(run_rows: DataFrame, keys: Sequence[str], start: str, end: str, gap, min_len, max_len, within: Axis | None = None, aggs: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
     """Join active intervals whose gap is below ``gap``; keep lengths in [min_len, max_len].
 
     ``run_rows`` holds intervals [start, end) of one recording in time order.
@@ -223,7 +223,8 @@ def merge_gaps(run_rows: DataFrame, keys: Sequence[str], start: str, end: str, g
     opened = F.col(f"prev_{end}").isNull() | (F.col(start) - F.col(f"prev_{end}") >= gap)
     grouped = running_sum(stepped.withColumn("_open", opened.cast("long")), ax, {"_burst": F.col("_open")})
     merged = grouped.groupBy(*keys, "_burst").agg(
-        F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n_merged")
+        F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n_merged"),
+        *[_MERGE[fn](e).alias(n) for n, (fn, e) in (aggs or {}).items()],
     )
     length = F.col(end) - F.col(start)
     return merged.where((length >= min_len) & (length <= max_len)).drop("_burst")

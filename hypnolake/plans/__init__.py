@@ -1,6 +1,6 @@
 """Registered queries over the supplied tables."""
 
 from .registry import ORACLES, QUERIES
-from . import cohorts, inference, scoring, sequences  # noqa: F401
+from . import cohorts, inference, learning, scoring, sequences, signals  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
