@@ -114,12 +114,12 @@ def dfa(pools: DataFrame, ax: Axis, scales: Sequence[int], name: str, min_beats:
     """
     px = pool_axis(ax)
     keys = list(px.keys)
-    mean = pools.groupBy(*keys).agg(F.avg("rr_ms").alias("_mu"), F.count(F.lit(1)).alias("_N")).where(F.col("_N") >= min_beats)
+    mean = pools.groupBy(*keys).agg(F.avg("rr_ms").alias("_mu"), F.count(F.lit(1)).alias("_total")).where(F.col("_total") >= min_beats)
     x = pools.join(mean, keys).withColumn("_x", F.col("rr_ms") - F.col("_mu"))
-    y = ordinal(running_sum(x, px, {"_y": F.col("_x")}), px, "_i").select(*keys, "_y", "_i", "_N")
+    y = ordinal(running_sum(x, px, {"_y": F.col("_x")}), px, "_i").select(*keys, "_y", "_i", "_total")
     b = y.withColumn("_n", F.explode(F.array(*[F.lit(int(s)) for s in scales])))
     b = b.withColumn("_box", F.floor(F.col("_i") / F.col("_n"))).withColumn("_t", (F.col("_i") % F.col("_n")) - (F.col("_n") - 1) / 2.0)
-    b = b.where(F.col("_box") < F.floor(F.col("_N") / F.col("_n")))
+    b = b.where(F.col("_box") < F.floor(F.col("_total") / F.col("_n")))
     box = b.groupBy(*keys, "_n", "_box").agg(F.var_pop("_y").alias("_v"), F.sum(F.col("_t") * F.col("_y")).alias("_ty"))
     stt = F.col("_n") * (F.col("_n") * F.col("_n") - 1) / 12.0
     resid = F.greatest(F.col("_v") * F.col("_n") - F.col("_ty") * F.col("_ty") / stt, F.lit(0.0))

@@ -58,12 +58,12 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, key: str, vector: str
         return pd.Series(out)
 
     n_salts = F.element_at(F.create_map(*[F.lit(x) for kv in salts.items() for x in kv]), F.col("cell"))
-    left = ask.withColumn("cell", F.explode(visits(vector)))
+    left = ask.toDF("_qk", "_qv").withColumn("cell", F.explode(visits("_qv")))
     left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
     per = left.groupBy("cell").agg(F.count(F.lit(1)).alias("_q")).withColumn("_qs", F.greatest(F.ceil(F.col("_q") / (F.lit(block_rows) * n_salts)), F.lit(1)).cast("int")).select("cell", "_qs")
-    left = left.join(F.broadcast(per), "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("_qs"))).drop("_qs")  # one row per pivot
+    left = left.join(F.broadcast(per), "cell").withColumn("part", F.pmod(F.xxhash64("_qk"), F.col("_qs"))).drop("_qs")  # one row per pivot
     right = placed.drop("radius").withColumn("salt", F.pmod(F.xxhash64(key), n_salts).cast("int")).join(F.broadcast(per), "cell")
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_qs") - 1)).cast("long")).drop("_qs")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_qs").cast("long") - 1))).drop("_qs")
 
     key_t = train.schema[key].dataType.simpleString()
     out_schema = f"{key} {key_t}, neighbour {key_t}, distance double" + (f", {payload} {train.schema[payload].dataType.simpleString()}" if payload else "")
@@ -76,16 +76,17 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, key: str, vector: str
         tm, tk = _matrix(t[vector]), t[key].to_numpy()
         rows = []
         for a in range(0, len(q), 256):
-            d = _distances(_matrix(q[vector].iloc[a : a + 256]), tm)
+            d = _distances(_matrix(q["_qv"].iloc[a : a + 256]), tm)
             top = np.argsort(d, axis=1, kind="stable")[:, :want]
             n = top.shape[1]
-            part = {key: np.repeat(q[key].iloc[a : a + 256].to_numpy(), n), "neighbour": tk[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel()}
+            part = {key: np.repeat(q["_qk"].iloc[a : a + 256].to_numpy(), n), "neighbour": tk[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel()}
             if payload:
                 part[payload] = t[payload].to_numpy()[top].ravel()
             rows.append(pd.DataFrame(part))
         return pd.concat(rows)[names]
 
     g = ["cell", "salt", "part"]
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     local = left.groupBy(*g).cogroup(right.groupBy(*g)).applyInPandas(block, out_schema)
     if exclude_self:
         local = local.where(F.col(key) != F.col("neighbour"))

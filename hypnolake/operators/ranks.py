@@ -35,7 +35,7 @@ def cumulate(
     group: Sequence[str],
     value: str,
     counts: Sequence[str] = ("n",),
-    split_above: int = SPLIT_ABOVE,
+    split_above: int | None = None,
     bounded: bool = False,
 ) -> DataFrame:
     """Add ``cum_<c>`` (inclusive, ascending value) and ``tot_<c>`` per group.
@@ -44,6 +44,7 @@ def cumulate(
     """
     counts = list(counts)
     keys = list(group)
+    split_above = SPLIT_ABOVE if split_above is None else split_above
     if bounded:
         run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*keys)
