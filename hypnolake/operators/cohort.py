@@ -120,7 +120,7 @@ def even_subsample(df: DataFrame, keys: Sequence[str], order: str, k: int, withi
     j = pos.join(size, list(keys))
     i, n = F.col("_i"), F.col("_n")
     step = F.ceil(i * (k - 1) / F.greatest(n - 1, F.lit(1)))
-    hit = (n <= k) | (F.floor(step * (n - 1) / (k - 1)) == i)
+    hit = (n <= k) | (F.floor(step * (n - 1) / max(k - 1, 1)) == i)
     return j.where(hit).select(*df.columns)
 
 

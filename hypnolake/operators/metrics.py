@@ -92,7 +92,7 @@ def average_precision(df: DataFrame, group: Sequence[str], score: str, label: st
     cum = cumulate(hist, group, score, ("pos", "neg"), **kw)
     tp = F.col("tot_pos") - F.col("cum_pos") + F.col("pos")
     fp = F.col("tot_neg") - F.col("cum_neg") + F.col("neg")
-    return cum.groupBy(*group).agg((F.sum(F.col("pos") * tp / (tp + fp)) / F.max("tot_pos")).alias("auprc"))
+    return cum.groupBy(*group).agg((F.sum(F.col("pos") * tp / (tp + fp)) / F.nullifzero(F.max("tot_pos"))).alias("auprc"))
 
 
 def _wins(cum: DataFrame, group: Sequence[str], q: str, d: str) -> DataFrame:
@@ -456,11 +456,11 @@ def youden(df: DataFrame, group: Sequence[str] = (), score: str = "prob", label:
     group = list(group)
     hist = histogram(labelled(df, label), group, score, {"pos": (F.col(label) == 1).cast("int"), "neg": (F.col(label) == 0).cast("int")})
     cum = cumulate(hist, group, score, ("pos", "neg"))
-    tpr = (F.col("tot_pos") - F.col("cum_pos") + F.col("pos")) / F.col("tot_pos")
-    fpr = (F.col("tot_neg") - F.col("cum_neg") + F.col("neg")) / F.col("tot_neg")
+    tpr = (F.col("tot_pos") - F.col("cum_pos") + F.col("pos")) / F.nullifzero("tot_pos")
+    fpr = (F.col("tot_neg") - F.col("cum_neg") + F.col("neg")) / F.nullifzero("tot_neg")
     j = cum.withColumn("_j", F.round(tpr - fpr, 12)).withColumn("tpr", tpr).withColumn("fpr", fpr)
-    best = F.max_by(F.struct(score, "tpr", "fpr", "_j"), F.struct("_j", score))
-    return j.groupBy(*group).agg(best.alias("_b")).select(*group, F.col(f"_b.{score}").alias("threshold"), "_b.tpr", "_b.fpr", F.col("_b._j").alias("youden"))
+    best = F.max_by(F.struct(score, "tpr", "fpr", "_j"), F.when(F.col("_j").isNotNull(), F.struct("_j", score)))
+    return j.groupBy(*group).agg(best.alias("_b")).where("_b IS NOT NULL").select(*group, F.col(f"_b.{score}").alias("threshold"), "_b.tpr", "_b.fpr", F.col("_b._j").alias("youden"))
 
 
 def operating_sweep(df: DataFrame, thresholds: Sequence[float], score: str = "prob", label: str = "label") -> DataFrame:
@@ -477,4 +477,6 @@ def operating_sweep(df: DataFrame, thresholds: Sequence[float], score: str = "pr
     s = lambda c, hit: F.coalesce(F.sum(F.when(F.col("hit") == hit, F.col(c))), F.lit(0))
     return rows.groupBy("threshold").agg(
         s("pos", True).alias("tp"), s("neg", True).alias("fp"), s("pos", False).alias("fn"), s("neg", False).alias("tn")
-    ).withColumn("sensitivity", F.col("tp") / (F.col("tp") + F.col("fn"))).withColumn("specificity", F.col("tn") / (F.col("tn") + F.col("fp")))
+    ).withColumn("sensitivity", F.col("tp") / F.nullifzero(F.col("tp") + F.col("fn"))).withColumn(
+        "specificity", F.col("tn") / F.nullifzero(F.col("tn") + F.col("fp"))
+    )

@@ -44,6 +44,16 @@ def window_powers(epochs: DataFrame, keys: Sequence[str], win_s: float = 2.0, ep
     return ex.select(*keys, "stage", (F.col("epoch") * per + F.col("_i")).cast("long").alias("win"), "_p.*")
 
 
+def moving_median(df: DataFrame, keys: Sequence[str], at: str, value: str, out: str, half: int, block: int = 4096) -> DataFrame:
+    """Median of values within +-``half`` grid positions. Blocks carry a halo from their neighbours, so
+    a long recording splits into independent blocks."""
+    own = F.floor(F.col(at) / block)
+    near = F.array_distinct(F.array(own, F.floor((F.col(at) - half) / block), F.floor((F.col(at) + half) / block)))
+    rows = df.withColumn("_own", own).withColumn("_blk", F.explode(near))
+    w = Window.partitionBy(*keys, "_blk").orderBy(at).rangeBetween(-half, half)
+    return rows.withColumn(out, F.percentile(value, F.lit(0.5)).over(w)).where(F.col("_own") == F.col("_blk")).drop("_own", "_blk")
+
+
 def cap_phases(windows: DataFrame, ax: Axis, act: float = 0.75, base_windows: int = 51, max_windows: int = 30) -> DataFrame:
     """A-phases: NREM windows whose amplitude exceeds the moving background by ``act``; subtype by fast share."""
     keys = list(ax.keys)
@@ -51,9 +61,8 @@ def cap_phases(windows: DataFrame, ax: Axis, act: float = 0.75, base_windows: in
     w = windows.withColumn("_nrem", F.col("stage").isin(*NREM)).withColumn("_amp", amp)
     fill = quantiles(w.where("_nrem"), keys, "_amp", {"_fill": 0.5}, bounded=calm(ax))
     w = w.join(fill, keys).withColumn("_f", F.when(F.col("_nrem"), F.col("_amp")).otherwise(F.col("_fill")))
-    half = base_windows // 2
-    bg = F.percentile("_f", F.lit(0.5)).over(Window.partitionBy(*ax.part).orderBy("win").rowsBetween(-half, half))
-    w = w.withColumn("_bg", bg).withColumn("_bg", F.when(F.col("_bg") > 0, F.col("_bg")).otherwise(F.greatest("_fill", F.lit(1e-12))))
+    w = moving_median(w, keys, "win", "_f", "_bg", base_windows // 2)
+    w = w.withColumn("_bg", F.when(F.col("_bg") > 0, F.col("_bg")).otherwise(F.greatest("_fill", F.lit(1e-12))))
     w = w.withColumn("_a", (F.col("_nrem") & (F.col("_amp") / F.col("_bg") > 1 + act)).cast("int"))
     slow, fast = F.col("delta") + F.col("theta"), F.col("alpha") + F.col("sigma") + F.col("beta")
     found = runs(w.select(*ax.part, "win", "_a", slow.alias("_s"), fast.alias("_q")), ax, "_a", {"slow": ("sum", F.col("_s")), "fast": ("sum", F.col("_q"))})

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 HOT_ROWS = 2_000_000
 CHUNK = "_chunk"
 # A hot-key list longer than this is joined instead of broadcast.
@@ -82,9 +84,13 @@ def with_axis(
     return out, Axis(keys, order, True)
 
 
-def _co_partition(df: DataFrame, ax: Axis) -> DataFrame:
-    """One shared exchange for the row branch and the chunk-summary branch."""
-    return df.repartition(*ax.part) if ax.chunked else df
+def shared(df: DataFrame, ax: Axis) -> DataFrame:
+    """Input that several branches read (rows, and one summary per chunk).
+
+    With hot recordings it is written once: chained operators would otherwise recompute their
+    inputs once per branch, and branches multiply. Without hot recordings there is one branch.
+    """
+    return cut_lineage(df) if ax.chunked else df
 
 
 def shift(df: DataFrame, ax: Axis, cols: Sequence[str], prefix: str, back: bool = True) -> DataFrame:
@@ -92,20 +98,20 @@ def shift(df: DataFrame, ax: Axis, cols: Sequence[str], prefix: str, back: bool
     step = F.lag if back else F.lead
     packed = F.struct(*cols)
     if not ax.chunked:
-        out = df.withColumn("_s", step(packed).over(ax.window()))
+        out = df.withColumn("_sh", step(packed).over(ax.window()))
     else:
-        base = _co_partition(df, ax)
+        base = shared(df, ax)
         edge = F.max_by if back else F.min_by
-        borders = base.groupBy(*ax.part).agg(edge(F.struct(*df.columns), F.struct(*ax.order)).alias("_row"))
-        border = F.struct(*[F.col(f"_row.{c}").alias(c) for c in cols])
-        borders = borders.select(*ax.part, step(border).over(ax.chunk_window()).alias("_e"))
+        borders = base.groupBy(*ax.part).agg(edge(F.struct(*df.columns), F.struct(*ax.order)).alias("_sh_row"))
+        border = F.struct(*[F.col(f"_sh_row.{c}").alias(c) for c in cols])
+        borders = borders.select(*ax.part, step(border).over(ax.chunk_window()).alias("_sh_edge"))
         out = (
-            base.withColumn("_i", step(packed).over(ax.window()))
+            base.withColumn("_sh_in", step(packed).over(ax.window()))
             .join(borders, ax.part, "left")
-            .withColumn("_s", F.coalesce("_i", "_e"))
-            .drop("_i", "_e")
+            .withColumn("_sh", F.coalesce("_sh_in", "_sh_edge"))
+            .drop("_sh_in", "_sh_edge")
         )
-    return out.select("*", *[F.col(f"_s.{c}").alias(f"{prefix}{c}") for c in cols]).drop("_s")
+    return out.select("*", *[F.col(f"_sh.{c}").alias(f"{prefix}{c}") for c in cols]).drop("_sh")
 
 
 def running_sum(df: DataFrame, ax: Axis, cols: dict[str, Column]) -> DataFrame:
@@ -113,7 +119,7 @@ def running_sum(df: DataFrame, ax: Axis, cols: dict[str, Column]) -> DataFrame:
     w = ax.window().rowsBetween(Window.unboundedPreceding, 0)
     if not ax.chunked:
         return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in cols.items()])
-    base = _co_partition(df, ax)
+    base = shared(df, ax)
     before = ax.chunk_window().rowsBetween(Window.unboundedPreceding, -1)
     offsets = base.groupBy(*ax.part).agg(*[F.sum(e).alias(f"_o_{n}") for n, e in cols.items()])
     offsets = offsets.select(
@@ -147,39 +153,39 @@ def runs(
     """
     aggs = aggs or {}
     w = ax.window()
-    base = _co_partition(df, ax)
+    base = shared(df, ax)
     prev = F.lag(state).over(w)
     opened = (prev.isNull() | (prev != F.col(state))).cast("long")
-    marked = base.withColumn("_new", opened).withColumn(
-        "_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    marked = base.withColumn("_rn_new", opened).withColumn(
+        "_rn_run", F.sum("_rn_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
     )
     names = {"n": "sum", **{f"first_{c}": "min" for c in ax.order}, **{f"last_{c}": "max" for c in ax.order}}
     names |= {n: fn for n, (fn, _) in aggs.items()}
-    parts = marked.groupBy(*ax.part, "_run", state).agg(
+    parts = marked.groupBy(*ax.part, "_rn_run", state).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.min(c).alias(f"first_{c}") for c in ax.order],
         *[F.max(c).alias(f"last_{c}") for c in ax.order],
         *[_MERGE[fn](e).alias(n) for n, (fn, e) in aggs.items()],
     )
     if not ax.chunked:
-        return parts.select(*ax.keys, (F.col("_run") - 1).alias("run"), state, *names)
+        return parts.select(*ax.keys, (F.col("_rn_run") - 1).alias("run"), state, *names)
     cw = ax.chunk_window()
     chunks = parts.groupBy(*ax.part).agg(
-        F.min_by(F.struct(*parts.columns), "_run").getField(state).alias("_first"),
-        F.max_by(state, "_run").alias("_last"),
-        F.max("_run").alias("_k"),
+        F.min_by(F.struct(*parts.columns), "_rn_run").getField(state).alias("_rn_first"),
+        F.max_by(state, "_rn_run").alias("_rn_last"),
+        F.max("_rn_run").alias("_rn_k"),
     )
-    glued = F.coalesce((F.col("_first") == F.lag("_last").over(cw)).cast("long"), F.lit(0))
-    chunks = chunks.withColumn("_glued", glued).select(
+    glued = F.coalesce((F.col("_rn_first") == F.lag("_rn_last").over(cw)).cast("long"), F.lit(0))
+    chunks = chunks.withColumn("_rn_glued", glued).select(
         *ax.part,
         (
-            F.coalesce(F.sum(F.col("_k") - F.col("_glued")).over(cw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            - F.col("_glued")
-        ).alias("_off"),
+            F.coalesce(F.sum(F.col("_rn_k") - F.col("_rn_glued")).over(cw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            - F.col("_rn_glued")
+        ).alias("_rn_off"),
     )
     return (
         parts.join(chunks, ax.part)
-        .withColumn("run", F.col("_run") + F.col("_off") - 1)
+        .withColumn("run", F.col("_rn_run") + F.col("_rn_off") - 1)
         .groupBy(*ax.keys, "run", state)
         .agg(*[_MERGE[fn](n).alias(n) for n, fn in names.items()])
     )
@@ -190,19 +196,19 @@ def forward_fill(df: DataFrame, ax: Axis, col: str, out: str) -> DataFrame:
     w = ax.window().rowsBetween(Window.unboundedPreceding, 0)
     seen = F.last(col, ignorenulls=True)
     first = df.where(F.col(col).isNotNull()).groupBy(*ax.keys).agg(
-        F.min_by(col, F.struct(*ax.order)).alias("_head")
+        F.min_by(col, F.struct(*ax.order)).alias("_ff_head")
     )
     if not ax.chunked:
         # reversed frame gives the head without a second pass
         rest = ax.window().rowsBetween(0, Window.unboundedFollowing)
         return df.withColumn(out, F.coalesce(seen.over(w), F.first(col, ignorenulls=True).over(rest)))
-    base = _co_partition(df, ax)
+    base = shared(df, ax)
     order_if_valid = F.when(F.col(col).isNotNull(), F.struct(*ax.order))
-    tails = base.groupBy(*ax.part).agg(F.max_by(col, order_if_valid).alias("_tail"))
+    tails = base.groupBy(*ax.part).agg(F.max_by(col, order_if_valid).alias("_ff_tail"))
     before = ax.chunk_window().rowsBetween(Window.unboundedPreceding, -1)
-    tails = tails.select(*ax.part, F.last("_tail", ignorenulls=True).over(before).alias("_tail"))
-    filled = base.withColumn("_in", seen.over(w)).join(tails, ax.part, "left").join(first, list(ax.keys), "left")
-    return filled.withColumn(out, F.coalesce("_in", "_tail", "_head")).drop("_in", "_tail", "_head")
+    tails = tails.select(*ax.part, F.last("_ff_tail", ignorenulls=True).over(before).alias("_ff_tail"))
+    filled = base.withColumn("_ff_in", seen.over(w)).join(tails, ax.part, "left").join(first, list(ax.keys), "left")
+    return filled.withColumn(out, F.coalesce("_ff_in", "_ff_tail", "_ff_head")).drop("_ff_in", "_ff_tail", "_ff_head")
 
 
 def rising_edges(df: DataFrame, ax: Axis, on: Column, name: str = "n_events") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .describe import describe
-from .ordered import Axis, calm, forward_fill, shift
+from .ordered import Axis, calm, forward_fill, shared, shift
 from .ranks import quantiles
 
 
@@ -38,6 +38,7 @@ def summary(df: DataFrame, keys: Sequence[str], value: str = "spo2", fs: float =
 def block_baseline(df: DataFrame, ax: Axis, idx: str, value: str, out: str, window: int) -> DataFrame:
     """Medians of equal blocks of about ``window`` samples, linear between block centres."""
     keys = list(ax.keys)
+    df = shared(df, ax)
     size = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn(
         "_nb", F.greatest(F.floor(F.col("_n") / window), F.lit(1)).cast("long")
     )

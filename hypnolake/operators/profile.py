@@ -21,7 +21,7 @@ def numeric_summary(df: DataFrame, group: Sequence[str], value: str = "value") -
     out = total.join(d, group, "left") if group else total.join(F.broadcast(d))  # one row each
     valid = F.coalesce("n", F.lit(0))
     return out.select(
-        *group, "n_total", valid.alias("n_valid"), (100.0 * (F.col("n_total") - valid) / F.col("n_total")).alias("missing_pct"),
+        *group, "n_total", valid.alias("n_valid"), (100.0 * (F.col("n_total") - valid) / F.nullifzero("n_total")).alias("missing_pct"),
         "mean", "std", "min", *PERCENTILES, "max",
     )
 
@@ -98,7 +98,7 @@ def missingness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     agg = df.agg(F.count(F.lit(1)).alias("_n"), *[F.sum(blank(c)).alias(f"_m_{c}") for c in columns])
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_m_{c}").alias("n_missing")) for c in columns]))
     return agg.select("_n", cells.alias("_c")).select(
-        "_c.column", "_c.n_missing", F.col("_n").alias("n_rows"), (100.0 * F.col("_c.n_missing") / F.col("_n")).alias("missing_pct")
+        "_c.column", "_c.n_missing", F.col("_n").alias("n_rows"), (100.0 * F.col("_c.n_missing") / F.nullifzero("_n")).alias("missing_pct")
     )
 
 

@@ -128,7 +128,7 @@ def shape_summary(shapes: DataFrame, keys: Sequence[str]) -> DataFrame:
 def stage_dispersion(table: DataFrame, keys: Sequence[str], metric: str, **kw) -> DataFrame:
     """Per-stage spread of one epoch metric."""
     d = describe(table.where(F.col("stage") != 9), [*keys, "stage"], metric, {"p10": 0.1, "p50": 0.5, "p90": 0.9}, **kw)
-    return d.select(*keys, "stage", "n", "mean", sd_samp().alias("sd"), (sd_samp() / F.abs("mean")).alias("cv"), "p10", "p50", "p90")
+    return d.select(*keys, "stage", "n", "mean", sd_samp().alias("sd"), (sd_samp() / F.nullifzero(F.abs("mean"))).alias("cv"), "p10", "p50", "p90")
 
 
 # ------------------------------------------------------------------ spindles

@@ -270,9 +270,9 @@ def harrell_c_index(spark, sf):
 @query(
     "youden_threshold",
     COH + """, h AS (SELECT site, prob, sum(label) AS pos, count(*) - sum(label) AS neg FROM lab GROUP BY ALL),
-c AS (SELECT site, prob, sum(pos) OVER w / sum(pos) OVER (PARTITION BY site) AS tpr, sum(neg) OVER w / sum(neg) OVER (PARTITION BY site) AS fpr FROM h
+c AS (SELECT site, prob, sum(pos) OVER w / nullif(sum(pos) OVER (PARTITION BY site), 0) AS tpr, sum(neg) OVER w / nullif(sum(neg) OVER (PARTITION BY site), 0) AS fpr FROM h
   WINDOW w AS (PARTITION BY site ORDER BY prob DESC))
-SELECT site, prob AS threshold, tpr, fpr, tpr - fpr AS youden FROM c QUALIFY row_number() OVER (PARTITION BY site ORDER BY round(tpr - fpr, 12) DESC, prob DESC) = 1""",
+SELECT site, prob AS threshold, tpr, fpr, tpr - fpr AS youden FROM c WHERE tpr IS NOT NULL AND fpr IS NOT NULL QUALIFY row_number() OVER (PARTITION BY site ORDER BY round(tpr - fpr, 12) DESC, prob DESC) = 1""",
     dbl="threshold tpr fpr youden",
 )
 def youden_threshold(spark, sf):
