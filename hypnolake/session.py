@@ -25,13 +25,17 @@ def build_session(master: str | None = None, app: str = "hypnolake", **conf) ->
     return builder.getOrCreate()
 
 
+_fallback: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder the cluster names; a temporary one only where none is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = tempfile.mkdtemp(prefix="hypnolake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path.rstrip("/")
+    if not _fallback:
+        _fallback.append(tempfile.mkdtemp(prefix="hypnolake-ckpt-"))
+    return _fallback[0]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

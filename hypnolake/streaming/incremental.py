@@ -4,23 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..schemas import SIGNAL_CHUNKS
 from ..session import checkpoint_dir
 from ..sources.files import decode_chunks
 
 BINARY_FILE = "path STRING, modificationTime TIMESTAMP, length LONG, content BINARY"
 
 
-def ingest_new_files(spark: SparkSession, folder: str, out: str, pattern: str = "*.edf", name: str = "ingest"):
+def ingest_new_files(spark: SparkSession, folder: str, out: str, pattern: str = "*.edf", name: str = "ingest", checkpoint: str | None = None):
     """Process the files that arrived since the last run, then stop; the checkpoint is the resume list."""
     files = (
         spark.readStream.format("binaryFile").schema(BINARY_FILE).option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1000).load(folder)
     )
-    chunks = decode_chunks(files)
-    assert [c for c in chunks.columns] == [c.split()[0] for c in SIGNAL_CHUNKS.split(", ")]
     return (
-        chunks.writeStream.format("parquet").partitionBy("channel")
-        .option("checkpointLocation", f"{checkpoint_dir(spark)}/{name}").option("path", out)
+        decode_chunks(files).writeStream.format("parquet").partitionBy("channel")
+        .option("checkpointLocation", checkpoint or f"{checkpoint_dir(spark)}/{name}").option("path", out)
         .trigger(availableNow=True).start()
     )
