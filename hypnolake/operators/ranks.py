@@ -60,17 +60,11 @@ def cumulate(
     lane = F.pmod(F.xxhash64(value), F.lit(LANES))
     stats = (
         hist.groupBy(*keys, lane.alias("_lane"))
-        .agg(
-            F.min_by(value, F.xxhash64(value, F.lit(1))).alias("_cut"),
-            F.count(F.lit(1)).alias("_m"),
-            *[F.sum(c).alias(f"tot_{c}") for c in counts],
-        )
+        .agg(F.min_by(value, F.xxhash64(value, F.lit(1))).alias("_cut"), F.count(F.lit(1)).alias("_m"), _touch(counts))
         .groupBy(*keys)
-        .agg(
-            F.array_sort(F.collect_list("_cut")).alias("_cuts"),
-            F.sum("_m").alias("_m"),
-            *[F.sum(f"tot_{c}").alias(f"tot_{c}") for c in counts],
-        )
+        .agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"), F.sum("_m").alias("_m"), F.max("_touch").alias("_touch"))
+        .where("_touch IS NOT NULL")
+        .drop("_touch")
     )
     if single:
         stats = F.broadcast(stats)  # one row of at most LANES values
@@ -79,9 +73,13 @@ def cumulate(
     parts = parts.drop("_cuts", "_m").repartition(*keys, "_part")
     run = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     inner = parts.select("*", *[F.sum(c).over(run).alias(f"_w_{c}") for c in counts])
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_o_{c}") for c in counts]).select(
-        *keys, "_part", *[F.coalesce(F.sum(f"_o_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in counts]
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_o_{c}") for c in counts], _touch(hist.columns))
+    offsets = sums.where("_touch IS NOT NULL").select(  # at most LANES + 1 rows per group
+        *keys, "_part",
+        *[F.coalesce(F.sum(f"_o_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in counts],
+        *[F.sum(f"_o_{c}").over(whole).alias(f"tot_{c}") for c in counts],
     )
     out = inner.join(offsets, [*keys, "_part"])
     keep = [c for c in hist.columns if c != "_all"]
@@ -92,6 +90,12 @@ def cumulate(
     )
 
 
+def _touch(cols: Sequence[str]) -> Column:
+    """Reads all columns of a side branch, so that it shares its exchange with the main branch
+    instead of being pruned to a different one and computed again."""
+    return F.max(F.hash(*cols)).alias("_touch")
+
+
 def average_ranks(df: DataFrame, group: Sequence[str], value: str, **kw) -> DataFrame:
     """One row per distinct value: n ties, average rank (1-based), group size."""
     cum = cumulate(histogram(df, group, value), group, value, **kw)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import clock_seconds
 from ..operators.ordered import Axis, ordinal, with_axis
+from ..session import cut_lineage
 
 USER = ["user_id"]
 
@@ -108,7 +109,8 @@ def features_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n - without(",")).cast("double").alias("commas"),
         (n / words).alias("mean_word"),
     )
-    return cohort(spark, sf_dir).join(feats, "rec")
+    # whole texts are read once; every later pass works on the narrow feature table
+    return cut_lineage(cohort(spark, sf_dir).join(feats, "rec"))
 
 
 FEATURES_SQL = """
