@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -134,17 +134,22 @@ def coverage(tables: dict[str, DataFrame], keys: Sequence[str], site: str) -> Da
 
 
 def session_match(wanted: DataFrame, files: DataFrame, pid: str, session: str, file_session: str, file_name: str) -> DataFrame:
-    """Best file per wanted (pid, session): exact session, zero-padded session, else first by name."""
-    w = Window.partitionBy(pid, session).orderBy("_rank", file_name)
-    want, have = F.col(session), F.col(file_session)
-    rank = (
-        F.when(want == have, 0)
-        .when(F.ltrim(want, F.lit("0")) == F.ltrim(have, F.lit("0")), 1)
-        .otherwise(2)
+    """Best file per wanted (pid, session): exact session, zero-padded session, else first by name.
+
+    Files shrink to one candidate per session, per unpadded session and per patient first, so a
+    patient with very many files and sessions never forms a product.
+    """
+    bare = lambda c: F.ltrim(F.col(c), F.lit("0"))
+    first = F.min(F.struct(F.col(file_name), F.col(file_session)))
+    exact = files.groupBy(pid, F.col(file_session).alias(session)).agg(first.alias("_f0"))
+    padded = files.groupBy(pid, bare(file_session).alias("_bare")).agg(first.alias("_f1"))
+    any_file = files.groupBy(pid).agg(first.alias("_f2"))
+    j = wanted.withColumn("_bare", bare(session)).join(any_file, pid).join(exact, [pid, session], "left").join(padded, [pid, "_bare"], "left")
+    best = F.coalesce("_f0", "_f1", "_f2")
+    rank = F.when(F.col("_f0").isNotNull(), 0).when(F.col("_f1").isNotNull(), 1).otherwise(2)
+    return j.withColumn("_f", best).withColumn("match_rank", rank).select(
+        *wanted.columns, F.col(f"_f.{file_name}").alias(file_name), F.col(f"_f.{file_session}").alias(file_session), "match_rank"
     )
-    hits = wanted.join(files, pid).withColumn("_rank", rank)
-    best = hits.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    return best.withColumnRenamed("_rank", "match_rank")
 
 
 def anti_gaps(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -76,8 +76,8 @@ def reward(df: DataFrame, prev: DataFrame, group: Sequence[str] = (), age: str =
     """Mean prevalence reward. Clipping uses the group size; rows without age or prevalence do not count."""
     group = list(group)
     cells = labelled(df, label).groupBy(*group, age, label, pred).agg(F.count(F.lit(1)).alias("_c"))
-    size = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    cells = cells.withColumn("_m", F.sum("_c").over(size))  # few cells: ages x 4 per group
+    sizes = cells.groupBy(*group).agg(F.sum("_c").alias("_m"))
+    cells = cells.join(sizes, group) if group else cells.join(F.broadcast(sizes))  # one row
     j = cells.join(prev.select(age, "prevalence"), age)
     r = row_reward(F.col(label), F.col(pred), clipped(F.col("prevalence"), F.col("_m")))
     return j.groupBy(*group).agg(

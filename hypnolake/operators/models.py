@@ -27,7 +27,7 @@ from .ranks import auroc
 
 # Fixed settings of the boosted model: iterations, step, depth (31 leaves), rows per leaf.
 GBT = {"maxIter": 400, "stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 20, "seed": 42}
-LOGIT = {"maxIter": 200, "regParam": 0.0}
+LOGIT = {"maxIter": 100, "regParam": 0.0}
 
 
 def with_flags(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -178,22 +178,32 @@ def routed_prediction(df: DataFrame, router: tuple[PipelineModel, list[str]], mo
 def age_matched_pairs(df: DataFrame, vector: str, key: str = "rec", gap: float = 2, per_positive: int = 40, seed: int = 42) -> DataFrame:
     """Feature differences of positives against up to ``per_positive`` negatives within ``gap`` years.
 
-    Negatives near each positive age get a seeded order; a positive takes consecutive places from a
-    seeded start, so the sample is drawn by an equi-join on (age, place) and pairs are never listed.
+    Negatives sorted by (age, hash) get places; a positive's eligible negatives are one run of
+    places, read off the same cumulated axis. A seeded systematic sample of that run is fetched by
+    an equi-join on place, so pairs are never listed and ages may be continuous.
     """
-    from .cohort import permuted
-
-    pos = df.where("label = 1").select(key, "age", F.col(vector).alias("_x"))
-    neg = df.where("label = 0").select(F.col(key).alias("other"), F.col("age").alias("_na"), F.col(vector).alias("_y"))
-    ages = pos.select("age").distinct()
-    near = neg.select("_na").distinct().join(F.broadcast(ages), F.abs(F.col("_na") - F.col("age")) <= gap)  # distinct ages only
-    reach = neg.select("other", "_na").join(near, "_na").select("age", "other")
-    order = permuted(reach, ["age"], "other", seed)
-    size = order.groupBy("age").agg(F.max("n_stratum").alias("_n"))
+    from .ranks import cumulate
+
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    mark = lambda x, tie, h: F.struct(x.cast("double").alias("x"), F.lit(tie).alias("tie"), h.alias("h")).alias("_pos")
+    pos = df.where("label = 1").select(key, F.col("age").cast("double").alias("age"), F.col(vector).alias("_x"))
+    neg = df.where("label = 0 AND age IS NOT NULL").select(F.col(key).alias("other"), "age", F.col(vector).alias("_y"))
+    none_q, none_k = F.lit(None).cast("double").alias("_q"), F.lit(None).cast(df.schema[key].dataType).alias("other")
+    axis = neg.select(mark(F.col("age"), 0, hash_key(seed, F.col("other"))), none_q, "other", one.alias("n"))
+    ages = pos.where("age IS NOT NULL").select("age").distinct()
+    for tie, x in ((-1, F.col("age") - gap), (1, F.col("age") + gap)):
+        axis = axis.unionByName(ages.select(mark(x, tie, F.lit("")), F.col("age").alias("_q"), none_k, zero.alias("n")))
+    cum = cut_lineage(cumulate(axis, [], "_pos").select("_pos", "_q", "other", "cum_n"))
+    places = cum.where("other IS NOT NULL").select("other", F.col("cum_n").alias("place"))
+    tie = F.col("_pos.tie")
+    run = cum.where("_q IS NOT NULL").groupBy(F.col("_q").alias("age")).agg(
+        F.max(F.when(tie == -1, F.col("cum_n"))).alias("_lo"), F.max(F.when(tie == 1, F.col("cum_n"))).alias("_hi")
+    ).withColumn("_n", F.col("_hi") - F.col("_lo")).where("_n > 0")
+    k = F.least(F.col("_n"), F.lit(per_positive).cast("long"))
     start = F.floor(hash_fraction(f"{seed}s", F.col(key)) * F.col("_n"))
-    place = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_n"), F.lit(per_positive)) - 1))
-    want = pos.join(size, "age").withColumn("_s", start).withColumn("_j", place).withColumn("pos", (F.col("_s") + F.col("_j")) % F.col("_n") + 1)
-    j = want.join(order.select("age", "pos", "other"), ["age", "pos"]).join(neg.select("other", "_y"), "other")
+    want = pos.join(run, "age").withColumn("_s", start).withColumn("_k", k).withColumn("_j", F.explode(F.sequence(zero, k - 1)))
+    place = F.col("_lo") + 1 + (F.col("_s") + F.floor(F.col("_j") * F.col("_n") / F.col("_k"))) % F.col("_n")
+    j = want.withColumn("place", place).join(places, "place").join(neg.select("other", "_y"), "other")
     return j.select(key, "other", F.zip_with("_x", "_y", lambda a, b: a - b).alias("diff"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+UNROUNDED: dict[str, str] = {}  # oracle text before rounding, for composed reports
 
 
 def query(name: str, sql: str | None = None, dbl: str = "", nd: int = 9):
@@ -23,6 +24,7 @@ def query(name: str, sql: str | None = None, dbl: str = "", nd: int = 9):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
+            UNROUNDED[name] = sql
             fixed = ", ".join(f"round(CAST({c} AS DOUBLE), {nd}) + 0.0 AS {c}" for c in doubles)
             ORACLES[name] = f"SELECT * REPLACE ({fixed}) FROM (\n{sql}\n)" if doubles else sql
         return fn

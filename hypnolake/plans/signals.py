@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clean, hrv, micro, network, quality, spectral
+from ..operators import clean, events, hrv, micro, network, quality, report, spectral, staging
 from ..operators.ordered import Axis, with_axis
 from ..operators.signals import resample_epochs
-from .registry import query
+from .registry import UNROUNDED, query
+from .sequences import MACRO_DBL, MACRO_SQL
 from .tables import STREAM_SQL, USER, read, streams
 
 REC = ["rec"]
@@ -514,3 +515,41 @@ def stability_links(spark, sf):
     df, ax = streams(spark, sf)
     l = df.select("user_id", F.col("epoch").alias("win"), "stage", (F.col("k") % 4).alias("tau"), F.lit("HR").alias("i"), F.lit("RESP").alias("j"))
     return network.tds_links(l, USER, within=ax)
+
+
+_MACRO = MACRO_DBL.split()
+RESP_ORACLE, HRV_CONTRAST_SQL = UNROUNDED["respiratory_summary"], UNROUNDED["hrv_contrasts"]
+_HC = ["rem_nrem_rmssd_ratio", "rem_nrem_hr_delta", "wake_sleep_hr_delta", "n3_wake_rmssd_ratio", "stage_hr_range", "stage_rmssd_cv"]
+_RS = ["ahi", "rdi", "event_dur_mean_s", "event_dur_max_s"]
+
+
+@query(
+    "clinical_report",
+    "SELECT m.user_id, n_epochs AS staging__n_epochs, " + ", ".join(f"m.{c} AS staging__{c}" for c in _MACRO) + ", " + ", ".join(f"r.{c} AS respiratory__{c}" for c in _RS)
+    + ", " + ", ".join(f"h.{c} AS hrv__{c}" for c in _HC) + f" FROM ({MACRO_SQL}) m LEFT JOIN ({RESP_ORACLE}) r USING (user_id) LEFT JOIN ({HRV_CONTRAST_SQL}) h USING (user_id)",
+    dbl=" ".join([f"staging__{c}" for c in _MACRO] + [f"respiratory__{c}" for c in _RS] + [f"hrv__{c}" for c in _HC]),
+    nd=8,
+)
+def clinical_report(spark, sf):
+    df, ax = streams(spark, sf)
+    rr, rx = _rr(spark, sf)
+    hours = df.groupBy("user_id").agg((F.count(F.lit(1)) / 3600.0).alias("hours"))
+    resp = events.respiratory_summary(events.intervals(df, ax, "code", [1, 2, 4, 5]), hours, USER, within=ax).select("user_id", *_RS)
+    heart = hrv.contrasts(hrv.time_domain(hrv.pooled(rr), rx, min_beats=8, bounded=not ax.chunked), USER)
+    sections = {"staging": staging.macro_architecture(df, ax), "respiratory": resp, "hrv": heart}
+    return report.assemble(hours, sections, USER)
+
+
+@query(
+    "stage_patches",
+    f"""WITH {STREAM_SQL}, r AS (SELECT user_id, stage, epoch, value, sum(c) OVER (PARTITION BY user_id ORDER BY epoch) AS patch FROM
+  (SELECT *, CASE WHEN lag(stage) OVER (PARTITION BY user_id ORDER BY epoch) = stage THEN 0 ELSE 1 END AS c FROM streams))
+SELECT user_id, stage, CAST(patch AS BIGINT) AS patch, CAST(count(*) AS INT) AS n, sum(value) AS total FROM r GROUP BY ALL HAVING count(*) > 1""",
+    dbl="total",
+)
+def stage_patches(spark, sf):
+    df, ax = streams(spark, sf)
+    sec = df.select("user_id", F.col("epoch").alias("sec"), "stage", F.lit("HR").alias("node"), "value")
+    p = network.stage_patches(sec, USER, min_len=1, within=ax)
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return p.select("user_id", "stage", "patch", F.size("values").alias("n"), total.alias("total"))

@@ -140,5 +140,7 @@ def test_calibrated_probability_is_bounded_and_ranker_orders(spark):
 
     assert auroc(r.transform(df), [], "prob", "label").head().auroc > 0.85
     pairs = models.age_matched_pairs(df.select("rec", "age", "label", F.array("f").alias("v")), "v", per_positive=10)
+    gaps = pairs.join(df.select("rec", F.col("age").alias("a")), "rec").join(df.select(F.col("rec").alias("other"), F.col("age").alias("b")), "other")
+    assert gaps.where("abs(a - b) > 2").count() == 0
     n = pairs.groupBy("rec").count().agg(F.max("count")).head()[0]
     assert n <= 10 and pairs.count() == pairs.select("rec", "other").distinct().count()

@@ -179,3 +179,25 @@ def test_rms_is_about_the_recording_mean(spark):
     got = np.array([r.rms for r in micro.rms_windows(df, ["rec"]).orderBy("win").collect()])
     y = x.astype("float32").astype(float)
     assert got == pytest.approx(np.sqrt(((y - y.mean()) ** 2).reshape(-1, 64).mean(axis=1)), rel=1e-6)
+
+
+def test_event_rates_and_arousal_overlap(spark, mode):
+    beats = spark.createDataFrame([("r", 0.4 + 1.2 * i, 2) for i in range(10)], "rec string, t double, stage int")
+    df, ax = with_axis(beats, ["rec"], ("t",))
+    rate = network.event_seconds(df, ax, "HR").collect()
+    assert {round(r.value, 6) for r in rate} == {50.0} and sorted(r.sec for r in rate) == list(range(1, 12))
+    ph = spark.createDataFrame([("r", 2, 5, 1), ("r", 20, 22, 2)], "rec string, start_win int, end_win int, subtype int")
+    ar = spark.createDataFrame([("r", 9.5, 11.0)], "rec string, start_s double, end_s double")
+    got = {r.start_win: r.subtype for r in micro.arousal_overlap(ph, ar, ["rec"]).collect()}
+    assert got == {2: 1, 20: 2}
+    hit = micro.arousal_overlap(ph, ar.selectExpr("rec", "start_s - 3 AS start_s", "end_s"), ["rec"])
+    assert {r.start_win: r.subtype for r in hit.collect()} == {2: 3, 20: 2}
+
+
+def test_report_rejects_duplicate_keys(spark):
+    from hypnolake.operators.joins import DuplicateKeys
+    from hypnolake.operators.report import assemble
+
+    base = spark.createDataFrame([("a",)], "rec string")
+    with pytest.raises(DuplicateKeys):
+        assemble(base, {"hrv": spark.createDataFrame([("a", 1.0), ("a", 2.0)], "rec string, v double")}, ["rec"])
