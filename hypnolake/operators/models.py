@@ -30,6 +30,11 @@ GBT = {"maxIter": 400, "stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 2
 LOGIT = {"maxIter": 100, "regParam": 0.0}
 
 
+def training_table(df: DataFrame) -> DataFrame:
+    """Written once, in evenly sized files: iterative fits scan it many times."""
+    return cut_lineage(df.hint("rebalance"))
+
+
 def with_flags(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """NaN to NULL, and one missing-indicator per feature (trees here have no native missing branch)."""
     clean = {f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features}
@@ -106,7 +111,7 @@ def fit_classifier(train: DataFrame, features: Sequence[str], kind: str = "gbt",
         return Classifier(features, [(pipe.fit(data), None)])
     k = min(folds, rare)
     fold = stratified_folds(train, key, ["label"], k)
-    data = cut_lineage(data.join(fold.select(key, "fold"), key))
+    data = training_table(data.join(fold.select(key, "fold"), key))
     parts = []
     for f in range(k):
         base = pipe.fit(data.where(F.col("fold") != f))
@@ -139,7 +144,7 @@ def site_sizes(df: DataFrame, site: str = "site") -> dict[str, tuple[int, int]]:
 
 
 def fit_site_models(train: DataFrame, features: Sequence[str], site: str = "site", min_n: int = 40, override: Sequence[str] = (), **kw) -> SiteModels:
-    train = cut_lineage(train)
+    train = training_table(train)
     overall = fit_classifier(train, features, **kw)
     big = [s for s, (n, p) in sorted(site_sizes(train, site).items()) if n >= min_n and 0 < p < n]
     experts = {s: fit_classifier(train.where(F.col(site) == s), features, **kw) for s in big}
@@ -193,7 +198,7 @@ def age_matched_pairs(df: DataFrame, vector: str, key: str = "rec", gap: float =
     ages = pos.where("age IS NOT NULL").select("age").distinct()
     for tie, x in ((-1, F.col("age") - gap), (1, F.col("age") + gap)):
         axis = axis.unionByName(ages.select(mark(x, tie, F.lit("")), F.col("age").alias("_q"), none_k, zero.alias("n")))
-    cum = cut_lineage(cumulate(axis, [], "_pos").select("_pos", "_q", "other", "cum_n"))
+    cum = training_table(cumulate(axis, [], "_pos").select("_pos", "_q", "other", "cum_n"))
     places = cum.where("other IS NOT NULL").select("other", F.col("cum_n").alias("place"))
     tie = F.col("_pos.tie")
     run = cum.where("_q IS NOT NULL").groupBy(F.col("_q").alias("age")).agg(
@@ -226,7 +231,7 @@ def fit_pairwise(train: DataFrame, features: Sequence[str], gap: float = 2, per_
     """Logistic on +-differences without intercept, then a logistic scale of the training scores."""
     features = list(features)
     prep = Pipeline(stages=preparation(features, True)).fit(with_flags(train, features))
-    z = cut_lineage(prep.transform(with_flags(train, features)).select(key, "age", "label", vector_to_array("_z").alias("v")))
+    z = training_table(prep.transform(with_flags(train, features)).select(key, "age", "label", vector_to_array("_z").alias("v")))
     d = age_matched_pairs(z, "v", key, gap, per_positive)
     both = d.select("diff", F.lit(1.0).alias("label")).unionByName(d.select(F.transform("diff", lambda x: -x).alias("diff"), F.lit(0.0).alias("label")))
     rk = LogisticRegression(featuresCol="_d", labelCol="label", fitIntercept=False, maxIter=200, regParam=reg).fit(both.select(array_to_vector("diff").alias("_d"), "label"))
@@ -250,7 +255,7 @@ def train_job(table: DataFrame, features: Sequence[str], bmi: str | None = None,
     from .harmonize import impute, site_median_imputer
 
     rows = m.labelled(table)
-    imp = cut_lineage(site_median_imputer(rows, bmi)) if bmi else None
+    imp = training_table(site_median_imputer(rows, bmi)) if bmi else None
     filled = impute(rows, imp, bmi) if bmi else rows
     models = fit_site_models(filled, features, **kw)
     return Trained(models, imp, m.fit_reward_thresholds(models.transform(filled)), list(features))
@@ -266,7 +271,7 @@ def score_job(table: DataFrame, trained: Trained, bmi: str | None = None) -> Dat
 
 def loso(table: DataFrame, features: Sequence[str], site: str = "site", fit=fit_classifier, **kw) -> DataFrame:
     """Out-of-fold rows: every site scored by a model of the other sites (single-class train folds are skipped)."""
-    rows = cut_lineage(m.labelled(table))
+    rows = training_table(m.labelled(table))
     sizes = site_sizes(rows, site)
     n_all, p_all = sum(n for n, _ in sizes.values()), sum(p for _, p in sizes.values())
     parts = []
@@ -277,7 +282,7 @@ def loso(table: DataFrame, features: Sequence[str], site: str = "site", fit=fit_
         rate = (p_all - p) / (n_all - n)
         scored = model.transform(rows.where(F.col(site) == s))
         parts.append(scored.withColumn("pred", (F.col("prob") > rate).cast("int")))
-    return cut_lineage(reduce(DataFrame.unionByName, parts))
+    return training_table(reduce(DataFrame.unionByName, parts))
 
 
 def fold_metrics(oof: DataFrame, reference: DataFrame, site: str = "site") -> DataFrame:
@@ -291,7 +296,7 @@ def train_val_test(table: DataFrame, features: Sequence[str], key: str = "rec",
     """Fit on train, thresholds on validation, metrics on test with prevalence from train."""
     from .cohort import split_train_val_test
 
-    rows = cut_lineage(split_train_val_test(m.labelled(table), key, seed=seed))
+    rows = training_table(split_train_val_test(m.labelled(table), key, seed=seed))
     part = lambda s: rows.where(F.col("split") == s)
     model = fit_classifier(part("train"), features, key=key, **kw)
     thr = m.fit_reward_thresholds(model.transform(part("val")))
@@ -300,8 +305,8 @@ def train_val_test(table: DataFrame, features: Sequence[str], key: str = "rec",
 
 def repeated_oof(table: DataFrame, features: Sequence[str], key: str = "rec", k: int = 5, repeats: int = 10, seed: int = 0, **kw) -> DataFrame:
     """Mean out-of-fold probability per recording over repeated stratified k-fold."""
-    rows = cut_lineage(m.labelled(table))
-    folds = cut_lineage(stratified_folds(rows, key, ["label"], k, repeats, seed))
+    rows = training_table(m.labelled(table))
+    folds = training_table(stratified_folds(rows, key, ["label"], k, repeats, seed))
     parts = []
     for r in range(repeats):
         data = rows.join(folds.where(F.col("repeat") == r), key)
@@ -317,7 +322,7 @@ def compare_arms(table: DataFrame, arms: dict[str, Sequence[str]], key: str = "r
 
     (a, fa), (b, fb) = arms.items()
     left = loso(table, fa, key=key, **kw).select(key, "label", F.col("prob").alias(a))
-    both = cut_lineage(left.join(loso(table, fb, key=key, **kw).select(key, F.col("prob").alias(b)), key))
+    both = training_table(left.join(loso(table, fb, key=key, **kw).select(key, F.col("prob").alias(b)), key))
     boot = bootstrap_auroc(both, key, [a, b], "label", replicates, seed)
     wide = boot.groupBy("rep").agg(*[F.max(F.when(F.col("score") == s, F.col("auroc"))).alias(s) for s in (a, b)])
     return paired_delta(wide, a, b).select(F.lit(a).alias("base"), F.lit(b).alias("arm"), "*")
@@ -325,7 +330,7 @@ def compare_arms(table: DataFrame, arms: dict[str, Sequence[str]], key: str = "r
 
 def score_excluded(table: DataFrame, trained, group: str) -> tuple[DataFrame, DataFrame]:
     """Risk of rows kept out of training: mean per group, and AUROC between each two groups."""
-    scored = cut_lineage(trained.transform(table).select(group, "prob"))
+    scored = training_table(trained.transform(table).select(group, "prob"))
     means = scored.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("prob").alias("mean_risk"))
     names = sorted(r[group] for r in means.select(group).collect())  # one row per group
     pairs = F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for i, a in enumerate(names) for b in names[i + 1 :]])
@@ -344,7 +349,7 @@ def calibration_line(df: DataFrame, score: str = "prob", label: str = "label") -
 
 def learning_curve(table: DataFrame, features: Sequence[str], fractions: Sequence[float], seeds: Sequence[int], key: str = "rec", **kw) -> DataFrame:
     """Leave-one-site-out AUROC by share of positives kept, mean and SD over seeds."""
-    rows = cut_lineage(m.labelled(table))
+    rows = training_table(m.labelled(table))
     parts = []
     for fr in fractions:
         for sd in seeds:
@@ -369,7 +374,7 @@ def pca_block(df: DataFrame, vector: str, k: int, train: Column | None = None) -
 def importances(table: DataFrame, features: Sequence[str], seed: int = 42, **params) -> DataFrame:
     """(method, feature, importance): forest impurity, permutation drop of AUROC, ANOVA F by selection order."""
     features = list(features)
-    rows = cut_lineage(with_flags(m.labelled(table), features))
+    rows = training_table(with_flags(m.labelled(table), features))
     pipe = base_pipeline("forest", features, None, **{"numTrees": 20, **params}).fit(rows)
     raw = pipe.stages[-1].featureImportances.toArray()
     out = [("forest", f, float(raw[i])) for i, f in enumerate(features)]

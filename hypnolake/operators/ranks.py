@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANES = 256
+STRIDE = 16
 SPLIT_ABOVE = 200_000
 
 
@@ -68,9 +69,18 @@ def cumulate(
     )
     if single:
         stats = F.broadcast(stats)  # one row of at most LANES values
-    below = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
-    parts = hist.join(stats, keys).withColumn("_part", F.when(F.col("_m") > split_above, below).otherwise(F.lit(0)))
-    parts = parts.drop("_cuts", "_m").repartition(*keys, "_part")
+    # two-level search in the sorted cuts: every STRIDE-th first, then inside one stride
+    upto = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col(value)))
+    large = F.col("_m") > split_above
+    at = (F.col("_step") - 1) * STRIDE
+    fine = at + upto(F.slice("_cuts", at + 1, F.lit(STRIDE)))
+    parts = (
+        hist.join(stats.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % STRIDE == 0)), keys)
+        .withColumn("_step", F.when(large, upto("_coarse")).otherwise(F.lit(0)))
+        .withColumn("_part", F.when(F.col("_step") > 0, fine).otherwise(F.lit(0)))
+        .drop("_cuts", "_coarse", "_m", "_step")
+        .repartition(*keys, "_part")
+    )
     run = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     inner = parts.select("*", *[F.sum(c).over(run).alias(f"_w_{c}") for c in counts])
     whole = Window.partitionBy(*keys)
