@@ -157,7 +157,7 @@ class Codec:
         vocab, end = model["vocab"], self.automaton.suffix
         self.inner = {c: vocab[c] for c in shown}
         self.last = {c: vocab[c + end] for c in shown}
-        self.shown = shown
+        self.byte_of = dict(enumerate(shown[:128]))
         self.labels = [s.encode() for s in self.automaton.label]
         self.labels += [b""] * (max([*self.special.values(), 0]) + 1 - len(self.labels))
         for s, i in self.special.items():
@@ -166,7 +166,7 @@ class Codec:
 
     def _presplit(self, chunk: str) -> list[str]:
         if chunk.isascii():
-            return self.ascii_rule.findall(chunk.lower())
+            return [w.translate(self.byte_of) for w in self.ascii_rule.findall(chunk.lower())]
         return [w for w, _ in self.pre(self.normal(chunk))]
 
     def _word(self, raw: bytes) -> tuple[bytes, bytes]:
