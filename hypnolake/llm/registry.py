@@ -1,6 +1,6 @@
 """The corpus operators' queries and oracle texts."""
 
-from . import bpe, chat, hosts, packing, simhash  # noqa: F401
+from . import bpe, chat, hosts, packing, simhash, toxicity  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
