@@ -51,16 +51,17 @@ class Automaton:
         self.left, self.right, self.born = [-1] * size, [-1] * size, [-1] * size
         self.lost: dict[int, int] = {}
         symbols: list[tuple[int, ...]] = [(i,) for i in range(size)]
-        for k, pair in enumerate(merges):
-            a, b = pair if isinstance(pair, (list, tuple)) else pair.split(" ")
+        pairs = [pair if isinstance(pair, (list, tuple)) else pair.split(" ") for pair in merges]
+        merged = {vocab[a + b] for a, b in pairs}
+        for k, (a, b) in enumerate(pairs):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            if self.born[z] < 0 and (x * size + y) not in self.lost:
+            known = all(t not in merged or self.born[t] >= 0 for t in (x, y))
+            if known and self.born[z] < 0 and self.arc(x, y):  # else no text ever brings the two together, and no state has the arc
                 self._gadget(k, x, y, z)
                 symbols[z] = symbols[x] + symbols[y]
         self.length = [len(s) for s in symbols]
-        self._gotos(symbols)
+        self._gotos([s if t not in merged or self.born[t] >= 0 else () for t, s in enumerate(symbols)])
         self.arcs = Memo(lambda key: self.arc(*divmod(key, size)), MEMO_ARCS)
-        self.first = [self.born[t] < 0 or self.arc(self.left[t], self.right[t], self.born[t]) for t in range(size)]
 
     def _gadget(self, k: int, a: int, b: int, c: int) -> None:
         """Merge k: a's state loses arc b, and arc c appears wherever arc a was."""
@@ -92,7 +93,8 @@ class Automaton:
                     nxt = self.goto[key] = len(token_at)
                     token_at.append(-1)
                 node = nxt
-            token_at[node] = t
+            if spelled:
+                token_at[node] = t
         self.token_at = token_at
         self.shorter = [-1] * len(symbols)
         for t, spelled in enumerate(symbols):
@@ -119,7 +121,7 @@ class Automaton:
         i, n, t = 0, len(spelled), self._longest(spelled, 0)
         while i < n:
             while t >= 0:
-                if i + self.length[t] not in dead and (self.arcs[out[-1] * self.size + t] if out else self.first[t]):
+                if i + self.length[t] not in dead and (not out or self.arcs[out[-1] * self.size + t]):
                     break
                 t = self.shorter[t]
             if t >= 0:
