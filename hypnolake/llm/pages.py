@@ -3,7 +3,7 @@
 Every page becomes tokens: opening tags under their path, and text nodes under theirs. The occurrence vector of a token says how often it stands
 on each of its host's distinct pages; it is kept as a 64-bit sum of hashes of (page, count), so vectors of any length are compared by one
 number and summed by Spark. Tokens of a host with the same vector form an equivalence class. A class is valid if it has at least
-two tokens and stands on at least half of the pages; nested by path under valid parents, the valid classes are the host's template.
+two tokens (an element is two, its start and its end) and stands on at least half of the pages; nested by path under valid parents, the valid classes are the host's template.
 
 What the template leaves open are slots. Slots inside ``article`` or ``main`` are the text. On a page without either, they are those of the
 deepest template element that holds most of the host's text, without the template's own texts and without blocks that are mostly links. Elements
@@ -254,7 +254,7 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     seen = cut_lineage(seen.filter("support > 1"))
     sizes = seen.filter("kind = 'tag'").groupBy("host").agg(F.max("support").alias("pages"))  # the outermost element stands on all of them
     frequent = seen.join(sizes, "host").filter(F.col("support") >= MIN_SHARE * F.col("pages"))
-    classes = frequent.groupBy("host", "vector").agg(F.count("*").alias("size")).select(F.col("host").alias("host_"), F.col("vector").alias("vector_"), "size")
+    classes = frequent.groupBy("host", "vector").agg(F.sum(F.when(F.col("kind") == "tag", 2).otherwise(1)).alias("size")).select(F.col("host").alias("host_"), F.col("vector").alias("vector_"), "size")
     marked = frequent.join(classes, (F.col("host") == F.col("host_")) & (F.col("vector") == F.col("vector_")))
     entry = F.struct("kind", "path", "token", "chars", (F.col("size") >= MIN_TOKENS).alias("valid"))
     return marked.groupBy("host").agg(F.collect_list(entry).alias("tokens"))
