@@ -47,6 +47,7 @@ BLOCK = set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = set("nav footer aside form head menu dialog button".split())
+HOLDERS = set("html body div section main article td center".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MARKS = set(
     "nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget notice notices cookie cookies consent gdpr banner alert ad ads "
@@ -204,7 +205,7 @@ def nest(tokens: list[dict]) -> Template:
             valid.add(path)
     texts = frozenset(t["token"] for t in tokens if t["kind"] == "text" and t["valid"] and t["path"] in valid)
     total = max((t["chars"] for p, t in tags.items() if p.count("/") == 1), default=0)
-    holders = [p for p in valid - {""} if total and tags[p]["chars"] >= MAIN_SHARE * total]
+    holders = [p for p in valid - {""} if total and tags[p]["chars"] >= MAIN_SHARE * total and re.match(r"\w+", p.rpartition("/")[2])[0] in HOLDERS]
     return Template(texts, max(holders, key=lambda p: (p.count("/"), p), default=""))
 
 
