@@ -72,25 +72,41 @@ def _minimise(fun, x: np.ndarray, rounds: int = 400, tol: float = 1e-6) -> np.nd
     return x
 
 
-def fit_cumulative_link(x: np.ndarray, y: np.ndarray, grades: int = GRADES, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """Rows, columns and values of a matrix of few values."""
+
+    rows: np.ndarray
+    cols: np.ndarray
+    values: np.ndarray
+    shape: tuple[int, int]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=self.values * w[self.cols], minlength=self.shape[0])
+
+    def turned_times(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.cols, weights=self.values * g[self.rows], minlength=self.shape[1])
+
+
+def fit_cumulative_link(x: Sparse, y: np.ndarray, grades: int = GRADES, ridge: float = RIDGE) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds that maximise the cumulative-link likelihood less a ridge penalty on the weights."""
     n, d = x.shape
     above = np.array([np.clip((y > k).mean(), 1e-3, 1 - 1e-3) for k in range(grades - 1)])
     start = np.concatenate([np.zeros(d), np.maximum.accumulate(-np.log(above / (1 - above)) + 1e-3 * np.arange(grades - 1))])
-    rows, low, high = np.arange(n), y - 1, y
+    rows = np.arange(n)
 
     def fun(p):
-        eta, theta = x @ p[:d], p[d:]
+        eta, theta = x.times(p[:d]), p[d:]
         if (np.diff(theta) <= 0).any():
             return np.inf, p
         cum = np.ones((n, grades + 1))
         cum[:, 0] = 0.0
         cum[:, 1:grades] = 1 / (1 + np.exp(np.clip(eta[:, None] - theta[None, :], -500, 500)))
-        upper, lower = cum[rows, high + 1], cum[rows, low + 1]
+        upper, lower = cum[rows, y + 1], cum[rows, y]
         mass = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / mass, lower * (1 - lower) / mass
-        grad_theta = np.array([dl[low == k].sum() - du[high == k].sum() for k in range(grades - 1)])
-        grad = np.concatenate([x.T @ (du - dl) + ridge * p[:d], grad_theta])
+        grad_theta = np.array([dl[y == k + 1].sum() - du[y == k].sum() for k in range(grades - 1)])
+        grad = np.concatenate([x.turned_times(du - dl) + ridge * p[:d], grad_theta])
         return (-np.log(mass).sum() + 0.5 * ridge * float(p[:d] @ p[:d])) / n, grad / n
 
     best = _minimise(fun, start)
@@ -158,15 +174,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
 
     rows = texts.select("toxic", "text").mapInArrow(vectors, "toxic int, at array<int>, n array<int>, size long").collect()
     rows.sort(key=lambda r: (r.toxic, r.size, r.at, r.n))
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r.at] = np.log1p(r.n)
+    found = [len(r.at) for r in rows]
+    x = Sparse(
+        np.repeat(np.arange(len(rows)), found), np.array([c for r in rows for c in r.at], np.int64),
+        np.log1p(np.array([n for r in rows for n in r.n], float)), (len(rows), len(chosen)),
+    )
     toxic = np.array([r.toxic > 0 for r in rows])
-    strength = x @ np.maximum(odds, 0) / np.sqrt(np.array([max(r.size, 1) for r in rows]))
+    strength = x.times(np.maximum(odds, 0)) / np.sqrt(np.array([max(r.size, 1) for r in rows]))
     cuts = np.quantile(strength[toxic], np.arange(1, grades - 1) / (grades - 1))
     y = np.where(toxic, 1 + np.searchsorted(cuts, strength, side="left"), 0).astype(int)
     w, theta = fit_cumulative_link(x, y, grades)
-    p = 1 / (1 + np.exp(np.clip(theta[0] - x @ w, -500, 500)))
+    p = 1 / (1 + np.exp(np.clip(theta[0] - x.times(w), -500, 500)))
     return SeverityModel({word: float(w[i]) for word, i in place.items()}, tuple(map(float, theta)), best_cut(p, toxic))
 
 

@@ -37,13 +37,13 @@ def empty(spark):
 
 
 def test_cumulative_link_recovers_a_known_model():
-    from hypnolake.llm.toxicity import fit_cumulative_link
+    from hypnolake.llm.toxicity import Sparse, fit_cumulative_link
 
     rng = np.random.default_rng(0)
     w, theta = np.array([1.5, -1.0, 0.0]), np.array([-0.5, 1.0, 2.0])
     x = rng.normal(size=(20_000, 3))
     y = ((x @ w + rng.logistic(size=20_000))[:, None] > theta[None, :]).sum(axis=1)
-    got_w, got_theta = fit_cumulative_link(x, y)
+    got_w, got_theta = fit_cumulative_link(Sparse(*np.nonzero(x), x[np.nonzero(x)], x.shape), y)
     assert np.abs(got_w - w).max() < 0.08 and np.abs(got_theta - theta).max() < 0.08 and (np.diff(got_theta) > 0).all()
 
 
