@@ -110,22 +110,15 @@ def post_event_recovery(
     rows = interval_join(spo2.where(F.col("value").isNotNull()), ev, keys, "sec", "_from", "_to", 60.0)
     one = [*keys, "start_s"]
     pre, post = F.col("sec") < F.col("start_s"), F.col("sec") >= F.col("start_s")
-    stats = rows.groupBy(*one).agg(
-        F.median(F.when(pre, F.col("value"))).alias("baseline"),
-        F.min_by("sec", F.when(post, F.struct("value", "sec"))).alias("nadir_sec"),
-        F.max(F.when(post, F.col("value"))).alias("_peak"),
-    ).where(F.col("baseline").isNotNull() & F.col("_peak").isNotNull())
-    back = (
-        rows.join(stats, one)
-        .where(post & (F.col("sec") >= F.col("nadir_sec")) & (F.col("value") >= F.col("baseline") - tol))
-        .groupBy(*one)
-        .agg(F.min("sec").alias("_back"))
-    )
-    return stats.join(back, one, "left").select(
+    after = F.collect_list(F.when(post, F.struct(F.col("value").alias("v"), F.col("sec").alias("s"))))  # one event's window
+    stats = rows.groupBy(*one).agg(F.median(F.when(pre, F.col("value"))).alias("baseline"), after.alias("_post"))
+    stats = stats.where(F.col("baseline").isNotNull() & (F.size("_post") > 0)).withColumn("_nadir", F.array_min("_post").getField("s"))
+    back = F.filter("_post", lambda x: (x.s >= F.col("_nadir")) & (x.v >= F.col("baseline") - tol))
+    return stats.select(
         *one,
         "baseline",
-        (F.col("_peak") - F.col("baseline")).alias("overshoot"),
-        (F.col("_back") - F.col("nadir_sec")).cast("double").alias("recovery_s"),
+        (F.array_max("_post").getField("v") - F.col("baseline")).alias("overshoot"),
+        (F.array_min(F.transform(back, lambda x: x.s)) - F.col("_nadir")).cast("double").alias("recovery_s"),
     )
 
 

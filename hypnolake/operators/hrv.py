@@ -131,7 +131,7 @@ def nonlinear(pools: DataFrame, ax: Axis) -> DataFrame:
     """DFA alpha1, alpha2 and sample entropy (thinned to 1200 beats) per pool."""
     px = pool_axis(ax)
     keys = list(px.keys)
-    ent = interval_entropy(pools, keys, "t", "rr_ms", within=ax).select(*keys, "sampen")
+    ent = interval_entropy(pools, keys, "t", "rr_ms").select(*keys, "sampen")
     return ent.join(dfa(pools, ax, DFA_SHORT, "dfa_a1", 32), keys, "left").join(dfa(pools, ax, DFA_LONG, "dfa_a2", 128), keys, "left")
 
 

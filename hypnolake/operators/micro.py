@@ -174,15 +174,15 @@ def rem_density(epochs: DataFrame, ax: Axis, epoch_s: float = EPOCH_S, band: tup
 
 
 # ------------------------------------------------------------------ complexity
-def epoch_complexity(epochs: DataFrame, ax: Axis, per_stage: int = 25, max_samples: int = 1024) -> DataFrame:
-    """Sample and permutation entropy of evenly sampled epochs per stage."""
-    chosen = even_subsample(epochs, [*ax.keys, "stage"], "epoch", per_stage, within=ax)
+def epoch_complexity(epochs: DataFrame, ax: Axis, per_stage: int | None = None, max_samples: int | None = None) -> DataFrame:
+    """Sample and permutation entropy of every epoch; only where asked of ``per_stage`` even ones and thinned to ``max_samples``."""
+    chosen = epochs if per_stage is None else even_subsample(epochs, [*ax.keys, "stage"], "epoch", per_stage, within=ax)
 
     @F.pandas_udf("sampen double, permen double")
     def entropy(samples: pd.Series) -> pd.DataFrame:
         rows = []
         for s in samples:
-            x = thinned(np.asarray(s, float), max_samples)
+            x = np.asarray(s, float) if max_samples is None else thinned(np.asarray(s, float), max_samples)
             x = x[np.isfinite(x)] - np.nanmean(x)
             rows.append((sample_entropy(x), permutation_entropy(x)))
         return pd.DataFrame(rows, columns=["sampen", "permen"], dtype="float64")
@@ -200,11 +200,11 @@ def stage_complexity(table: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ respiration
 def breath_times(epochs: DataFrame, ax: Axis, epoch_s: float = EPOCH_S, band: tuple[float, float] = (0.1, 0.6), min_gap_s: float = 1.0) -> DataFrame:
-    """Breath onsets: band-passed peaks above the recording's median amplitude, at least ``min_gap_s`` apart."""
+    """Breaths: positive peaks of the band-passed signal above the recording's median amplitude, at least ``min_gap_s`` apart."""
     keys = list(ax.keys)
     ctx = with_context(epochs, ax, min(10.0, epoch_s))
     thr = amplitude_quantile(ctx, keys, band, 0.5, "_h")
-    p = band_peaks(band, min_gap_s * 2)("fs", "padded", "pad", F.size("samples"), "_h")
+    p = band_peaks(band, min_gap_s, signed=True)("fs", "padded", "pad", F.size("samples"), "_h")
     at = ctx.join(thr, keys).select(*ax.part, "epoch", "stage", F.explode(p).alias("_t"))
     return at.select(*ax.part, "stage", (F.col("epoch") * epoch_s + F.col("_t")).alias("t"))
 
@@ -223,10 +223,9 @@ def respiratory_rate(intervals: DataFrame, keys: Sequence[str], **kw) -> DataFra
     return d.select(*keys, "stage", "n", F.col("mean").alias("rate_mean"), sd_pop().alias("rate_sd"), cv_pop().alias("rrv_cv"))
 
 
-def interval_entropy(intervals: DataFrame, keys: Sequence[str], order: str, gap: str, limit: int = 1200, min_n: int = 50, within: Axis | None = None) -> DataFrame:
-    """Sample entropy of an interval series, evenly thinned to ``limit`` values before it is collected."""
-    short = even_subsample(intervals.select(*keys, order, gap), keys, order, limit, within=within)
-    arr = short.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, gap))).alias("_a"))
+def interval_entropy(intervals: DataFrame, keys: Sequence[str], order: str, gap: str, min_n: int = 50) -> DataFrame:
+    """Sample entropy of a whole interval series: one night's intervals, a few ten thousand numbers, are one array."""
+    arr = intervals.select(*keys, order, gap).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, gap))).alias("_a"))
 
     @F.pandas_udf("double")
     def entropy(a: pd.Series) -> pd.Series:

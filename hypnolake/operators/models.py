@@ -12,8 +12,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, UnivariateFeatureSelector, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -148,7 +147,7 @@ def fit_site_models(train: DataFrame, features: Sequence[str], site: str = "site
     overall = fit_classifier(train, features, **kw)
     big = [s for s, (n, p) in sorted(site_sizes(train, site).items()) if n >= min_n and 0 < p < n]
     experts = {s: fit_classifier(train.where(F.col(site) == s), features, **kw) for s in big}
-    return SiteModels(overall, experts, {s: fit_classifier(train.where(F.col(site) == s), features, **kw) for s in override if s in big})
+    return SiteModels(overall, experts, {s: experts[s] for s in override if s in experts})  # the head is the site's own expert
 
 
 def fit_router(train: DataFrame, features: Sequence[str], site: str = "site", **params) -> tuple[PipelineModel, list[str]]:
@@ -371,23 +370,39 @@ def pca_block(df: DataFrame, vector: str, k: int, train: Column | None = None) -
     return known.select(*df.columns, "components", "has").unionByName(none.select(*df.columns, "components", "has"))
 
 
-def importances(table: DataFrame, features: Sequence[str], seed: int = 42, **params) -> DataFrame:
-    """(method, feature, importance): forest impurity, permutation drop of AUROC, ANOVA F by selection order."""
+def anova_f(rows: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
+    """(feature, f): one-way ANOVA F of every feature over the label, from one pass of n, sum and sum of squares; nulls left out."""
+    cell = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("_c")
+    tall = rows.select(label, cell).select(label, "_c.*").where(F.col("v").isNotNull())
+    per = tall.groupBy("feature", label).agg(F.count("v").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("v")).alias("ss"))
+    all_ = per.groupBy("feature").agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_m"), F.sum("ss").alias("_w"), F.count(F.lit(1)).alias("_k"))
+    gap = F.col("n") * (F.col("m") - F.col("_m")) * (F.col("m") - F.col("_m"))
+    between = per.join(all_, "feature").groupBy("feature", "_n", "_w", "_k").agg(F.sum(gap).alias("_b"))
+    ok = (F.col("_k") > 1) & (F.col("_n") > F.col("_k")) & (F.col("_w") > 0)
+    return between.select("feature", F.when(ok, (F.col("_b") / (F.col("_k") - 1)) / (F.col("_w") / (F.col("_n") - F.col("_k")))).alias("f"))
+
+
+def importances(table: DataFrame, features: Sequence[str], seed: int = 42, key: str = "rec", **params) -> DataFrame:
+    """(method, feature, importance): forest impurity, permutation drop of held-out AUROC, ANOVA F.
+
+    The forest is fitted on four folds of five; the fifth is scored as it is and with each feature permuted, in one tall pass.
+    """
     features = list(features)
-    rows = training_table(with_flags(m.labelled(table), features))
-    pipe = base_pipeline("forest", features, None, **{"numTrees": 20, **params}).fit(rows)
+    folds = stratified_folds(m.labelled(table), key, ["label"], 5, 1, seed).select(key, "fold")
+    rows = training_table(with_flags(m.labelled(table), features).join(folds, key))
+    pipe = base_pipeline("forest", features, None, **{"numTrees": 20, **params}).fit(rows.where("fold <> 0"))
     raw = pipe.stages[-1].featureImportances.toArray()
     out = [("forest", f, float(raw[i])) for i, f in enumerate(features)]
-    score = lambda d: auroc(pipe.transform(d).withColumn("_s", vector_to_array("probability")[1]), [], "_s", "label").head()["auroc"]
-    base = score(rows)
+    held = rows.where("fold = 0")
+    tall = held.withColumn("_what", F.lit(""))
     for f in features:
-        out.append(("permutation", f, base - score(_shuffled(rows, f, seed))))
-    vec = pipe.stages[1].transform(pipe.stages[0].transform(rows))
-    sel = UnivariateFeatureSelector(featuresCol="_x", labelCol="label", outputCol="_o", selectionMode="numTopFeatures")
-    sel = sel.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(max(len(features) // 2, 1)).fit(vec)
-    chosen = set(sel.selectedFeatures)
-    out += [("anova", f, float(i in chosen)) for i, f in enumerate(features)]
-    return table.sparkSession.createDataFrame(out, "method STRING, feature STRING, importance DOUBLE")
+        tall = tall.unionByName(_shuffled(held, f, seed).withColumn(f"{f}__na", F.col(f).isNull().cast("double")).withColumn("_what", F.lit(f)))
+    scored = pipe.transform(tall).withColumn("_s", vector_to_array("probability")[1])
+    got = {r["_what"]: r["auroc"] for r in auroc(scored, ["_what"], "_s", "label").collect()}  # one row per feature
+    base = got.get("")
+    out += [("permutation", f, base - got[f] if base is not None and got.get(f) is not None else None) for f in features]
+    fixed = table.sparkSession.createDataFrame(out, "method STRING, feature STRING, importance DOUBLE")
+    return fixed.unionByName(anova_f(rows, features).select(F.lit("anova").alias("method"), "feature", F.col("f").alias("importance")))
 
 
 def _shuffled(df: DataFrame, col: str, seed: int, key: str = "rec") -> DataFrame:
@@ -401,21 +416,40 @@ def _shuffled(df: DataFrame, col: str, seed: int, key: str = "rec") -> DataFrame
     return df.drop(col, f"{col}__f").join(moved, key)
 
 
-def age_probe(table: DataFrame, features: Sequence[str], reg: float = 1.0) -> DataFrame:
-    """Ridge reconstruction of age from features: R2 and MAE on the fitted rows."""
+def _held_out(rows: DataFrame, key: str, strata: Sequence[str], k: int, seed: int, fit_predict) -> DataFrame:
+    """Union over folds of ``fit_predict(train, test)``."""
+    folds = stratified_folds(rows, key, strata, k, 1, seed).select(key, "fold")
+    data = training_table(rows.join(folds, key))
+    return reduce(DataFrame.unionByName, [fit_predict(data.where(F.col("fold") != f), data.where(F.col("fold") == f)) for f in range(k)])
+
+
+def age_probe(table: DataFrame, features: Sequence[str], reg: float = 1.0, key: str = "rec", k: int = 5, seed: int = 0) -> DataFrame:
+    """Ridge reconstruction of age from features: R2 and MAE of the held-out predictions of ``k`` folds."""
     features = list(features)
-    data = with_flags(table.where(F.col("age").isNotNull()), features)
-    lr = LinearRegression(featuresCol="_z", labelCol="age", elasticNetParam=0.0, regParam=reg)
-    pred = Pipeline(stages=[*preparation(features, True), lr]).fit(data).transform(data)
-    ev = lambda name: float(RegressionEvaluator(labelCol="age", metricName=name).evaluate(pred))
-    return table.sparkSession.createDataFrame([(ev("r2"), ev("mae"))], "r2 DOUBLE, mae DOUBLE")
-
-
-def site_probe(table: DataFrame, features: Sequence[str], site: str = "site", **params) -> DataFrame:
-    """Accuracy of telling the site from the features, beside the largest site's share."""
-    model, labels = fit_router(table, features, site, **params)
-    pred = model.transform(with_flags(table, features))
-    right = (F.col("_s") == F.col("_site")).cast("double")
-    major = F.max("n") / F.sum("n")
-    share = table.groupBy(site).agg(F.count(F.lit(1)).alias("n")).agg(major.alias("majority_share"))
-    return pred.agg(F.avg(right).alias("accuracy")).join(F.broadcast(share))  # one row each
+
+    def fit_predict(train: DataFrame, test: DataFrame) -> DataFrame:
+        lr = LinearRegression(featuresCol="_z", labelCol="age", elasticNetParam=0.0, regParam=reg)
+        return Pipeline(stages=[*preparation(features, True), lr]).fit(train).transform(test).select("age", "prediction")
+
+    pred = _held_out(with_flags(table.where(F.col("age").isNotNull()), features), key, [], k, seed, fit_predict)
+    off = F.col("age") - F.col("prediction")
+    return pred.agg((1 - F.sum(off * off) / (F.var_pop("age") * F.count("age"))).alias("r2"), F.avg(F.abs(off)).alias("mae"))
+
+
+def site_probe(table: DataFrame, features: Sequence[str], site: str = "site", key: str = "rec", k: int = 5, seed: int = 0, **params) -> DataFrame:
+    """Held-out accuracy and balanced accuracy of telling the site from the features, beside the largest site's share."""
+    features = list(features)
+
+    def fit_predict(train: DataFrame, test: DataFrame) -> DataFrame:
+        model, labels = fit_router(train, features, site, **params)
+        cur = with_flags(test, features)
+        for stage in model.stages[1:]:
+            cur = stage.transform(cur)
+        said = F.get(F.array(*[F.lit(x) for x in labels]), F.col("_s").cast("int"))
+        return cur.select(site, (said == F.col(site)).cast("double").alias("right"))
+
+    pred = _held_out(table, key, [site], k, seed, fit_predict)
+    per = pred.groupBy(site).agg(F.count(F.lit(1)).alias("n"), F.sum("right").alias("r"))
+    return per.agg((F.sum("r") / F.sum("n")).alias("accuracy"), F.avg(F.col("r") / F.col("n")).alias("balanced_accuracy"), (F.max("n") / F.sum("n")).alias("majority_share"))
+
+

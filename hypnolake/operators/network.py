@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..vocab import EPOCH_S
-from .cohort import even_subsample
-from .ordered import Axis, ordinal, running_sum, shift, with_axis
+from ..session import cut_lineage
+from .ordered import Axis, forward_fill, running_sum, shift, with_axis
 from .signals import BANDS, analytic, core, envelopes, stacks
 
 STAGE_POOLS = {"nrem": (1, 2, 3), "rem": (4,)}
@@ -97,109 +97,172 @@ def connectivity_summary(conn: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ microstates
+def _cubes(x: pd.Series, fs: pd.Series, band: tuple[float, float]):
+    """Montages of one shape and rate at a time: (positions, rate, band-passed average-referenced samples [rows, channels, n])."""
+    shape = pd.DataFrame({"c": [len(m) for m in x], "n": [min(map(len, m), default=0) for m in x], "fs": fs.to_numpy()})
+    for (c, n, rate), at in shape.groupby(["c", "n", "fs"]).indices.items():
+        if c and n > 2:
+            cube = np.array([[lead[:n] for lead in x.iloc[i]] for i in at], float)
+            cube[~np.isfinite(cube)] = 0.0
+            cube -= cube.mean(axis=1, keepdims=True)
+            yield at, rate, analytic(cube.reshape(-1, n), rate, *band).real.reshape(cube.shape)
+
+
+def _topographies(cube: np.ndarray) -> np.ndarray:
+    """Each sample's channel values, centred and of unit length."""
+    v = cube - cube.mean(axis=1, keepdims=True)
+    return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def common_leads(montages: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Montages with the channels that every epoch of the recording has."""
+    keys = list(keys)
+    held = montages.select(*keys, F.explode("channels").alias("_c")).groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_k"))
+    size = montages.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    common = held.join(size, keys).where("_k = _n").groupBy(*keys).agg(F.collect_list("_c").alias("_common"))  # a montage's names
+    lead = F.filter(F.arrays_zip("channels", "x"), lambda z: F.array_contains("_common", z.channels))
+    return montages.join(common, keys).withColumn("_l", lead).select(
+        *[c for c in montages.columns if c not in ("channels", "x")], F.col("_l.channels").alias("channels"), F.col("_l.x").alias("x")
+    )
+
+
 def gfp_peaks(montages: DataFrame, keys: Sequence[str], band: tuple[float, float] = (2.0, 20.0)) -> DataFrame:
-    """Unit-norm topographies at local maxima of the global field power: keys, epoch, pos, gfp, map."""
+    """Unit-length topographies where the global field power stops rising: keys, epoch, pos, gfp, map."""
 
-    @F.pandas_udf("array<struct<pos:int,gfp:double,map:array<double>>>")
-    def tops(x: pd.Series, fs: pd.Series) -> pd.Series:
-        out = []
-        for data, rate in zip(x, fs):
-            z = analytic(referenced(data), rate, *band).real
-            g = z.std(axis=0)
-            at = np.flatnonzero((g[1:-1] > g[:-2]) & (g[1:-1] >= g[2:])) + 1
-            v = z[:, at] - z[:, at].mean(axis=0)
-            v = v / (np.linalg.norm(v, axis=0) + 1e-12)
-            out.append([{"pos": int(k), "gfp": float(g[k]), "map": v[:, m].tolist()} for m, k in enumerate(at)])
-        return pd.Series(out)
+    @F.pandas_udf("pos array<int>, gfp array<double>, flat array<double>")
+    def tops(x: pd.Series, fs: pd.Series) -> pd.DataFrame:
+        found = {c: [[] for _ in range(len(x))] for c in ("pos", "gfp", "flat")}
+        for at, _, cube in _cubes(x, fs, band):
+            power = cube.std(axis=1)
+            rising = np.diff(power, axis=1) > 0
+            row, k = np.nonzero(rising[:, :-1] & ~rising[:, 1:])
+            k += 1
+            maps = _topographies(cube[row, :, k][:, :, None])[:, :, 0]
+            cuts = np.searchsorted(row, np.arange(1, len(at)))
+            for i, pos, g, m in zip(at, np.split(k, cuts), np.split(power[row, k], cuts), np.split(maps, cuts)):
+                found["pos"][i], found["gfp"][i], found["flat"][i] = pos, g, m.ravel()
+        return pd.DataFrame(found)
 
-    return montages.select(*keys, "epoch", F.explode(tops("x", "fs")).alias("_p")).select(*keys, "epoch", "_p.*")
+    got = montages.select(*keys, "epoch", F.size("x").alias("_w"), tops("x", "fs").alias("_t"))
+    rows = got.select(*keys, "epoch", "_w", "_t.flat", F.posexplode(F.arrays_zip("_t.pos", "_t.gfp")).alias("_i", "_p"))
+    return rows.select(*keys, "epoch", "_p.pos", "_p.gfp", F.slice("flat", F.col("_i") * F.col("_w") + 1, F.col("_w")).alias("map"))
 
 
-def _polarity_kmeans(v: np.ndarray, k: int, iters: int, seed: int) -> np.ndarray:
-    """Maps of k states; polarity is ignored and a map is the main axis of its members."""
-    maps = v[np.random.RandomState(seed).choice(len(v), k, replace=False)].copy()
-    own = None
-    for _ in range(iters):
-        new = np.abs(v @ maps.T).argmax(axis=1)
-        if own is not None and (new == own).all():
-            break
-        own = new
-        for s in range(k):
-            mine = v[own == s]
-            if len(mine):
-                maps[s] = np.linalg.eigh(mine.T @ mine)[1][:, -1]
-    return maps
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
 
 
-def fit_microstates(peaks: DataFrame, keys: Sequence[str], k: int = 4, max_peaks: int = 3000, min_peaks: int = 100, iters: int = 40, within: Axis | None = None) -> DataFrame:
-    """State maps per recording from evenly thinned peaks (the thinning bounds every group)."""
+def fit_microstates(peaks: DataFrame, keys: Sequence[str], k: int = 4, min_peaks: int = 100, rounds: int = 12) -> DataFrame:
+    """State maps per recording from all peaks: maps, gev.
+
+    A state's map is the main axis of its members, whatever their polarity. Seeds are the peaks of least hash. A
+    round sums outer products by (recording, state), so only channels x channels numbers per state leave the map side.
+    """
     keys = list(keys)
-    p, ax = with_axis(peaks, keys, ("epoch", "pos"), within=within)
-    numbered = ordinal(p, ax, "_row").select(*keys, "_row", "gfp", "map")
-    few = even_subsample(numbered, keys, "_row", max_peaks, within=within)
-    arr = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_row", "gfp", "map"))).alias("_a")).where(F.size("_a") >= min_peaks)
+    enough = peaks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_peaks)
+    rows = cut_lineage(peaks.join(enough.drop("_n"), keys, "left_semi"))
+    width = rows.agg(F.max(F.size("map"))).first()[0] or 0
+    maps = rows.groupBy(*keys).agg(F.array(*[F.min_by("map", F.xxhash64(F.lit(s), "epoch", "pos")) for s in range(k)]).alias("maps"))
+    maps = cut_lineage(maps)
+
+    @F.pandas_udf("array<double>")
+    def main_axis(products: pd.Series) -> pd.Series:
+        out = []
+        for v in products:
+            full = np.array([[np.nan if b is None else b for b in row] for row in v], float)
+            n = int(np.isfinite(np.diag(full)).sum())
+            out.append(np.linalg.eigh(full[:n, :n])[1][:, -1])
+        return pd.Series(out)
+
+    def nearest(maps: DataFrame) -> DataFrame:
+        fit = F.transform("maps", lambda m: F.abs(_dot("map", m)))
+        return rows.join(maps, keys).withColumn("_f", fit).withColumn("_best", F.array_max("_f")).withColumn("state", F.array_position("_f", F.col("_best")).cast("int") - 1)
+
+    square = F.array(*[F.array(*[F.sum(F.get("map", F.lit(i)) * F.get("map", F.lit(j))) for j in range(width)]) for i in range(width)])
+    for _ in range(rounds if width else 0):
+        axes = nearest(maps).groupBy(*keys, "state").agg(square.alias("_q")).select(*keys, "state", main_axis("_q").alias("_a"))
+        listed = axes.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("state", "_a"))).alias("_m"))  # k states
+        moved = maps.join(listed, keys).select(*keys, "maps", F.transform("maps", lambda m, s: F.coalesce(F.element_at("_m", s.cast("int")), m)).alias("_new"))
+        moved = cut_lineage(moved)
+        same = F.array_min(F.zip_with("maps", "_new", lambda a, b: F.abs(_dot(a, b))))
+        settled = moved.agg(F.coalesce(F.min(same), F.lit(1.0))).first()[0] > 1 - 1e-9
+        maps = moved.select(*keys, F.col("_new").alias("maps"))
+        if settled:
+            break
+    power = F.col("gfp") * F.col("gfp")
+    gev = nearest(maps).groupBy(*keys).agg((F.sum(power * F.col("_best") * F.col("_best")) / F.when(F.sum(power) > 0, F.sum(power))).alias("gev"))
+    return maps.join(gev, keys)
+
+
+def state_runs(montages: DataFrame, maps: DataFrame, keys: Sequence[str], band: tuple[float, float], min_dur_ms: float, within: Axis | None = None) -> DataFrame:
+    """Runs of one microstate: keys, state, n (samples), fresh (no neighbour before), fs. Runs go on across adjacent epochs.
+
+    Runs shorter than ``min_dur_ms`` count for the state before them.
+    """
 
-    @F.pandas_udf("maps array<array<double>>, gev double")
-    def fit(a: pd.Series) -> pd.DataFrame:
-        rows = []
-        for peaks_ in a:
-            v = np.stack([np.asarray(r["map"]) for r in peaks_])
-            g2 = np.array([r["gfp"] for r in peaks_]) ** 2
-            maps = _polarity_kmeans(v, k, iters, 0)
-            best = np.abs(v @ maps.T).max(axis=1)
-            rows.append((maps.tolist(), float((g2 * best**2).sum() / g2.sum()) if g2.sum() > 0 else None))
-        return pd.DataFrame(rows, columns=["maps", "gev"])
+    @F.pandas_udf("state array<int>, n array<int>")
+    def label(x: pd.Series, fs: pd.Series, m: pd.Series) -> pd.DataFrame:
+        found = {"state": [[] for _ in range(len(x))], "n": [[] for _ in range(len(x))]}
+        for at, _, cube in _cubes(x, fs, band):
+            states = np.array([[list(v) for v in m.iloc[i]] for i in at], float)
+            own = np.abs(states @ _topographies(cube)).argmax(axis=1)
+            for i, row in zip(at, own):
+                ends = np.append(np.flatnonzero(np.diff(row)) + 1, len(row))
+                found["state"][i], found["n"][i] = row[ends - 1], np.diff(ends, prepend=0)
+        return pd.DataFrame(found)
 
-    return arr.select(*keys, fit("_a").alias("_f")).select(*keys, "_f.*")
+    keys = list(keys)
+    got = montages.join(maps, keys).select(*keys, "epoch", "fs", label("x", "fs", "maps").alias("_l"))
+    pieces = got.select(*keys, "epoch", "fs", F.posexplode(F.arrays_zip("_l.state", "_l.n")).alias("piece", "_p")).select(*keys, "epoch", "fs", "piece", "_p.*")
+    rows, ax = with_axis(pieces, keys, ("epoch", "piece"), within=within)
+    s = shift(rows, ax, ["state", "epoch"], "_p_")
+    fresh = F.col("_p_epoch").isNull() | (F.col("epoch") > F.col("_p_epoch") + 1)
+    s = s.withColumn("_fresh", fresh.cast("long")).withColumn("_cut", (fresh | (F.col("state") != F.col("_p_state"))).cast("long"))
+    whole = running_sum(s, ax, {"run": F.col("_cut")}).groupBy(*keys, "run").agg(
+        F.max("state").alias("state"), F.sum("n").alias("n"), F.max("_fresh").alias("fresh"), F.max("fs").alias("fs")
+    )
+    keep = (F.col("fresh") == 1) | (F.col("n") >= F.round(F.col("fs") * min_dur_ms / 1000))
+    rows, ax = with_axis(whole.withColumn("_own", F.when(keep, F.col("state"))), keys, ("run",), within=within)
+    return forward_fill(rows, ax, "_own", "_state").drop("state").withColumnRenamed("_state", "state")
 
 
 def microstates(montages: DataFrame, keys: Sequence[str], band: tuple[float, float] = (2.0, 20.0), min_dur_ms: float = 30.0, within: Axis | None = None, **fit_kw) -> DataFrame:
     """GEV, GFP peak rate and mean, mean duration, transition rate, coverage entropy over NREM epochs."""
     keys = list(keys)
-    full = montages.groupBy(*keys).agg(F.max(F.size("channels")).alias("_full"))  # epochs with a missing lead are left out
-    nrem = montages.where(F.col("stage").isin(1, 2, 3)).join(full, keys).where(F.size("channels") == F.col("_full")).drop("_full")
+    nrem = common_leads(montages.where(F.col("stage").isin(1, 2, 3)), keys)
     peaks = gfp_peaks(nrem, keys, band)
-    maps = fit_microstates(peaks, keys, within=within, **fit_kw)
-
-    @F.pandas_udf("n int, segs int, gfp double, corr double, cover array<int>")
-    def backfit(x: pd.Series, fs: pd.Series, m: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data, rate, state in zip(x, fs, m):
-            z = analytic(referenced(data), rate, *band).real
-            states = np.stack([np.asarray(s) for s in state])
-            v = z - z.mean(axis=0)
-            c = np.abs((v / (np.linalg.norm(v, axis=0) + 1e-12)).T @ states.T)
-            own = _absorb_short(c.argmax(axis=1), int(round(min_dur_ms / 1000 * rate)))
-            best = c.max(axis=1).sum()
-            rows.append((len(own), 1 + int((np.diff(own) != 0).sum()), float(z.std(axis=0).sum()), float(best), np.bincount(own, minlength=len(states)).tolist()))
-        return pd.DataFrame(rows, columns=["n", "segs", "gfp", "corr", "cover"])
-
-    per = nrem.join(maps, keys).withColumn("_b", backfit("x", "fs", "maps"))
-    agg = per.groupBy(*keys).agg(
-        F.sum("_b.n").alias("_n"), F.sum("_b.segs").alias("_s"), F.sum("_b.gfp").alias("_g"), F.sum("_b.corr").alias("_c"),
-        F.max("fs").alias("_fs"), F.max("gev").alias("ms_gev"), *[F.sum(F.get("_b.cover", F.lit(i))).alias(f"_k{i}") for i in range(4)],
+    maps = fit_microstates(peaks, keys, **fit_kw)
+
+    @F.pandas_udf("gfp double, corr double")
+    def sums(x: pd.Series, fs: pd.Series, m: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(x), 2))
+        for at, _, cube in _cubes(x, fs, band):
+            states = np.array([[list(v) for v in m.iloc[i]] for i in at], float)
+            out[at, 0] = cube.std(axis=1).sum(axis=1)
+            out[at, 1] = np.abs(states @ _topographies(cube)).max(axis=1).sum(axis=1)
+        return pd.DataFrame(out, columns=["gfp", "corr"])
+
+    field = nrem.join(maps, keys).withColumn("_s", sums("x", "fs", "maps")).groupBy(*keys).agg(
+        F.sum("_s.gfp").alias("_g"), F.sum("_s.corr").alias("_c"), F.max("gev").alias("ms_gev")
+    )
+    runs_, ax = with_axis(state_runs(nrem, maps, keys, band, min_dur_ms, within), keys, ("run",), within=within)
+    s = shift(runs_, ax, ["state"], "_p_")
+    turned = ((F.col("fresh") == 0) & (F.col("state") != F.col("_p_state"))).cast("long")
+    agg = s.groupBy(*keys).agg(
+        F.sum("n").alias("_n"), F.max("fs").alias("_fs"), F.sum(turned).alias("_t"), F.sum("fresh").alias("_b"),
+        *[F.sum(F.when(F.col("state") == i, F.col("n")).otherwise(0)).alias(f"_k{i}") for i in range(4)],
     )
     rate = peaks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_peaks"))
     dur = F.col("_n") / F.col("_fs")
     p = [F.col(f"_k{i}") / F.col("_n") for i in range(4)]
     ent = sum(F.when(q > 0, -q * F.log(q)).otherwise(0.0) for q in p)
-    return agg.join(rate, keys).select(
+    return agg.join(field, keys).join(rate, keys).select(
         *keys, "ms_gev", (F.col("_peaks") / dur).alias("ms_gfp_peak_rate"), (F.col("_g") / F.col("_n")).alias("ms_gfp_mean"),
-        (1000.0 * dur / F.col("_s")).alias("ms_mean_dur_ms"), ((F.col("_s") - 1) / dur).alias("ms_trans_rate"),
+        (1000.0 * dur / (F.col("_t") + F.col("_b"))).alias("ms_mean_dur_ms"), (F.col("_t") / dur).alias("ms_trans_rate"),
         ent.alias("ms_coverage_entropy"), F.exp(ent).alias("ms_n_eff"), (F.col("_c") / F.col("_n")).alias("ms_mean_corr"),
     )
 
 
-def _absorb_short(labels: np.ndarray, min_len: int) -> np.ndarray:
-    """Runs shorter than ``min_len`` take the label before them."""
-    cuts = np.r_[0, np.flatnonzero(np.diff(labels)) + 1, len(labels)]
-    out = labels.copy()
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        if a > 0 and b - a < min_len:
-            out[a:b] = out[a - 1]
-    return out
-
-
 # ------------------------------------------------------------------ 1 Hz node signals
 def node_seconds(context: DataFrame, keys: Sequence[str], epoch_s: int = int(EPOCH_S)) -> DataFrame:
     """1 Hz node values per epoch: band envelopes of EEG rows, rectified EMG/EOG, level of SpO2.
@@ -247,29 +310,29 @@ def window_lags(windows: DataFrame, keys: Sequence[str], tau_max: int = 10) -> D
 
     Input rows: keys, win, stage, node, values (one array per node and window). NULL lag for flat nodes.
     """
-    @F.pandas_udf("array<struct<i:string,j:string,tau:int>>")
-    def lags(names: pd.Series, x: pd.Series) -> pd.Series:
-        steps = np.arange(-tau_max, tau_max + 1)
+    @F.pandas_udf("array<int>")
+    def lags(x: pd.Series) -> pd.Series:
         out = []
-        for nodes, data in zip(names, x):
-            n = min(len(d) for d in data)
-            m = np.stack([np.asarray(d[:n], float) for d in data])
+        for data in x:
+            n = min(map(len, data))
+            m = np.array([d[:n] for d in data], float)
+            m -= m.mean(axis=1, keepdims=True)
             sd = m.std(axis=1, keepdims=True)
-            z = (m - m.mean(axis=1, keepdims=True)) / np.where(sd < 1e-9, np.nan, sd)
-            corr = np.stack([
-                (z[:, : n - t] @ z[:, t:].T if t >= 0 else z[:, -t:] @ z[:, : n + t].T) / (n - abs(t)) for t in steps
-            ])
-            good = np.isfinite(corr).all(axis=0)
-            best = steps[np.abs(np.where(np.isfinite(corr), corr, 0)).argmax(axis=0)]
-            out.append([
-                {"i": nodes[a], "j": nodes[b], "tau": int(best[a, b]) if good[a, b] else None}
-                for a in range(len(nodes)) for b in range(a + 1, len(nodes))
-            ])
+            flat = ~(sd[:, 0] >= 1e-9)
+            spec = np.fft.rfft(np.where(sd >= 1e-9, m / np.maximum(sd, 1e-9), 0.0), 2 * n, axis=1)
+            a, b = np.triu_indices(len(m), 1)
+            circle = np.fft.irfft(spec[a].conj() * spec[b], 2 * n, axis=1)  # at t: sum over s of a[s] b[s + t]
+            steps = np.arange(-tau_max, tau_max + 1)
+            best = steps[np.round(np.abs(circle[:, steps] / (n - np.abs(steps))), 12).argmax(axis=1)]
+            out.append([None if gone else int(t) for t, gone in zip(best, flat[a] | flat[b])])
         return pd.Series(out)
 
     grouped = windows.groupBy(*keys, "win", "stage").agg(F.array_sort(F.collect_list(F.struct("node", "values"))).alias("_a"))
-    pairs = grouped.select(*keys, "win", "stage", F.explode(lags(F.col("_a.node"), F.col("_a.values"))).alias("_p"))
-    return pairs.select(*keys, "win", "stage", "_p.*")
+    name, place = F.col("_a.node"), F.sequence(F.lit(0), F.size("_a") - 1)
+    pairs = F.flatten(F.transform(place, lambda a: F.transform(F.filter(place, lambda b: b > a), lambda b: F.struct(F.get(name, a).alias("i"), F.get(name, b).alias("j")))))
+    tied = F.explode(F.arrays_zip(pairs.alias("p"), lags(F.col("_a.values")).alias("tau"))).alias("_p")
+    rows = grouped.where(F.size("_a") > 1).select(*keys, "win", "stage", tied)
+    return rows.select(*keys, "win", "stage", "_p.p.i", "_p.p.j", "_p.tau")
 
 
 def sliding_windows(seconds: DataFrame, keys: Sequence[str], length: int = 60, step: int = 30) -> DataFrame:

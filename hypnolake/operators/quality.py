@@ -54,13 +54,13 @@ def channel_quality(epochs: DataFrame, keys: Sequence[str], flat_s: float = 1.0,
     )
 
 
-def beat_quality(epochs: DataFrame, ax: Axis, windows: int = 8, by_stage: bool = False) -> DataFrame:
-    """Correlation of each beat with its window's mean beat; one window per evenly sampled epoch.
+def beat_quality(epochs: DataFrame, ax: Axis, windows: int | None = None, by_stage: bool = False) -> DataFrame:
+    """Correlation of each beat with its window's mean beat; every epoch is a window, or ``windows`` even ones where given.
 
     Output beats as rows: keys, stage, epoch, q in [0, 1].
     """
     group = [*ax.keys, "stage"] if by_stage else list(ax.keys)
-    chosen = even_subsample(epochs, group, "epoch", windows, within=ax)
+    chosen = epochs if windows is None else even_subsample(epochs, group, "epoch", windows, within=ax)
 
     @F.pandas_udf("array<double>")
     def quality(samples: pd.Series, fs: pd.Series) -> pd.Series:

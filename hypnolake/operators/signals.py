@@ -118,17 +118,18 @@ def amplitude_quantile(context: DataFrame, keys: Sequence[str], band: tuple[floa
     return q.select(*keys, F.exp(F.col("_k") / resolution).alias(out))
 
 
-def band_peaks(band: tuple[float, float], distance_s: float):
+def band_peaks(band: tuple[float, float], distance_s: float, signed: bool = False):
     """pandas UDF: local maxima of |band-passed| above ``height``, strongest first, ``distance_s`` apart.
 
-    Times are seconds inside the epoch; suppression sees the padding, so seams count once.
+    ``signed`` looks at the band-passed signal itself, so that a wave counts once and not once per half. Times are seconds inside the epoch; suppression sees the padding, so seams count once.
     """
 
     @F.pandas_udf("array<double>")
     def peaks(fs: pd.Series, padded: pd.Series, pad: pd.Series, n: pd.Series, height: pd.Series) -> pd.Series:
         out = [[] for _ in range(len(fs))]
         for idx, x, (rate, left, size) in stacks(padded, fs, pad, n):
-            for i, row in zip(idx, np.abs(analytic(x, rate, *band).real)):
+            wave = analytic(x, rate, *band).real
+            for i, row in zip(idx, wave if signed else np.abs(wave)):
                 at = strongest_peaks(row, height.iloc[i], int(distance_s * rate))
                 out[i] = [float(k - left) / rate for k in at if left <= k < left + size]
         return pd.Series(out)
@@ -149,18 +150,21 @@ def strongest_peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
     return np.sort(np.array(kept, dtype=int))
 
 
-def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float | None:
-    """Richman-Moorman: both template lengths share the same starting points."""
+def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2, block: int = 512) -> float | None:
+    """Richman-Moorman: both template lengths share the same starting points. Compared in blocks of rows, so memory is linear."""
     x = np.asarray(x, float)
     n, sd = len(x) - m, np.std(x)
     if n < 2 or sd <= 0:
         return None
     tol = r * sd
-    hits = np.abs(x[:n, None] - x[None, :n]) <= tol
-    for k in range(1, m):
-        hits &= np.abs(x[k : k + n, None] - x[None, k : k + n]) <= tol
-    b = hits.sum() - n
-    a = (hits & (np.abs(x[m : m + n, None] - x[None, m : m + n]) <= tol)).sum() - n
+    a = b = 0
+    for s in range(0, n, block):
+        e = min(s + block, n)
+        hits = np.abs(x[s:e, None] - x[None, :n]) <= tol
+        for k in range(1, m):
+            hits &= np.abs(x[s + k : e + k, None] - x[None, k : k + n]) <= tol
+        b += int(hits.sum()) - (e - s)
+        a += int((hits & (np.abs(x[s + m : e + m, None] - x[None, m : m + n]) <= tol)).sum()) - (e - s)
     return float(-np.log(a / b)) if a > 0 and b > 0 else None
 
 

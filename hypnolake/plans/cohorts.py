@@ -281,11 +281,11 @@ def distinct_counts(spark, sf):
 
 @query(
     "montage_signatures",
-    """WITH p AS (SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS signature, count(DISTINCT event_type) AS c FROM events WHERE value > 20 GROUP BY user_id)
+    """WITH p AS (SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS signature, count(DISTINCT event_type) AS c FROM events GROUP BY user_id)
 SELECT signature, CAST(c AS INT) AS n_channels, count(*) AS n_recordings FROM p GROUP BY ALL""",
 )
 def montage_signatures(spark, sf):
-    ch = read(spark, sf, "events").where("value > 20").select("user_id", F.col("event_type").alias("channel"))
+    ch = read(spark, sf, "events").select("user_id", F.col("event_type").alias("channel"))
     return profile.montage_signatures(ch, USER)
 
 
@@ -336,7 +336,7 @@ def unit_flags(spark, sf):
     "missing_feature_causes",
     f"""WITH {STREAM_SQL}, f AS (SELECT c_custkey AS k FROM customer),
 fl AS (SELECT o_custkey AS k, max(CASE WHEN o_orderstatus = 'P' AND o_totalprice > 490000 THEN 'bad' END) AS err FROM orders GROUP BY 1),
-st AS (SELECT user_id AS k, count(*) AS n, count(*) FILTER (stage < 9) AS s FROM streams WHERE k < 8 GROUP BY 1)
+st AS (SELECT user_id AS k, count(*) AS n, count(*) FILTER (stage < 9) AS s FROM streams GROUP BY 1)
 SELECT CASE WHEN fl.k IS NULL THEN 'no_file' WHEN err IS NOT NULL THEN 'load_error' WHEN coalesce(n, 0) = 0 THEN 'empty_stage' WHEN s = 0 THEN 'all_unscored' ELSE 'stale' END AS cause, count(*) AS n
 FROM f LEFT JOIN fl USING (k) LEFT JOIN st USING (k) GROUP BY 1""",
 )
@@ -345,7 +345,7 @@ def missing_feature_causes(spark, sf):
     err = F.when((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 490000), "bad")
     files = read(spark, sf, "orders").select(F.col("o_custkey").alias("key"), err.alias("error"))
     st, _ = streams(spark, sf)
-    return profile.missing_feature_causes(feats, files, st.where("k < 8").select(F.col("user_id").alias("key"), "stage"), "key", "value")
+    return profile.missing_feature_causes(feats, files, st.select(F.col("user_id").alias("key"), "stage"), "key", "value")
 
 
 @query(
@@ -453,13 +453,13 @@ def _labelled_channels(spark, sf):
 
 @query(
     "channel_pick",
-    """WITH c AS (SELECT DISTINCT user_id, CASE WHEN value < 30 THEN 'C3-M2' WHEN value < 60 THEN 'F3-M2' WHEN value < 90 THEN 'O1-M2' ELSE 'Cz' END AS channel FROM events WHERE event_type = 'view')
+    """WITH c AS (SELECT DISTINCT user_id, CASE WHEN value < 30 THEN 'C3-M2' WHEN value < 60 THEN 'F3-M2' WHEN value < 90 THEN 'O1-M2' ELSE 'Cz' END AS channel FROM events)
 SELECT user_id, channel FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE channel WHEN 'O1-M2' THEN 0 WHEN 'F3-M2' THEN 1 ELSE 2 END, channel) = 1""",
 )
 def channel_pick(spark, sf):
     v = F.col("value")
     name = F.when(v < 30, "C3-M2").when(v < 60, "F3-M2").when(v < 90, "O1-M2").otherwise("Cz")
-    ch = read(spark, sf, "events").where("event_type = 'view'").select("user_id", name.alias("channel")).distinct()
+    ch = read(spark, sf, "events").select("user_id", name.alias("channel")).distinct()
     ch = ch.withColumn("role", clean.channel_role(F.col("channel")))
     return clean.pick_channel(ch, USER, "eeg", ["o1", "f3"])
 
@@ -484,14 +484,14 @@ def sanitise_scalars(spark, sf):
 
 
 _DEMO = """WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'female' WHEN 1 THEN ' Male' ELSE 'x' END AS sex,
-  ['White', 'Black or African American', 'Asian', 'Pacific', '', 'Declined'][doc_id % 6 + 1] AS race, ['Hispanic or Latino', 'Not Hispanic', 'unknown'][doc_id % 3 + 1] AS eth FROM documents)"""
+  ['White', 'Black or African American', 'Asian', 'Pacific', '', 'Declined'][doc_id % 6 + 1] AS race, ['Hispanic or Latino', 'Not Hispanic', 'unknown', 'Not Latino', 'Non-Latino'][doc_id % 5 + 1] AS eth FROM documents)"""
 
 
 @query(
     "demographic_one_hot",
     _DEMO + """ SELECT doc_id, CAST(sex = 'female' AS INT) AS sex_f, CAST(sex = ' Male' AS INT) AS sex_m, CAST(sex = 'x' AS INT) AS sex_o,
   CAST(race = 'Asian' AS INT) AS race_asian, CAST(race LIKE 'Black%' AS INT) AS race_black, CAST(race = 'Pacific' AS INT) AS race_other, CAST(race IN ('', 'Declined') AS INT) AS race_unavail, CAST(race = 'White' AS INT) AS race_white,
-  CAST(eth LIKE 'Hispanic%' AS INT) AS eth_hispanic, CAST(eth = 'Not Hispanic' AS INT) AS eth_not_hispanic, CAST(eth = 'unknown' AS INT) AS eth_unavail FROM d""",
+  CAST(eth LIKE 'Hispanic%' AS INT) AS eth_hispanic, CAST(eth IN ('Not Hispanic', 'Not Latino', 'Non-Latino') AS INT) AS eth_not_hispanic, CAST(eth = 'unknown' AS INT) AS eth_unavail FROM d""",
 )
 def demographic_one_hot(spark, sf):
     i = F.col("doc_id")
@@ -499,7 +499,7 @@ def demographic_one_hot(spark, sf):
     d = read(spark, sf, "documents").select(
         "doc_id", pick(["female", " Male", "x"]).alias("sex"),
         pick(["White", "Black or African American", "Asian", "Pacific", "", "Declined"]).alias("race"),
-        pick(["Hispanic or Latino", "Not Hispanic", "unknown"]).alias("ethnicity"),
+        pick(["Hispanic or Latino", "Not Hispanic", "unknown", "Not Latino", "Non-Latino"]).alias("ethnicity"),
     )
     return clean.demographic_one_hot(d).drop("sex", "race", "ethnicity")
 

@@ -243,24 +243,25 @@ def combat(spark, sf):
     return _harmonised(hz.combat(features_long(spark, sf), F.col("site") != "es"))
 
 
-WN = FEA + """, w AS (SELECT rec, CASE feature WHEN 'chars' THEN 'n1' WHEN 'words' THEN 'n2' WHEN 'lines' THEN 'rem' WHEN 'commas' THEN 'wake' END AS stage, value FROM flong WHERE feature IN ('chars', 'words', 'lines', 'commas'))"""
+WN = FEA + """, w AS (SELECT rec, CASE feature WHEN 'mean_word' THEN 'width' ELSE 'power' END AS metric,
+  CASE feature WHEN 'chars' THEN 'n1' WHEN 'words' THEN 'n2' WHEN 'lines' THEN 'rem' WHEN 'commas' THEN 'wake' WHEN 'digits' THEN 'n3' ELSE 'n2' END AS stage, value FROM flong)"""
 
 
 def _by_stage(spark, sf):
-    names = F.create_map(*[F.lit(x) for kv in {"chars": "n1", "words": "n2", "lines": "rem", "commas": "wake"}.items() for x in kv])
-    df = features_long(spark, sf).where(F.col("feature").isin("chars", "words", "lines", "commas"))
-    df = df.withColumn("feature", F.concat(F.lit("spec_"), names[F.col("feature")], F.lit("_power")))
+    names = F.create_map(*[F.lit(x) for kv in {"chars": "n1_power", "words": "n2_power", "lines": "rem_power", "commas": "wake_power", "digits": "n3_power", "mean_word": "n2_width"}.items() for x in kv])
+    df = features_long(spark, sf)
+    df = df.withColumn("feature", F.concat(F.lit("spec_"), names[F.col("feature")]))
     return hz.split_stage(df, "spec_").select("rec", "metric", "stage", "value")
 
 
-@query("within_night_ratio", WN + " SELECT a.rec, 'power' AS metric, a.stage, CASE WHEN abs(b.value) >= 1e-12 THEN a.value / b.value END AS ratio FROM w a JOIN w b ON a.rec = b.rec AND b.stage = 'n2' WHERE a.stage <> 'n2'", dbl="ratio")
+@query("within_night_ratio", WN + " SELECT a.rec, a.metric, a.stage, CASE WHEN abs(b.value) >= 1e-12 THEN a.value / b.value END AS ratio FROM w a JOIN w b ON a.rec = b.rec AND a.metric = b.metric AND b.stage = 'n2' WHERE a.stage <> 'n2'", dbl="ratio")
 def within_night_ratio(spark, sf):
     return hz.within_night_ratio(_by_stage(spark, sf), ["rec"])
 
 
 @query(
     "within_night_z",
-    WN + " SELECT rec, 'power' AS metric, stage, CASE WHEN stddev_pop(value) OVER (PARTITION BY rec) >= 1e-12 THEN (value - avg(value) OVER (PARTITION BY rec)) / stddev_pop(value) OVER (PARTITION BY rec) END AS z FROM w",
+    WN + " SELECT rec, metric, stage, CASE WHEN stddev_pop(value) OVER (PARTITION BY rec, metric) >= 1e-12 THEN (value - avg(value) OVER (PARTITION BY rec, metric)) / stddev_pop(value) OVER (PARTITION BY rec, metric) END AS z FROM w",
     dbl="z",
 )
 def within_night_z(spark, sf):

@@ -8,7 +8,7 @@ from ..operators import models as md
 from ..operators import neighbours as nb
 from ..sources.tables import epoch_sequences
 from .registry import query
-from .tables import USER, features_wide, read, streams
+from .tables import STREAM_SQL, USER, features_wide, read, streams
 
 FEATURES = ["chars", "words", "lines", "digits", "commas", "mean_word"]
 FAST = {"kind": "logit", "calibrate": False}
@@ -127,12 +127,12 @@ def train_val_test_metrics(spark, sf):
 
 @query("repeated_oof_mean", dbl="prob", nd=6)
 def repeated_oof_mean(spark, sf):
-    return md.repeated_oof(_table(spark, sf), FEATURES, k=3, repeats=2, **FAST)
+    return md.repeated_oof(_table(spark, sf), FEATURES, **FAST)
 
 
 @query("feature_family_ab", dbl="delta_mean lo hi p_gt_0", nd=6)
 def feature_family_ab(spark, sf):
-    return md.compare_arms(_table(spark, sf), {"base": FEATURES[:3], "more": FEATURES}, replicates=30, **FAST)
+    return md.compare_arms(_table(spark, sf), {"base": FEATURES[:3], "more": FEATURES}, **FAST)
 
 
 @query("excluded_group_risk", dbl="mean_risk", nd=6)
@@ -156,7 +156,7 @@ def calibration_line(spark, sf):
 
 @query("learning_curve", dbl="fraction mean sd", nd=6)
 def learning_curve(spark, sf):
-    return md.learning_curve(_table(spark, sf), FEATURES, [0.3, 1.0], [1], **FAST)
+    return md.learning_curve(_table(spark, sf), FEATURES, [0.3, 1.0], [1, 2, 3], **FAST)
 
 
 # ------------------------------------------------------------------ reduction and probes (H14, H16, H17), sequences
@@ -170,7 +170,7 @@ def embedding_pca(spark, sf):
 
 @query("feature_importances", dbl="importance", nd=6)
 def feature_importances(spark, sf):
-    return md.importances(_table(spark, sf), FEATURES[:4], numTrees=8, maxDepth=3)
+    return md.importances(_table(spark, sf), FEATURES)
 
 
 @query("age_probe", dbl="r2 mae", nd=5)
@@ -178,17 +178,18 @@ def age_probe(spark, sf):
     return md.age_probe(_table(spark, sf), FEATURES)
 
 
-@query("site_probe", dbl="accuracy majority_share", nd=6)
+@query("site_probe", dbl="accuracy balanced_accuracy majority_share", nd=6)
 def site_probe(spark, sf):
     return md.site_probe(_table(spark, sf), FEATURES, maxIter=50, regParam=0.01)
 
 
 @query(
     "epoch_sequences",
-    None,
+    f"""WITH {STREAM_SQL}, l AS (SELECT user_id, epoch, sign(value) * ln(1 + abs(value)) AS v FROM streams), s AS (SELECT avg(v) AS m, stddev_pop(v) AS sd FROM l)
+SELECT user_id, CAST(count(*) AS INT) AS n, min_by(coalesce((v - m) / CASE WHEN sd > 0 THEN sd END, 0), epoch) AS first_x FROM l, s GROUP BY user_id""",
     dbl="first_x",
 )
 def epoch_sequence_rows(spark, sf):
     df, _ = streams(spark, sf)
-    s = epoch_sequences(df.select("user_id", "epoch", "stage", "value"), USER, ["value"], 16)
+    s = epoch_sequences(df.select("user_id", "epoch", "stage", "value"), USER, ["value"])
     return s.select("user_id", F.size("sequence").alias("n"), F.get(F.get("sequence", F.lit(0)).getField("x"), F.lit(0)).alias("first_x"))

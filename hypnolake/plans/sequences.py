@@ -385,8 +385,8 @@ def merge_gap_bursts(spark, sf):
 @query(
     "post_event_recovery",
     EVENTS_SQL + """, e AS (SELECT * FROM iv WHERE code IN (1, 2, 4)),
-x AS (SELECT e.user_id, e.start_s, s.epoch AS sec, s.spo2_raw AS v, s.epoch < e.start_s AS pre FROM e JOIN streams s
-  ON s.user_id = e.user_id AND s.epoch >= e.start_s - 30 AND s.epoch < e.end_s + 45),
+u AS (SELECT user_id, start_s, unnest(range(CAST(start_s AS BIGINT) - 30, CAST(end_s AS BIGINT) + 45)) AS epoch FROM e),
+x AS (SELECT u.user_id, u.start_s, s.epoch AS sec, s.spo2_raw AS v, s.epoch < u.start_s AS pre FROM u JOIN streams s ON s.user_id = u.user_id AND s.epoch = u.epoch),
 st AS (SELECT user_id, start_s, median(v) FILTER (pre) AS baseline, max(v) FILTER (NOT pre) AS peak FROM x GROUP BY ALL HAVING count(*) FILTER (pre) > 0),
 nd AS (SELECT user_id, start_s, sec AS nadir FROM x WHERE NOT pre QUALIFY row_number() OVER (PARTITION BY user_id, start_s ORDER BY v, sec) = 1),
 bk AS (SELECT x.user_id, x.start_s, min(sec) AS back FROM x JOIN st USING (user_id, start_s) JOIN nd USING (user_id, start_s)

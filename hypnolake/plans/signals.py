@@ -155,13 +155,13 @@ def rem_density(spark, sf):
 @query("eeg_complexity", dbl="sampen permen")
 def eeg_complexity(spark, sf):
     e, ax = epochs(spark, sf)
-    return micro.epoch_complexity(e, ax, per_stage=5)
+    return micro.epoch_complexity(e, ax)
 
 
 @query("eeg_complexity_by_stage", dbl="sampen_mean sampen_sd permen_mean permen_sd")
 def eeg_complexity_by_stage(spark, sf):
     e, ax = epochs(spark, sf)
-    return micro.stage_complexity(micro.epoch_complexity(e, ax, per_stage=5), REC)
+    return micro.stage_complexity(micro.epoch_complexity(e, ax), REC)
 
 
 @query("respiratory_rate", dbl="rate_mean rate_sd rrv_cv")
@@ -175,7 +175,7 @@ def respiratory_rate(spark, sf):
 def breath_interval_entropy(spark, sf):
     e, ax = epochs(spark, sf)
     iv = micro.breath_intervals(micro.breath_times(e, ax, epoch_s=1.0, band=(1.0, 6.0), min_gap_s=0.1), ax)
-    return micro.interval_entropy(iv, REC, "t", "gap_s", min_n=10, within=ax)
+    return micro.interval_entropy(iv, REC, "t", "gap_s", min_n=10)
 
 
 @query("r_peak_rr_series", dbl="t rr_ms")
@@ -229,8 +229,10 @@ def network_label_contrast(spark, sf):
 
 @query("directed_coupling", dbl="g stationary_frac")
 def directed_coupling(spark, sf):
-    p = channels(spark, sf).where(F.col("channel").isin(*CHANNELS[:3])).select("rec", "stage", F.col("epoch").alias("patch"), F.col("channel").alias("node"), F.col("samples").alias("values"))
-    return network.directed_coupling(p, REC)
+    """Two triples of channels per recording: the operator conditions each pair on the third node."""
+    triple = F.when(F.col("channel").isin(*CHANNELS[:3]), 0).otherwise(1).alias("triple")
+    p = channels(spark, sf).select("rec", triple, "stage", F.col("epoch").alias("patch"), F.col("channel").alias("node"), F.col("samples").alias("values"))
+    return network.directed_coupling(p, [*REC, "triple"])
 
 
 @query("node_seconds", dbl="value")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,15 +28,20 @@ def build_session(master: str | None = None, app: str = "hypnolake", **conf) ->
 
 
 _fallback: list[str] = []
+_written: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """Shared folder the cluster names in ``spark.checkpoint.dir``; one local machine may do without (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="hypnolake-ckpt-"))
+        atexit.register(shutil.rmtree, _fallback[0], ignore_errors=True)
     return _fallback[0]
 
 
@@ -42,8 +49,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a reused intermediate once to the shared folder and read it back.
 
     The plan is truncated, the rows survive executor loss, and file sizes let the planner
-    pick join strategies for what follows.
+    pick join strategies for what follows. ``drop_written`` removes the folders once results are saved.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/hypnolake-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete what ``cut_lineage`` wrote in this process; frames built on it cannot be read afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)

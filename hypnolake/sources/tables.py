@@ -116,16 +116,13 @@ def write_scores(scores: DataFrame, by_age: DataFrame, folder: str) -> None:
     by_age.orderBy("age").coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", "true").csv(f"{folder}/by_age")
 
 
-def epoch_sequences(epochs: DataFrame, keys: Sequence[str], fields: Sequence[str], max_len: int) -> DataFrame:
-    """Per-epoch rows to one ordered sequence per night: log1p, cohort z-norm, even subsample to ``max_len``.
-
-    The subsample runs before collecting, so no sequence exceeds ``max_len`` entries.
-    """
+def epoch_sequences(epochs: DataFrame, keys: Sequence[str], fields: Sequence[str], max_len: int | None = None) -> DataFrame:
+    """Per-epoch rows to one ordered sequence per night (about a thousand epochs): log1p, cohort z-norm; thinned evenly to ``max_len`` where given."""
     from ..operators.cohort import even_subsample
 
     logged = epochs.select(*keys, "epoch", "stage", *[F.signum(F.col(f)) * F.log1p(F.abs(F.col(f))) for f in fields]).toDF(*keys, "epoch", "stage", *fields)
     stats = logged.agg(*[F.avg(f).alias(f"_m_{f}") for f in fields], *[F.stddev_pop(f).alias(f"_s_{f}") for f in fields])
     z = lambda f: F.coalesce((F.col(f) - F.col(f"_m_{f}")) / F.when(F.col(f"_s_{f}") > 0, F.col(f"_s_{f}")), F.lit(0.0))
     normed = logged.join(F.broadcast(stats)).select(*keys, "epoch", "stage", F.array(*[z(f) for f in fields]).alias("x"))  # one row
-    short = even_subsample(normed, keys, "epoch", max_len)
+    short = normed if max_len is None else even_subsample(normed, keys, "epoch", max_len)
     return short.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("epoch", "stage", "x"))).alias("sequence"))

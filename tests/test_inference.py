@@ -144,3 +144,36 @@ def test_calibrated_probability_is_bounded_and_ranker_orders(spark):
     assert gaps.where("abs(a - b) > 2").count() == 0
     n = pairs.groupBy("rec").count().agg(F.max("count")).head()[0]
     assert n <= 10 and pairs.count() == pairs.select("rec", "other").distinct().count()
+
+
+@pytest.mark.parametrize("text,want", [("Not Latino", "Not Hispanic"), ("non-latino", "Not Hispanic"), ("Not Hispanic or Latino", "Not Hispanic"), ("Hispanic", "Hispanic"),
+                                       ("Latino", "Hispanic"), ("Declined", "Unavailable"), (None, "Unavailable"), ("other", "Unavailable")])
+def test_ethnicity(spark, text, want):
+    df = spark.createDataFrame([(text,)], "e string")
+    assert df.select(clean.ethnicity(F.col("e")).alias("x")).first().x == want
+
+
+def test_anova_f_is_the_textbook_value(spark):
+    from hypnolake.operators.models import anova_f
+
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 200)
+    v = rng.normal(size=200) + 0.5 * y
+    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, v)], "label int, x double")
+    groups = [v[y == k] for k in (0, 1)]
+    between = sum(len(g) * (g.mean() - v.mean()) ** 2 for g in groups)
+    within = sum(((g - g.mean()) ** 2).sum() for g in groups)
+    assert anova_f(df, ["x"]).first().f == pytest.approx(between / (within / 198))
+
+
+def test_probes_are_out_of_fold(spark):
+    """Noise features tell nothing about rows that were not fitted."""
+    from hypnolake.operators.models import age_probe, site_probe
+
+    rng = np.random.default_rng(4)
+    rows = [(k, f"s{k % 2}", float(50 + rng.integers(0, 30)), *map(float, rng.normal(size=12))) for k in range(120)]
+    names = [f"f{i}" for i in range(12)]
+    df = spark.createDataFrame(rows, "rec long, site string, age double, " + ", ".join(f"{n} double" for n in names))
+    assert age_probe(df, names).first().r2 < 0.15
+    got = site_probe(df, names, maxIter=30, regParam=0.01).first()
+    assert got.accuracy < 0.68 and abs(got.accuracy - got.balanced_accuracy) < 0.05

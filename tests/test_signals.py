@@ -201,3 +201,40 @@ def test_report_rejects_duplicate_keys(spark):
     base = spark.createDataFrame([("a",)], "rec string")
     with pytest.raises(DuplicateKeys):
         assemble(base, {"hrv": spark.createDataFrame([("a", 1.0), ("a", 2.0)], "rec string, v double")}, ["rec"])
+
+
+@pytest.mark.parametrize("rate", [6, 8, 10, 12, 16, 20, 24, 30])
+def test_breath_rate_of_sines(spark, rate):
+    fs, n = 16.0, 12
+    t = np.arange(int(30 * fs) * n) / fs
+    x = np.sin(2 * np.pi * rate / 60 * t + 0.3).reshape(n, -1)
+    e = spark.createDataFrame([("r", k, 2, fs, [float(v) for v in x[k]]) for k in range(n)], "rec string, epoch int, stage int, fs double, samples array<float>")
+    e, ax = with_axis(e, ["rec"], ("epoch",))
+    got = micro.respiratory_rate(micro.breath_intervals(micro.breath_times(e, ax), ax), ["rec"]).collect()[0]
+    assert got.rate_mean == pytest.approx(rate, rel=0.02) and abs(got.n - rate * n / 2) <= 3
+
+
+def test_microstates_go_on_across_epochs(spark):
+    """One fixed topography through all epochs: one state, no transition, whatever the epoch length."""
+    fs, n = 64.0, 6
+    t = np.arange(int(2 * fs) * n) / fs
+    wave = np.sin(2 * np.pi * 10 * t)
+    leads = np.outer([1.0, -1.0, 0.5, -0.5], wave)
+    rows = [("r", k, 2, fs, ["a", "b", "c", "d"] + (["e"] if k else []), [[float(v) for v in m[k * 128 : (k + 1) * 128]] for m in leads] + ([[0.0] * 128] if k else [])) for k in range(n)]
+    m = spark.createDataFrame(rows, "rec string, epoch int, stage int, fs double, channels array<string>, x array<array<double>>")
+    got = network.microstates(m, ["rec"], min_peaks=10, k=1).collect()[0]
+    assert got.ms_trans_rate == 0.0 and got.ms_mean_dur_ms == pytest.approx(12_000) and got.ms_gev == pytest.approx(1.0, abs=1e-6)
+    assert got.ms_coverage_entropy == 0.0 and got.ms_n_eff == 1.0  # the lead that one epoch lacks is left out, not the epoch
+
+
+def test_microstates_switch(spark):
+    """Two topographies that alternate every half second are told apart and counted."""
+    fs, n = 64.0, 4
+    t = np.arange(int(2 * fs) * n) / fs
+    a, b = np.array([1.0, -1.0, 0.2, -0.2]), np.array([0.2, 0.2, 1.0, -1.4])
+    slot = (t // 0.5).astype(int) % 2
+    x = np.where(slot == 0, a[:, None], b[:, None]) * np.sin(2 * np.pi * 10 * t)
+    rows = [("r", k, 2, fs, ["a", "b", "c", "d"], [[float(v) for v in m[k * 128 : (k + 1) * 128]] for m in x]) for k in range(n)]
+    m = spark.createDataFrame(rows, "rec string, epoch int, stage int, fs double, channels array<string>, x array<array<double>>")
+    got = network.microstates(m, ["rec"], min_peaks=10, k=2, band=(2.0, 25.0)).collect()[0]
+    assert 1.5 <= got.ms_trans_rate <= 6.0 and 0.5 < got.ms_n_eff <= 4.0
