@@ -17,7 +17,6 @@ from .ranks import auroc, cumulate, histogram
 # Fixed threshold grid of the reward search: 80 points from 0.01 to 0.50.
 GRID_N, GRID_LO, GRID_HI = 80, 0.01, 0.50
 GRID = [GRID_LO + k * ((GRID_HI - GRID_LO) / (GRID_N - 1)) for k in range(GRID_N - 1)] + [GRID_HI]
-MAX_EXPLODED_AGES = 4096
 
 
 def labelled(df: DataFrame, label: str = "label") -> DataFrame:
@@ -40,8 +39,7 @@ def window_counts(queries: DataFrame, data: DataFrame, at: str, gap: float, coun
     merged = rows.select(*group, mark(F.col(at), 0), none, *counts)
     for tie, x in ((-1, F.col(at) - gap), (1, F.col(at) + gap)):
         merged = merged.unionByName(q.select(*group, mark(x, tie), F.col(at).cast("double").alias("_q"), *zero))
-    few = not group and rows.limit(MAX_EXPLODED_AGES + 1).count() <= MAX_EXPLODED_AGES
-    cum = cumulate(merged, group, "_pos", counts, bounded=few)
+    cum = cumulate(merged, group, "_pos", counts)
     tie = F.col("_pos.tie")
     return (
         cum.where(F.col("_q").isNotNull())
@@ -100,26 +98,16 @@ def _wins(cum: DataFrame, group: Sequence[str], q: str, d: str) -> DataFrame:
     return cum.groupBy(*group).agg(F.sum(half_ties).alias("wins"), F.sum(F.col(q) * F.col(f"tot_{d}")).alias("pairs"))
 
 
-def auroc_age(df: DataFrame, gap: float = 2, age: str = "age", score: str = "prob", label: str = "label", max_ages: int = MAX_EXPLODED_AGES) -> DataFrame:
+def auroc_age(df: DataFrame, gap: float = 2, age: str = "age", score: str = "prob", label: str = "label") -> DataFrame:
     """AUROC over positive-negative pairs at most ``gap`` years apart: one row (wins, pairs, auroc_age).
 
-    Ages on a year grid: negatives are copied to the positive ages they can meet and ranked
-    there. Many distinct ages: exact dominance counts instead, so cost never follows the pairs.
+    Exact dominance counts, whatever the ages: cost grows with the rows times the bits of a rank, never with the pairs.
     """
     cells = labelled(df, label).where(F.col(age).isNotNull() & F.col(score).isNotNull())
     cells = cells.groupBy(age, score).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg")
     )
-    ages = cells.select(age).distinct()
-    if ages.limit(max_ages + 1).count() <= max_ages:
-        targets = cells.where("pos > 0").select(F.col(age).alias("_at")).distinct()
-        reach = ages.join(F.broadcast(targets), F.abs(F.col(age) - F.col("_at")) <= gap)  # at most max_ages ages
-        at_neg = cells.where("neg > 0").join(reach, age).select("_at", score, F.lit(0).cast("long").alias("pos"), "neg")
-        at_pos = cells.where("pos > 0").select(F.col(age).alias("_at"), score, "pos", F.lit(0).cast("long").alias("neg"))
-        hist = at_neg.unionByName(at_pos).groupBy("_at", score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        out = _wins(cumulate(hist, ["_at"], score, ("pos", "neg")), [], "pos", "neg")
-    else:
-        out = _auroc_age_dominance(cells, gap, age, score)
+    out = _auroc_age_dominance(cells, gap, age, score)
     return out.withColumn("auroc_age", F.when(F.col("pairs") > 0, F.col("wins") / F.col("pairs")))
 
 
@@ -296,9 +284,14 @@ def decision_rules(df: DataFrame, gap: float = 2) -> DataFrame:
     oracle = _best_threshold(cells.withColumn("g", F.lit("all")), ["g"]).select(
         F.lit("oracle").alias("rule"), F.col("train_reward").alias("reward")
     )
-    # other-site cells = every cell once per held-out site it does not belong to (cells x sites rows)
-    sites = cells.select(F.col("site").alias("held_out")).distinct()
-    others = cells.join(sites, F.col("site") != F.col("held_out"))
+    # other-site cells = the totals over all sites less the held-out site's own, matched on the cell
+    cell = ["age", "label", "b"]
+    listed = F.broadcast(cells.agg(F.collect_set("site").alias("_sites")))  # one row
+    every = cells.groupBy(*cell, "prevalence").agg(F.sum("c").alias("_all")).join(listed).withColumn("held_out", F.explode("_sites")).drop("_sites")
+    mine = cells.select(F.col("site").alias("_site"), *[F.col(x).alias(f"_{x}") for x in cell], F.col("c").alias("_own"))
+    match = [F.col("held_out") == F.col("_site"), *[F.col(x).eqNullSafe(F.col(f"_{x}")) for x in cell]]
+    others = every.join(mine, match, "left").withColumn("c", F.col("_all") - F.coalesce("_own", F.lit(0))).where("c > 0")
+    others = others.select("held_out", *cell, "prevalence", "c")
     fitted = _best_threshold(others, ["held_out"]).select(F.col("held_out").alias("site"), "threshold")
     by_transfer = rows.join(fitted, "site").withColumn("pred", (F.col("prob") > F.col("threshold")).cast("int"))
     q = rows.select("age").distinct()

@@ -56,8 +56,9 @@ def auroc_age_conditioned(spark, sf):
 
 @query("auroc_age_conditioned_many_ages", AGE_PAIRS, dbl="wins auroc_age")
 def auroc_age_conditioned_many_ages(spark, sf):
-    """Same metric through dominance counts, the path taken when ages are not on a year grid."""
-    return m.auroc_age(cohort(spark, sf), max_ages=0)
+    """Same metric in units of days: as many distinct positions, on no year grid."""
+    c = cohort(spark, sf)
+    return m.auroc_age(c.withColumn("age", F.col("age") * 365.25), gap=2 * 365.25)
 
 
 AUW = COH + """, g AS (SELECT unnest(generate_series(CAST((SELECT min(age) FROM lab) - 2 AS BIGINT), CAST((SELECT max(age) FROM lab) + 3 AS BIGINT))) AS k),

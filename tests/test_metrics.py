@@ -45,22 +45,20 @@ def test_single_class_prevalence_is_clipped(spark):
     assert r.n_scored == 2 and r.reward == pytest.approx(((1 / (1 - p) - 1) - 1) / 2)
 
 
-@pytest.mark.parametrize("max_ages", [4096, 0])
-def test_age_conditioned_auroc(people, mode, max_ages):
+def test_age_conditioned_auroc(people, mode):
     pdf, df = people
     p, n = pdf[pdf.label == 1], pdf[pdf.label == 0]
     near = abs(p.age.to_numpy()[:, None] - n.age.to_numpy()[None]) <= 2
     win = (p.prob.to_numpy()[:, None] > n.prob.to_numpy()[None]) + 0.5 * (p.prob.to_numpy()[:, None] == n.prob.to_numpy()[None])
-    r = m.auroc_age(df, max_ages=max_ages).collect()[0]
+    r = m.auroc_age(df).collect()[0]
     assert r.pairs == near.sum() and r.auroc_age == pytest.approx(win[near].mean())
 
 
 def test_pair_gate_and_empty(spark):
     rows = [(60.0, 1, 0.5), (70.0, 1, 0.2), (61.0, 0, 0.5), (75.0, 0, 0.9), (None, 0, 0.1)]
     df = spark.createDataFrame(rows, "age double, label int, prob double")
-    for limit in (4096, 0):
-        r = m.auroc_age(df, max_ages=limit).collect()[0]
-        assert (r.pairs, r.auroc_age) == (1, 0.5)
+    r = m.auroc_age(df).collect()[0]
+    assert (r.pairs, r.auroc_age) == (1, 0.5)
     assert m.auroc_age(df.where("age > 65")).collect()[0].auroc_age is None
 
 
