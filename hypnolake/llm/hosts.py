@@ -21,6 +21,7 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT = 30
 MAX_HOST_RATE = 0.5
+BROADCAST_HOSTS = 100_000
 _SPACE = r"[\x20\x09-\x0D]+"
 _MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -87,6 +88,12 @@ def host_verdicts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
     return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate <= max_rate).alias("host_kept"))
 
 
+def _sized(hosts: DataFrame) -> DataFrame:
+    """``hosts`` written once, and broadcast while their number allows it: else the join is by host, and Spark splits a frequent one."""
+    hosts = cut_lineage(hosts)
+    return F.broadcast(hosts) if hosts.count() <= BROADCAST_HOSTS else hosts
+
+
 def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """The measures and base_failed, with the whole row as ``doc``, written once: host counts and verdicts both read them."""
     return measures(docs, id_col, text_col, host_col).withColumn("base_failed", base_failed())
@@ -96,12 +103,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """Measures, base_failed, host_rate and kept per row of ``docs``.
 
     The measures are written once to the shared folder and read for the host counts and for the join. Counting combines before
-    its shuffle; the join broadcasts the hosts only while Spark measures them as small and else splits a frequent host. Null text has
+    its shuffle; the hosts are broadcast while at most ``BROADCAST_HOSTS``, else joined by host. Null text has
     no words and fails; a null host is one host; equal rows are judged alike and all stay; an empty table gives none; other columns
     are not read.
     """
     measured = cut_lineage(_measured(docs, id_col, text_col, host_col).drop("doc"))
-    hosts = host_verdicts(measured, max_rate).select(F.col("host").alias("host_"), "rate", "host_kept")
+    hosts = _sized(host_verdicts(measured, max_rate).select(F.col("host").alias("host_"), "rate", "host_kept"))
     joined = measured.join(hosts, F.col("host").eqNullSafe(F.col("host_")))
     kept = ~F.col("base_failed") & F.col("host_kept")
     return joined.select("doc_id", *_MEASURES, "base_failed", F.col("rate").alias("host_rate"), kept.alias("kept"))
@@ -110,8 +117,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 def keep_good(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns."""
     measured = cut_lineage(_measured(docs, "doc_id", "text", "source").select("doc", "host", "base_failed"))
-    hosts = host_verdicts(measured, max_rate).filter("host_kept").select(F.col("host").alias("host_"))
-    good = measured.filter("NOT base_failed").join(hosts, F.col("host").eqNullSafe(F.col("host_")), "left_semi")
+    bad = _sized(host_verdicts(measured, max_rate).filter("NOT host_kept").select(F.col("host").alias("host_")))
+    good = measured.filter("NOT base_failed").join(bad, F.col("host").eqNullSafe(F.col("host_")), "left_anti")
     return good.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
