@@ -51,7 +51,13 @@ def knn_local_rate(spark, sf):
     return nb.local_rate(nb.knn_join(v.where("cls < 3"), v.where("cls >= 3"), 15, "vec_id", "embedding", "y"), "vec_id", "y")
 
 
-@query("knn_global_blend", dbl="prob")
+@query(
+    "knn_global_blend",
+    """WITH q AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label < 3), t AS (SELECT vec_id AS neighbour, embedding::DOUBLE[] AS f, label % 2 AS y FROM embeddings WHERE label >= 3),
+n AS (SELECT vec_id, y FROM q CROSS JOIN t QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(e, f), neighbour) <= 15)
+SELECT vec_id, 0.7 * avg(y) + (1 - 0.7) * 0.5 AS prob, avg(y) AS local_rate FROM n GROUP BY vec_id""",
+    dbl="prob local_rate",
+)
 def knn_global_blend(spark, sf):
     v = _emb(spark, sf)
     rate = nb.local_rate(nb.knn_join(v.where("cls < 3"), v.where("cls >= 3"), 15, "vec_id", "embedding", "y"), "vec_id", "y")

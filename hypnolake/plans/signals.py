@@ -152,13 +152,28 @@ def rem_density(spark, sf):
     return micro.rem_density(e, ax, epoch_s=1.0, min_rem_min=0.05)
 
 
-@query("eeg_complexity", dbl="sampen permen")
+COMPLEX = EPO + """, sm AS (SELECT rec, epoch, stage, unnest(range(64)) AS n, unnest(x) AS v FROM epo),
+tr AS (SELECT rec, epoch, stage, n, v AS a, lead(v) OVER w AS b, lead(v, 2) OVER w AS c, 0.2 * stddev_pop(v) OVER (PARTITION BY rec, epoch) AS tol FROM sm WINDOW w AS (PARTITION BY rec, epoch ORDER BY n)),
+ok AS (SELECT * FROM tr WHERE c IS NOT NULL),
+se AS (SELECT p.rec, p.epoch, p.stage, count(*) AS b, count(*) FILTER (abs(p.c - q.c) <= p.tol) AS a FROM ok p JOIN ok q ON p.rec = q.rec AND p.epoch = q.epoch AND p.n <> q.n
+  WHERE abs(p.a - q.a) <= p.tol AND abs(p.b - q.b) <= p.tol GROUP BY ALL),
+pc AS (SELECT rec, epoch, a <= b AS ab, a <= c AS ac, b <= c AS bc, count(*) AS n FROM ok GROUP BY ALL),
+pe AS (SELECT rec, epoch, -sum(n / 62 * log2(n / 62)) / log2(6) AS permen FROM pc GROUP BY ALL),
+cx AS (SELECT e.rec, e.epoch, e.stage, 64.0::DOUBLE AS fs, CASE WHEN a > 0 AND b > 0 THEN -ln(a / b) END AS sampen, permen FROM epo e LEFT JOIN se USING (rec, epoch) JOIN pe USING (rec, epoch))"""
+
+
+@query("eeg_complexity", COMPLEX + " SELECT * FROM cx", dbl="sampen permen")
 def eeg_complexity(spark, sf):
     e, ax = epochs(spark, sf)
     return micro.epoch_complexity(e, ax)
 
 
-@query("eeg_complexity_by_stage", dbl="sampen_mean sampen_sd permen_mean permen_sd")
+@query(
+    "eeg_complexity_by_stage",
+    COMPLEX + """ SELECT rec, stage, count(*) AS n_epochs, avg(sampen) AS sampen_mean, stddev_pop(sampen) AS sampen_sd, avg(permen) AS permen_mean, stddev_pop(permen) AS permen_sd
+FROM cx WHERE stage <> 9 GROUP BY ALL""",
+    dbl="sampen_mean sampen_sd permen_mean permen_sd",
+)
 def eeg_complexity_by_stage(spark, sf):
     e, ax = epochs(spark, sf)
     return micro.stage_complexity(micro.epoch_complexity(e, ax), REC)
@@ -205,23 +220,39 @@ def _node_windows(spark, sf):
     return channels(spark, sf).select("rec", F.col("epoch").cast("long").alias("win"), "stage", F.col("channel").alias("node"), F.col("samples").alias("values"))
 
 
-@query("time_delay_lags")
+LAGS = f"""WITH nd AS (SELECT vec_id // 120 AS rec, (vec_id // 6) % 20 AS win, CASE WHEN (vec_id // 6) % 20 < 14 THEN 2 ELSE 4 END AS stage, {list(CHANNELS)}[vec_id % 6 + 1] AS node, embedding::DOUBLE[] AS x FROM embeddings),
+sm AS (SELECT rec, win, stage, node, unnest(range(64)) AS n, unnest(x) AS v FROM nd),
+z AS (SELECT rec, win, stage, node, n, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS z FROM sm WINDOW w AS (PARTITION BY rec, win, node)),
+d AS (SELECT a.rec, a.win, a.stage, a.node AS i, b.node AS j, b.n - a.n AS tau, a.z * b.z AS p FROM z a JOIN z b ON a.rec = b.rec AND a.win = b.win AND a.node < b.node WHERE abs(b.n - a.n) <= 10),
+r AS (SELECT rec, win, stage, i, j, tau, round(abs(sum(p)) / (64 - abs(tau)), 12) AS r FROM d GROUP BY rec, win, stage, i, j, tau),
+lags AS (SELECT rec, CAST(win AS BIGINT) AS win, stage, i, j, CAST(tau AS INT) AS tau FROM r QUALIFY row_number() OVER (PARTITION BY rec, win, i, j ORDER BY r DESC, tau) = 1),
+cuts AS (SELECT *, CASE WHEN abs(tau - lag(tau) OVER p) <= 2 AND win = lag(win) OVER p + 1 THEN 0 ELSE 1 END AS cut FROM lags WINDOW p AS (PARTITION BY rec, i, j ORDER BY win)),
+runs AS (SELECT *, sum(cut) OVER (PARTITION BY rec, i, j ORDER BY win) AS run FROM cuts), sized AS (SELECT *, count(*) OVER (PARTITION BY rec, i, j, run) AS len FROM runs),
+links AS (SELECT rec, i, j, stage, avg(CASE WHEN len >= 2 THEN 1.0 ELSE 0.0 END) AS strength, count(*) AS n_windows FROM sized GROUP BY ALL)"""
+
+
+@query("time_delay_lags", LAGS + " SELECT * FROM lags")
 def time_delay_lags(spark, sf):
     return network.window_lags(_node_windows(spark, sf), REC)
 
 
-@query("time_delay_stability", dbl="strength")
+@query("time_delay_stability", LAGS + " SELECT * FROM links", dbl="strength")
 def time_delay_stability(spark, sf):
     return network.tds_links(network.window_lags(_node_windows(spark, sf), REC), REC, tol=2, min_run=2)
 
 
-@query("network_cohort_mean", dbl="mean_strength")
+@query("network_cohort_mean", LAGS + " SELECT stage, i, j, avg(strength) AS mean_strength, count(*) AS n_recordings FROM links GROUP BY ALL", dbl="mean_strength")
 def network_cohort_mean(spark, sf):
     links = network.tds_links(network.window_lags(_node_windows(spark, sf), REC), REC, tol=2, min_run=2)
     return network.network_cohort(links)
 
 
-@query("network_label_contrast", dbl="mean_pos mean_neg delta")
+@query(
+    "network_label_contrast",
+    LAGS + """ SELECT stage, i, j, avg(strength) FILTER (rec % 2 = 1) AS mean_pos, avg(strength) FILTER (rec % 2 = 0) AS mean_neg,
+  avg(strength) FILTER (rec % 2 = 1) - avg(strength) FILTER (rec % 2 = 0) AS delta FROM links GROUP BY ALL""",
+    dbl="mean_pos mean_neg delta",
+)
 def network_label_contrast(spark, sf):
     links = network.tds_links(network.window_lags(_node_windows(spark, sf), REC), REC, tol=2, min_run=2)
     return network.network_contrast(links.withColumn("label", F.col("rec") % 2))
@@ -465,7 +496,19 @@ def cap_summary(spark, sf):
     return micro.cap_summary(ph, micro.nrem_minutes(df, USER), wx)
 
 
-@query("cap_window_powers", dbl="delta theta alpha sigma beta total")
+_SPLIT = """WITH epo AS (SELECT vec_id // 50 AS rec, CAST(vec_id % 50 AS INT) AS epoch, [5, 3, 2, 1, 4][label % 5 + 1] AS stage, embedding::DOUBLE[] AS x FROM embeddings),
+smp AS (SELECT rec, epoch, stage, unnest(range(64)) AS n, unnest(x) AS v FROM epo)"""
+
+
+@query(
+    "cap_window_powers",
+    _SPLIT + """, c AS (SELECT rec, stage, epoch * 2 + n // 32 AS win, n % 32 AS i, v - avg(v) OVER (PARTITION BY rec, epoch, n // 32) AS y FROM smp),
+p AS (SELECT rec, stage, win, 2 * k AS hz, sum(y * cos(2 * pi() * k * i / 32)) ** 2 + sum(y * sin(2 * pi() * k * i / 32)) ** 2 AS p FROM c CROSS JOIN (SELECT unnest(range(1, 15)) AS k) GROUP BY ALL)
+SELECT rec, stage, CAST(win AS BIGINT) AS win, sum(p) FILTER (hz < 4) AS delta, sum(p) FILTER (hz >= 4 AND hz < 8) AS theta, sum(p) FILTER (hz >= 8 AND hz < 12) AS alpha,
+  sum(p) FILTER (hz >= 12 AND hz < 16) AS sigma, sum(p) FILTER (hz >= 16) AS beta, sum(p) AS total FROM p GROUP BY ALL""",
+    dbl="delta theta alpha sigma beta total",
+    nd=7,
+)
 def cap_window_powers(spark, sf):
     e, _ = epochs(spark, sf)
     return micro.window_powers(e, REC, win_s=0.5, epoch_s=1.0)
@@ -489,7 +532,13 @@ def rem_atonia(spark, sf):
     return micro.rem_atonia(w, Axis(ax.keys, ("win",), ax.chunked), min_rem_min=0.05)
 
 
-@query("rms_windows", dbl="rms")
+@query(
+    "rms_windows",
+    _SPLIT + """, m AS (SELECT rec, stage, CAST(epoch * 4 + n // 16 AS BIGINT) AS win, avg(v) AS m1, avg(v * v) AS m2 FROM smp GROUP BY ALL), u AS (SELECT rec, avg(m1) AS mu FROM m GROUP BY rec)
+SELECT rec, stage, win, sqrt(greatest(m2 - 2 * mu * m1 + mu * mu, 0)) AS rms FROM m JOIN u USING (rec)""",
+    dbl="rms",
+    nd=8,
+)
 def rms_windows(spark, sf):
     e, _ = epochs(spark, sf)
     return micro.rms_windows(e, REC, win_s=0.25, epoch_s=1.0)
