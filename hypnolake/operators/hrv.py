@@ -72,23 +72,24 @@ def time_domain(pools: DataFrame, ax: Axis, min_beats: int = 30, **kw) -> DataFr
     )
 
 
-def frequency_domain(pools: DataFrame, keys: Sequence[str], window_s: float = 300.0, min_beats: int = 50, rate: float = 4.0) -> DataFrame:
-    """LF, HF, LF/HF, normalised and total power: periodograms of 5-minute pieces, averaged.
+def frequency_domain(pools: DataFrame, keys: Sequence[str], window_s: float = 300.0, min_beats: int = 50, rate: float = 4.0, min_piece_s: float = 20.0, min_piece_beats: int = 8) -> DataFrame:
+    """LF, HF, LF/HF, normalised and total power: periodograms of 5-minute pieces, averaged by their length.
 
-    Averaging pieces is Welch's estimate, so no task sees more than one piece of a night.
+    Averaging pieces is Welch's estimate, so no task sees more than one piece of a night. Pieces below ``min_piece_s`` or
+    ``min_piece_beats`` hold no low frequencies; they are left out, and ``n_beats`` counts the beats that were used.
     """
     one = [*keys, "pool"]
     piece = pools.withColumn("_w", F.floor(F.col("t") / window_s))
     arr = piece.groupBy(*one, "_w").agg(F.array_sort(F.collect_list(F.struct("t", "rr_ms"))).alias("_a"), F.count(F.lit(1)).alias("_n"))
 
-    @F.pandas_udf("lf double, hf double, tp double")
+    @F.pandas_udf("s double, lf double, hf double, tp double")
     def power(a: pd.Series) -> pd.DataFrame:
         rows = []
         for beats in a:
             t = np.cumsum([b["rr_ms"] for b in beats]) / 1000.0
             x = np.array([b["rr_ms"] for b in beats], float)
-            if len(x) < 8 or t[-1] - t[0] < 20:
-                rows.append((None, None, None))
+            if len(x) < min_piece_beats or t[-1] - t[0] < min_piece_s:
+                rows.append((0.0, 0.0, 0.0, 0.0))
                 continue
             grid = np.arange(t[0], t[-1], 1 / rate)
             y = np.interp(grid, t, x)
@@ -96,11 +97,12 @@ def frequency_domain(pools: DataFrame, keys: Sequence[str], window_s: float = 30
             p = 2 * np.abs(np.fft.rfft((y - y.mean()) * win)) ** 2 / (rate * (win**2).sum())
             f = np.fft.rfftfreq(len(y), 1 / rate)
             area = lambda lo, hi: float(p[(f >= lo) & (f < hi)].sum() * (f[1] - f[0]))
-            rows.append((area(0.04, 0.15), area(0.15, 0.4), area(0.0033, 0.4)))
-        return pd.DataFrame(rows, columns=["lf", "hf", "tp"], dtype="float64")
+            rows.append((t[-1] - t[0], area(0.04, 0.15), area(0.15, 0.4), area(0.0033, 0.4)))
+        return pd.DataFrame(rows, columns=["s", "lf", "hf", "tp"], dtype="float64")
 
-    per = arr.withColumn("_p", power("_a")).groupBy(*one).agg(
-        F.sum("_n").alias("n_beats"), *[F.avg(F.when(~F.isnan(F.col(f"_p.{c}")), F.col(f"_p.{c}"))).alias(c) for c in ("lf", "hf", "tp")]
+    length = F.col("_p.s")
+    per = arr.withColumn("_p", power("_a")).where(length > 0).groupBy(*one).agg(
+        F.sum("_n").alias("n_beats"), *[(F.sum(length * F.col(f"_p.{c}")) / F.sum(length)).alias(c) for c in ("lf", "hf", "tp")]
     ).where(F.col("n_beats") >= min_beats)
     both = F.col("lf") + F.col("hf")
     return per.select(*one, "n_beats", "lf", "hf", F.when(F.col("hf") > 0, F.col("lf") / F.col("hf")).alias("lfhf"), F.when(both > 0, F.col("lf") / both).alias("lfn"), F.when(both > 0, F.col("hf") / both).alias("hfn"), "tp")
@@ -128,7 +130,7 @@ def dfa(pools: DataFrame, ax: Axis, scales: Sequence[int], name: str, min_beats:
 
 
 def nonlinear(pools: DataFrame, ax: Axis) -> DataFrame:
-    """DFA alpha1, alpha2 and sample entropy (thinned to 1200 beats) per pool."""
+    """DFA alpha1, alpha2 and sample entropy of all beats per pool."""
     px = pool_axis(ax)
     keys = list(px.keys)
     ent = interval_entropy(pools, keys, "t", "rr_ms").select(*keys, "sampen")

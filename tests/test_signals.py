@@ -238,3 +238,23 @@ def test_microstates_switch(spark):
     m = spark.createDataFrame(rows, "rec string, epoch int, stage int, fs double, channels array<string>, x array<array<double>>")
     got = network.microstates(m, ["rec"], min_peaks=10, k=2, band=(2.0, 25.0)).collect()[0]
     assert 1.5 <= got.ms_trans_rate <= 6.0 and 0.5 < got.ms_n_eff <= 4.0
+
+
+def test_hrv_pieces_weigh_by_length(spark):
+    """A short piece of another rhythm moves the power by its share of the time; too short a piece is not counted."""
+    def beats(start, seconds, hz):
+        out, t = [], 0.0
+        while t < seconds:
+            rr = 1000.0 + 50.0 * np.sin(2 * np.pi * hz * t)
+            out.append(("r", "all", float(start + t), 2, float(rr)))
+            t += rr / 1000.0
+        return out
+
+    whole, short, stub = beats(0.0, 295.0, 0.1), beats(300.0, 30.0, 0.25), beats(600.0, 10.0, 0.1)
+    lf = {}
+    for name, rows in {"a": whole, "b": short, "ab": whole + short, "abs": whole + short + stub}.items():
+        df = spark.createDataFrame(rows, "rec string, pool string, t double, stage int, rr_ms double")
+        got = hrv.frequency_domain(df, ["rec"], min_beats=20).collect()[0]
+        lf[name] = got.lf
+        assert got.n_beats == len(rows) - (len(stub) if name == "abs" else 0)
+    assert lf["ab"] == pytest.approx((lf["a"] * 294 + lf["b"] * 29) / 323, rel=0.01) and lf["abs"] == lf["ab"]
