@@ -107,7 +107,7 @@ def auroc_age(df: DataFrame, gap: float = 2, age: str = "age", score: str = "pro
     cells = cells.groupBy(age, score).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg")
     )
-    out = _auroc_age_dominance(cells, gap, age, score)
+    out = _auroc_age_dominance(cut_lineage(cells), gap, age, score)  # read by three branches, each more than once
     return out.withColumn("auroc_age", F.when(F.col("pairs") > 0, F.col("wins") / F.col("pairs")))
 
 
@@ -117,9 +117,10 @@ def _auroc_age_dominance(cells: DataFrame, gap: float, age: str, score: str) ->
     d = cells.where("neg > 0").select(F.col(age).alias("x"), F.col(score).alias("y"), F.col("neg").alias("w"))
     flat = cells.groupBy(score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     every = _wins(cumulate(flat, [], score, ("pos", "neg")), [], "pos", "neg")
-    older = dominance(q.withColumn("x", F.col("x") + gap), d)
-    younger = dominance(q.withColumn("x", gap - F.col("x")), d.withColumn("x", -F.col("x")))
-    signed = every.unionByName(_negated(older)).unionByName(_negated(younger))
+    x = F.col("x")
+    two = lambda f, old, young: f.select("y", "w", F.inline(F.array(*[F.struct(F.lit(k).alias("side"), v.alias("x")) for k, v in enumerate((old, young))])))
+    far = dominance(two(q, x + gap, gap - x), two(d, x, -x), ["side"])  # too old and too young, counted in one pass
+    signed = every.unionByName(_negated(far))
     return signed.groupBy().agg(F.sum("wins").alias("wins"), F.sum("pairs").alias("pairs"))
 
 
@@ -127,27 +128,28 @@ def _negated(df: DataFrame) -> DataFrame:
     return df.select((-F.col("wins")).alias("wins"), (-F.col("pairs")).alias("pairs"))
 
 
-def dominance(queries: DataFrame, data: DataFrame) -> DataFrame:
-    """Over query/data pairs with data.x > query.x: total pairs, and wins = data.y < query.y plus half ties.
+def dominance(queries: DataFrame, data: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Over query/data pairs (of one group) with data.x > query.x: total pairs, and wins = data.y < query.y plus half ties.
 
-    Inputs (x, y, w). Positions get dense ranks; two ranks split at exactly one bit, so each
+    Inputs (x, y, w) and the group. Positions get dense ranks; two ranks split at exactly one bit, so each
     pair is counted once in the block above that bit. Rows grow by log2(distinct x), not by pairs.
     """
-    both = queries.select("x", "y", F.col("w").alias("q"), F.lit(0).cast("long").alias("d")).unionByName(
-        data.select("x", "y", F.lit(0).cast("long").alias("q"), F.col("w").alias("d"))
+    g = list(group)
+    both = queries.select(*g, "x", "y", F.col("w").alias("q"), F.lit(0).cast("long").alias("d")).unionByName(
+        data.select(*g, "x", "y", F.lit(0).cast("long").alias("q"), F.col("w").alias("d"))
     )
-    pts = both.groupBy("x", "y").agg(F.sum("q").alias("q"), F.sum("d").alias("d"))
-    xs = pts.select("x").distinct().withColumn("n", F.lit(1).cast("long"))
+    pts = both.groupBy(*g, "x", "y").agg(F.sum("q").alias("q"), F.sum("d").alias("d"))
+    xs = pts.select(*g, "x").distinct().withColumn("n", F.lit(1).cast("long"))
     bits = max(int(xs.count() - 1), 1).bit_length()  # xs: distinct positions
-    ranked = cumulate(xs, [], "x").select("x", (F.col("cum_n") - 1).alias("r"))
-    lv = pts.join(ranked, "x").withColumn("lvl", F.explode(F.array(*[F.lit(b) for b in range(bits)])))
+    ranked = cumulate(xs, g, "x").select(*g, "x", (F.col("cum_n") - 1).alias("r"))
+    lv = pts.join(ranked, [*g, "x"]).withColumn("lvl", F.explode(F.array(*[F.lit(b) for b in range(bits)])))
     side = F.expr("shiftright(r, lvl) & 1")
     lv = lv.select(
-        "lvl", F.expr("shiftright(r, lvl + 1)").alias("block"), "y",
+        *g, "lvl", F.expr("shiftright(r, lvl + 1)").alias("block"), "y",
         F.when(side == 0, F.col("q")).otherwise(0).alias("q"), F.when(side == 1, F.col("d")).otherwise(0).alias("d"),
     ).where("q > 0 OR d > 0")
-    hist = lv.groupBy("lvl", "block", "y").agg(F.sum("q").alias("q"), F.sum("d").alias("d"))
-    out = _wins(cumulate(hist, ["lvl", "block"], "y", ("q", "d")), [], "q", "d")
+    hist = lv.groupBy(*g, "lvl", "block", "y").agg(F.sum("q").alias("q"), F.sum("d").alias("d"))
+    out = _wins(cumulate(hist, [*g, "lvl", "block"], "y", ("q", "d")), [], "q", "d")
     return out.select(F.coalesce("wins", F.lit(0.0)).alias("wins"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
 
 
