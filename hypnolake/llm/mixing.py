@@ -1,7 +1,7 @@
 """Language-model scores by online logistic context mixing.
 
-A text is its lower-cased words and one end. The frequent words, one symbol for all rarer ones and the end are spelled by a Huffman code of
-the training tokens, and every bit is predicted in three hashed contexts: none, the last token, the last two. A context
+A text is its lower-cased words and one end. The CODED most frequent words, one symbol for all rarer ones and the end are spelled by a Huffman
+code of the training tokens, and every bit is predicted in three hashed contexts: none, the last token, the last two. A context
 predicts the log odds of the counts that the training texts left in its slot; from the second on it is taken as a change to the one
 before, shrunk where the slot is thin. A mixer adds them with weights chosen by the depth in the code (the gate), and a second stage rescales the
 sum by how sure it is. Both learn online, block by block, inside the text that is scored, so a score never depends on
@@ -9,8 +9,8 @@ other texts of its task. A rarer word adds its share of the counts of all rarer
 the bytes of the text is its bits per byte.
 
 Training gathers the count of every distinct word, combined before the shuffle, and the counts of the hashed contexts, summed from dense
-tables of each task. The slots (2**TABLE_BITS per context) and the list of FREQUENT words are fixed, so what is broadcast is bounded;
-the counts of all other words are joined.
+tables of each task. The slots (2**TABLE_BITS per context) and the list of FREQUENT words whose counts every task knows are fixed, so what is broadcast is
+bounded; the counts of all other words are joined.
 """
 
 from __future__ import annotations
@@ -31,15 +31,16 @@ from hypnolake.session import cut_lineage
 
 from .common import id_text, query, table
 
+CODED = 1 << 12
 FREQUENT = 1 << 17
-TABLE_BITS = 21
+TABLE_BITS = 20
 CONTEXTS = 3
 PRIOR = 0.4  # added to both counts of a slot
 THIN = (0.0, 30.0, 30.0)  # counts at which a context weighs one half
 CLIP = 9.0
 GATES = 8
 CONFIDENCE = 10
-BLOCK = 1024  # bits between two updates
+BLOCK = 2048  # bits between two updates
 RATE, RATE_SCALE = 0.3, 0.02
 SEGMENT = 32_768  # tokens expanded to bits at once
 FLUSH_BYTES = 2_000_000
@@ -87,68 +88,78 @@ class Speller:
     def __init__(self, frequent: list[tuple[bytes, int]], n_rare: int, n_end: int, table_bits: int):
         self.symbol = {w: i for i, (w, _) in enumerate(frequent)}
         self.rare, self.end, self.start = len(frequent), len(frequent) + 1, len(frequent) + 2
-        self.first, self.length, self.node, self.bit = huffman([c for _, c in frequent] + [n_rare, n_end])
+        first, length, node, bit = huffman([c for _, c in frequent] + [n_rare, n_end])
+        self.first, self.length, self.node, self.bit = first.astype(np.int32), length.astype(np.int32), node.astype(np.int32), bit.astype(np.int8)
         self.shift = np.uint64(64 - table_bits)
         self.slots = 1 << table_bits
         self.size = self.rare + 1 + (CONTEXTS - 1) * self.slots  # the first context has a slot per inner node
 
     def symbols(self, words: list[bytes]) -> np.ndarray:
-        rare = self.rare
-        found = [self.symbol.get(w, rare) for w in words]
-        found.append(self.end)
-        return np.array(found, np.int64)
+        """START twice, the words and the end."""
+        get, rare = self.symbol.get, self.rare
+        return np.array([self.start, self.start, *[get(w, rare) for w in words], self.end], np.int32)
 
     def spell(self, symbol: np.ndarray, before: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(slots [bits, CONTEXTS], bit, gate) of ``symbol``, with the two symbols ``before`` it."""
+        """(slots [CONTEXTS, bits], bit, gate) of ``symbol``, with the two symbols ``before`` it."""
         last = np.concatenate([[before[1]], symbol[:-1]]).astype(np.uint64) + np.uint64(1)
         last2 = np.concatenate([[before[0], before[1]], symbol[:-2]])[: len(symbol)].astype(np.uint64) + np.uint64(1)
         n = self.length[symbol]
-        ends = np.cumsum(n)
-        depth = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+        ends = np.cumsum(n, dtype=np.int32)
+        depth = np.arange(int(ends[-1]), dtype=np.int32) - np.repeat(ends - n, n)
         step = depth + np.repeat(self.first[symbol], n)
         node = self.node[step]
-        slots = np.empty((len(step), CONTEXTS), np.int64)
-        slots[:, 0] = node
+        slots = np.empty((CONTEXTS, len(step)), np.int32)
+        slots[0] = node
         at_node = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for k, context in enumerate((last, last * np.uint64(0xC2B2AE3D27D4EB4F) + last2), 1):
-            mixed = (np.repeat(context * np.uint64(0x165667B19E3779F9), n) ^ at_node) * np.uint64(0xD6E8FEB86659FD93)
+            mixed = np.repeat(context * np.uint64(0x165667B19E3779F9), n)
+            mixed ^= at_node
+            mixed *= np.uint64(0xD6E8FEB86659FD93)
             mixed ^= mixed >> np.uint64(32)
-            slots[:, k] = ((mixed * np.uint64(0x9FB21C651E98DF25)) >> self.shift).astype(np.int64) + (self.rare + 1 + (k - 1) * self.slots)
+            mixed *= np.uint64(0x9FB21C651E98DF25)
+            mixed >>= self.shift
+            slots[k] = mixed
+            slots[k] += self.rare + 1 + (k - 1) * self.slots
         return slots, self.bit[step], np.minimum(depth, GATES - 1)
 
 
 def log_odds(n0: np.ndarray, n1: np.ndarray, thin: float) -> np.ndarray:
-    """[odds * trust, trust] per slot, trust being n / (n + thin)."""
+    """odds * trust + i trust per slot, trust being n / (n + thin): one complex number, so that one look-up gets both."""
     n = n0 + n1
     trust = n / (n + thin) if thin else np.ones_like(n)
-    return np.stack([np.log((n1 + PRIOR) / (n0 + PRIOR)).clip(-CLIP, CLIP) * trust, trust], axis=-1).astype(np.float32)
+    return (np.log((n1 + PRIOR) / (n0 + PRIOR)).clip(-CLIP, CLIP) * trust + 1j * trust).astype(np.complex64)
 
 
 def inputs(odds: np.ndarray, slots: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """Mixer inputs, signed towards the true bit: the first context's odds, then each next one's change to it."""
+    """Mixer inputs [CONTEXTS, bits], signed towards the true bit: the first context's odds, then each next one's change to it."""
+    sign = (2 * bit - 1).astype(np.float32)
     x = np.empty(slots.shape, np.float32)
-    x[:, 0] = below = odds[slots[:, 0], 0]
+    below = odds[slots[0]].real
+    np.multiply(below, sign, out=x[0])
     for k in range(1, CONTEXTS):
-        found = odds[slots[:, k]]
-        x[:, k] = found[:, 0] - found[:, 1] * below
-        below = below + x[:, k]
-    x *= (2 * bit - 1).astype(np.float32)[:, None]
+        found = odds[slots[k]]
+        change = found.real - found.imag * below
+        np.multiply(change, sign, out=x[k])
+        below = below + change
     return x
 
 
 def mix(x: np.ndarray, gate: np.ndarray, weights: np.ndarray, scale: np.ndarray) -> float:
-    """-ln p of bits with inputs ``x``; ``weights`` and ``scale`` learn on the way."""
+    """-ln p of bits with inputs ``x``; ``weights`` [CONTEXTS, GATES] and ``scale`` learn on the way."""
     loss = 0.0
-    for s in range(0, len(x), BLOCK):
-        xb, g = x[s : s + BLOCK], gate[s : s + BLOCK]
-        z = np.einsum("ij,ij->i", xb, weights[g])
-        sure = np.minimum(np.abs(z), CONFIDENCE - 1).astype(np.intp)
-        e = np.exp(-np.clip(z * scale[sure], -30, 30))
-        loss += float(np.log1p(e).sum())
+    for s in range(0, x.shape[1], BLOCK):
+        xb, g = x[:, s : s + BLOCK], gate[s : s + BLOCK]
+        w = weights.astype(np.float32)
+        z = xb[0] * w[0][g]
+        for k in range(1, CONTEXTS):
+            z += xb[k] * w[k][g]
+        sure = np.minimum(np.abs(z), CONFIDENCE - 1).astype(np.int8)
+        e = np.exp(-np.clip(z * scale.astype(np.float32)[sure], -30, 30))
+        loss += float(np.log1p(e).sum(dtype=np.float64))
         miss = e / (1 + e)
-        n = np.bincount(g, minlength=GATES) + 32.0
+        n = RATE / (np.bincount(g, minlength=GATES) + 32.0)
         for k in range(CONTEXTS):
-            weights[:, k] += RATE / n * np.bincount(g, weights=miss * xb[:, k], minlength=GATES)
+            weights[k] += n * np.bincount(g, weights=miss * xb[k], minlength=GATES)
         scale += RATE_SCALE / (np.bincount(sure, minlength=CONFIDENCE) + 32.0) * np.bincount(sure, weights=miss * z, minlength=CONFIDENCE)
     return loss
 
@@ -177,7 +188,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def _tables(docs: DataFrame, model) -> np.ndarray:
-    """[odds * trust, trust] per slot. A task counts its training rows in dense tables and passes them on in rows of 2**12 slots, summed by row."""
+    """``log_odds`` of all slots. A task counts its training rows in dense tables and passes them on in rows of 2**12 slots, summed by row."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = model.value
@@ -188,10 +199,10 @@ def _tables(docs: DataFrame, model) -> np.ndarray:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if held_out(doc):
                     continue
-                symbols = np.concatenate([[speller.start, speller.start], speller.symbols(tokens(text.as_py()))])
+                symbols = speller.symbols(tokens(text.as_py()))
                 for s in range(2, len(symbols), SEGMENT):  # the start is never coded, only a context
                     slots, bit, _ = speller.spell(symbols[s : s + SEGMENT], (symbols[s - 2], symbols[s - 1]))
-                    held.append(slots + bit[:, None] * n.shape[1])
+                    held.append((slots + bit.astype(np.int32) * np.int32(n.shape[1])).ravel())
                     size += len(bit)
                 if size > 1_000_000:
                     _count(n, held)
@@ -201,7 +212,8 @@ def _tables(docs: DataFrame, model) -> np.ndarray:
         for s in range(0, cells.shape[1], 64):
             at = np.flatnonzero(cells[:, s : s + 64].any(axis=(0, 2))) + s
             if len(at):
-                yield pa.RecordBatch.from_pydict({"row": at, "n0": [cells[0, r].tobytes() for r in at], "n1": [cells[1, r].tobytes() for r in at]})
+                packed = [[zlib.compress(cells[b, r].tobytes(), 1) for r in at] for b in (0, 1)]
+                yield pa.RecordBatch.from_pydict({"row": at, "n0": packed[0], "n1": packed[1]})
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, n = None, np.zeros((2, _ROW))
@@ -215,7 +227,7 @@ def _tables(docs: DataFrame, model) -> np.ndarray:
                     if current is not None:
                         yield done()
                     current, n = r, np.zeros((2, _ROW))
-                n += np.stack([np.frombuffer(n0, np.int32), np.frombuffer(n1, np.int32)])
+                n += np.stack([np.frombuffer(zlib.decompress(b), np.int32) for b in (n0, n1)])
         if current is not None:
             yield done()
 
@@ -233,21 +245,22 @@ def _tables(docs: DataFrame, model) -> np.ndarray:
 def _count(n: np.ndarray, held: list[np.ndarray]) -> None:
     if held:
         flat = n.reshape(-1)
-        flat += np.bincount(np.concatenate(held).reshape(-1), minlength=len(flat))
+        flat += np.bincount(np.concatenate(held), minlength=len(flat))
 
 
 SCORED = (
-    "doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, logs double, nats double, rare array<long>, rare_n array<long>"
+    "doc_id long, held_out boolean, n_tokens long, n_bytes long, known long, logs double, nats double, in_rare long, rare_logs double, rare array<long>, rare_n array<long>"
 )
 
 
-def _score_texts(docs: DataFrame, model) -> DataFrame:
-    """Per row -ln p of its symbols, and the sums over frequent words; other words as (hash, n) for the join. ``model`` is a broadcast."""
+def _score_texts(docs: DataFrame, model, learned) -> DataFrame:
+    """Per row -ln p of its symbols, and sums over the words whose counts are known; others as (hash, n) for the join. ``model`` and ``learned`` are broadcasts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller, odds, logs = model.value
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = ["doc_id", "held_out", "n_tokens", "n_bytes", "known", "logs", "nats", "rare", "rare_n"]
+        speller = model.value
+        odds, known, end_log = learned.value
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["doc_id", "held_out", "n_tokens", "n_bytes", "known", "logs", "nats", "in_rare", "rare_logs", "rare", "rare_n"]
         out: list[tuple] = []
         held = 0
 
@@ -257,17 +270,28 @@ def _score_texts(docs: DataFrame, model) -> DataFrame:
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = tokens(text.as_py())
-                symbols = np.concatenate([[speller.start, speller.start], speller.symbols(words)])
-                weights, scale, nats = np.ones((GATES, CONTEXTS)), np.ones(CONFIDENCE), 0.0
+                symbols = speller.symbols(words)
+                weights, scale, nats = np.ones((CONTEXTS, GATES)), np.ones(CONFIDENCE), 0.0
                 for s in range(2, len(symbols), SEGMENT):
                     slots, bit, gate = speller.spell(symbols[s : s + SEGMENT], (symbols[s - 2], symbols[s - 1]))
                     nats += mix(inputs(odds, slots, bit), gate, weights, scale)
-                coded = symbols[2:]
-                frequent = coded[coded != speller.rare]
-                rare = Counter([words[i] for i in np.flatnonzero(coded == speller.rare).tolist()])
-                hashes = [h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh64_intdigest(w, 42) for w in rare)]
+                coded, other = 1, Counter()
+                logs = end_log
+                in_rare, rare_logs = 0, 0.0
+                for w, n in Counter(words).items():
+                    log = known.get(w)
+                    if log is None:
+                        other[w] = n
+                        continue
+                    logs += n * log
+                    coded += n
+                    if w not in speller.symbol:
+                        in_rare += n
+                        rare_logs += n * log
+                hashes = [h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh64_intdigest(w, 42) for w in other)]
                 size = sum(map(len, words)) + len(words) + 1
-                out.append((doc, held_out(doc), len(coded), size, int((logs[frequent] >= 0).sum()), float(logs[frequent].sum()), nats, hashes, [*rare.values()]))
+                seen = coded - (end_log < 0)
+                out.append((doc, held_out(doc), len(words) + 1, size, seen, logs, nats, in_rare, rare_logs, hashes, [*other.values()]))
                 held += size
                 if held >= FLUSH_BYTES:
                     yield flush()
@@ -278,7 +302,7 @@ def _score_texts(docs: DataFrame, model) -> DataFrame:
     return docs.mapInArrow(run, SCORED)
 
 
-def score(docs: DataFrame, table_bits: int = TABLE_BITS, most_frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, table_bits: int = TABLE_BITS, most_frequent: int = FREQUENT, coded: int = CODED) -> DataFrame:
     """Tokens, base score, model score (log10) and bits per byte of every row of ``docs`` (doc_id, text).
 
     Null or empty text is one end; a null doc_id counts as the empty string when folds are dealt, and stays; equal rows are counted and scored each for itself; texts
@@ -291,12 +315,13 @@ def score(docs: DataFrame, table_bits: int = TABLE_BITS, most_frequent: int = FR
     is_end = F.col("word") == F.lit(END)
     total, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0))).first()
     top = [(bytes(r.word), r.c) for r in counts.filter(~is_end).orderBy(F.col("c").desc(), "word").limit(most_frequent).collect()]
-    n_rare = total - ends - sum(c for _, c in top)
-    v_rare = distinct - (ends > 0) - len(top)
-    speller = Speller(top, n_rare, ends, table_bits)
-    odds = _tables(texts, spark.sparkContext.broadcast(speller))
-    logs = np.log10(np.array([c for _, c in top] + [0, ends]) + 0.5)  # below zero only where the count is zero
-    rows = cut_lineage(_score_texts(texts, spark.sparkContext.broadcast((speller, odds, logs))).withColumn("row", F.monotonically_increasing_id()))
+    spelled = top[:coded]
+    n_rare = total - ends - sum(c for _, c in spelled)
+    v_rare = distinct - (ends > 0) - len(spelled)
+    model = spark.sparkContext.broadcast(Speller(spelled, n_rare, ends, table_bits))
+    odds = _tables(texts, model)
+    learned = spark.sparkContext.broadcast((odds, {w: math.log10(c + 0.5) for w, c in top}, math.log10(ends + 0.5)))
+    rows = cut_lineage(_score_texts(texts, model, learned).withColumn("row", F.monotonically_increasing_id()))
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.rare_n").alias("n"))
     known = rare.join(counts.select(F.xxhash64("word").alias("h"), "c"), "h", "left")
     c, n = F.coalesce("c", F.lit(0)), F.col("n")
@@ -306,7 +331,8 @@ def score(docs: DataFrame, table_bits: int = TABLE_BITS, most_frequent: int = FR
     more_logs = F.coalesce("more_logs", F.lit(0.0))
     in_rare = math.log10(n_rare + 0.5 * (v_rare + 1))
     whole = math.log10(total + 0.5 * (distinct + 1))
-    model_log = more_logs - F.coalesce("more", F.lit(0)) * in_rare - F.col("nats") / math.log(10)
+    rare_logs = F.col("rare_logs") + more_logs - (F.col("in_rare") + F.coalesce("more", F.lit(0))) * in_rare
+    model_log = rare_logs - F.col("nats") / math.log(10)
     return rows.join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
