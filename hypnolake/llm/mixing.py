@@ -154,7 +154,11 @@ def mix(x: np.ndarray, gate: np.ndarray, weights: np.ndarray, scale: np.ndarray)
         for k in range(1, CONTEXTS):
             z += xb[k] * w[k][g]
         sure = np.minimum(np.abs(z), CONFIDENCE - 1).astype(np.int8)
-        e = np.exp(-np.clip(z * scale.astype(np.float32)[sure], -30, 30))
+        e = scale.astype(np.float32)[sure]
+        e *= z
+        np.clip(e, -30, 30, out=e)
+        np.negative(e, out=e)
+        np.exp(e, out=e)
         loss += float(np.log1p(e).sum(dtype=np.float64))
         miss = e / (1 + e)
         n = RATE / (np.bincount(g, minlength=GATES) + 32.0)
@@ -302,6 +306,23 @@ def _score_texts(docs: DataFrame, model, learned) -> DataFrame:
     return docs.mapInArrow(run, SCORED)
 
 
+def _most_frequent(counts: DataFrame, limit: int) -> list[tuple[bytes, int]]:
+    """The words of the highest counts, most frequent first: all steps of 2**(1/16) in the count, from the top, that together hold at most ``limit``.
+
+    A histogram of at most a thousand steps finds the lowest count, so no task sends more than its share of the list.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    held, lowest = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
+        held += r["count"]
+        if held > limit:
+            break
+        lowest = r.step
+    if lowest is None:
+        return []
+    return sorted(((bytes(r.word), r.c) for r in counts.filter(step >= lowest).select("word", "c").collect()), key=lambda x: (-x[1], x[0]))
+
+
 def score(docs: DataFrame, table_bits: int = TABLE_BITS, most_frequent: int = FREQUENT, coded: int = CODED) -> DataFrame:
     """Tokens, base score, model score (log10) and bits per byte of every row of ``docs`` (doc_id, text).
 
@@ -314,7 +335,7 @@ def score(docs: DataFrame, table_bits: int = TABLE_BITS, most_frequent: int = FR
     counts = cut_lineage(count_words(texts))
     is_end = F.col("word") == F.lit(END)
     total, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0))).first()
-    top = [(bytes(r.word), r.c) for r in counts.filter(~is_end).orderBy(F.col("c").desc(), "word").limit(most_frequent).collect()]
+    top = _most_frequent(counts.filter(~is_end), most_frequent)
     spelled = top[:coded]
     n_rare = total - ends - sum(c for _, c in spelled)
     v_rare = distinct - (ends > 0) - len(spelled)
