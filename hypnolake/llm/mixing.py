@@ -31,16 +31,16 @@ from hypnolake.session import cut_lineage
 
 from .common import id_text, query, table
 
-CODED = 1 << 12
+CODED = 1 << 17
 FREQUENT = 1 << 17
-TABLE_BITS = 20
+TABLE_BITS = 21
 CONTEXTS = 3
 PRIOR = 0.4  # added to both counts of a slot
 THIN = (0.0, 30.0, 30.0)  # counts at which a context weighs one half
 CLIP = 9.0
 GATES = 8
 CONFIDENCE = 10
-BLOCK = 2048  # bits between two updates
+BLOCK = 1024  # bits between two updates
 RATE, RATE_SCALE = 0.3, 0.02
 SEGMENT = 32_768  # tokens expanded to bits at once
 FLUSH_BYTES = 2_000_000

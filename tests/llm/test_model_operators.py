@@ -125,6 +125,25 @@ def test_mixer_learns_online():
     assert late < math.log1p(math.exp(-0.5)) * 0.92 and w[0, 0] > 1.3 and s[0] > 1
 
 
+def test_mixer_learns_in_small_blocks():
+    """The bounds of a mixer that is updated every 1,024 bits."""
+    from hypnolake.llm.mixing import CONFIDENCE, CONTEXTS, GATES, mix
+
+    x = np.tile(np.array([[0.5], [0.0], [0.0]], np.float32), (1, 20_000))
+    late = mix(x, np.zeros(x.shape[1], np.int64), w := np.ones((CONTEXTS, GATES)), s := np.ones(CONFIDENCE)) / x.shape[1]
+    assert late < math.log1p(math.exp(-0.5)) * 0.85 and w[0, 0] > 1.5 and s[0] > 1
+
+
+def test_mixing_spells_words_beyond_the_first_thousands(spark):
+    """Of 6,000 words each foretells the next, so no word may be a mere share of the rare ones."""
+    from hypnolake.llm.mixing import score
+
+    ring = " ".join(f"w{k}" for k in np.random.default_rng(3).permutation(6000))
+    docs = spark.createDataFrame([(k, ring) for k in range(40)], "doc_id long, text string")
+    held = [r for r in score(docs).collect() if r.held_out]
+    assert held and all(r.score / r.n_tokens > -0.6 for r in held)
+
+
 def test_mixing_segments_do_not_matter(spark, odd, empty, monkeypatch):
     from hypnolake.llm import mixing
 
