@@ -302,6 +302,37 @@ def test_simhash_keep_one(odd, empty):
     assert keep_one(empty).collect() == [] and near_duplicates(empty).collect() == []
 
 
+def test_near_copies_by_likeness(spark, odd, empty, monkeypatch):
+    """All pairs of five-word Jaccard 0.8 and more are linked, by brute force; 3 bits of SimHash miss most of these."""
+    import corpus_pipeline as pipe
+    from hypnolake.llm import copies
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in rng.integers(0, 400, 300)]
+        for c in range(8):
+            edited = list(base)
+            for at in rng.choice(300, c, replace=False):
+                edited[at] = f"e{g}x{c}x{at}"
+            rows.append((len(rows), " ".join(edited), "en", "a", 0))
+    sets = [{tuple(r[1].split()[i : i + 5]) for i in range(296)} for r in rows]
+    label = list(range(len(rows)))
+    while True:
+        low = [min(label[j] for j in range(len(rows)) if len(s & sets[j]) >= 0.8 * len(s | sets[j])) for s in sets]
+        if low == label:
+            break
+        label = low
+    docs = spark.createDataFrame(rows, DOCS)
+    for bucket in (64, 2):
+        monkeypatch.setattr(copies, "BUCKET", bucket)
+        got = {r.doc_id: r.component_id for r in copies.near_copies(docs).collect()}
+        assert [got[k] for k in range(len(rows))] == label
+    assert sorted(r.doc_id for r in pipe.distinct(spark, docs, SF).collect()) == sorted(set(label))
+    ids = [r.doc_id for r in copies.keep_one(odd).collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 2, 5, 6, 7] and ids.count(None) == 2 and copies.keep_one(empty).collect() == []
+
+
 # licences
 
 
