@@ -380,7 +380,8 @@ def align(docs: DataFrame, left_path: str, right_path: str, id_col: str = "doc_i
     """
     stored = postings(docs, left_path, right_path, id_col, text_col)
     scores = cut_lineage(pair_counts(stored).select(F.col("pair").alias("_pair"), F.col("n_docs").alias("count"), "best"))
-    posts = stored.filter("pair IS NOT NULL").join(scores, F.col("pair") == F.col("_pair")).select("block", "planes", "count", "best")
+    # one plan at every size: pairs grow with the corpus, so neither side is taken to be small
+    posts = stored.filter("pair IS NOT NULL").join(scores.hint("merge"), F.col("pair") == F.col("_pair")).select("block", "planes", "count", "best")
     rows = stored.filter("pair IS NULL").drop("pair", "planes").unionByName(posts, allowMissingColumns=True)
     return rows.groupBy("block").applyInArrow(_return_scores, _RESULT)
 
