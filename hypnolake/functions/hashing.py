@@ -23,7 +23,3 @@ POISSON1_CDF = (
     0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217,
 )
 
-
-def poisson_weight(u: Column) -> Column:
-    """Bootstrap multiplicity of one row: Poisson(1) by inversion of a hash fraction."""
-    return sum((u >= p).cast("int") for p in POISSON1_CDF)

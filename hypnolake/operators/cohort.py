@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.clock import days_between
 from ..functions.hashing import hash_key
+from ..session import cut_lineage
 from .ordered import Axis, ordinal, with_axis
 from .ranks import cumulate
 
@@ -129,13 +130,21 @@ def matched_controls(df: DataFrame, key: str, block: Sequence[str], age: str = "
     """Greedy 1:k controls: exact block, nearest age within the caliper, each control used once.
 
     Controls of one (block, age) are interchangeable, so only their counts travel with the
-    positives. Positives stream through one sorted partition per block (constant memory: free
-    counts per age); concrete controls are then attached by position with an equi-join.
+    positives. Where two successive ages of a block lie further apart than the caliper, nothing below can meet
+    anything above: each such slice is matched on its own. Positives stream through one sorted partition per slice (constant
+    memory: free counts per age); concrete controls are then attached by position with an equi-join.
     """
-    block = list(block)
-    controls = df.where((F.col(label) == 0) & F.col(age).isNotNull()).select(*block, age, key)
+    wanted = list(block)
+    known = df.where(F.col(label).isin(0, 1) & F.col(age).isNotNull())
+    ages = known.select(*wanted, age).distinct()  # one row per age of a block
+    gap = F.col(age) - F.lag(age).over(Window.partitionBy(*wanted).orderBy(age)) > caliper
+    ages = ages.withColumn("_gap", F.coalesce(gap.cast("int"), F.lit(0)))
+    ages = ages.withColumn("_slice", F.sum("_gap").over(Window.partitionBy(*wanted).orderBy(age))).drop("_gap")
+    df = cut_lineage(known.select(*wanted, age, key, label).join(ages, [*wanted, age]))
+    block = [*wanted, "_slice"]
+    controls = df.where(F.col(label) == 0).select(*block, age, key)
     free = controls.groupBy(*block, age).agg(F.count(F.lit(1)).alias("_c"))
-    cases = df.where((F.col(label) == 1) & F.col(age).isNotNull()).select(*block, age, key)
+    cases = df.where(F.col(label) == 1).select(*block, age, key)
     feed = cases.select(*block, F.lit(1).alias("_kind"), F.col(age).alias("_age"), key, F.lit(0).cast("long").alias("_c")).unionByName(
         free.select(*block, F.lit(0).alias("_kind"), F.col(age).alias("_age"), F.lit(None).cast(df.schema[key].dataType).alias(key), "_c")
     )
@@ -175,4 +184,4 @@ def matched_controls(df: DataFrame, key: str, block: Sequence[str], age: str = "
     chosen = sorted_feed.mapInPandas(allocate, out_schema)
     numbered, ax = with_axis(controls, [*block, age], (key,))
     numbered = ordinal(numbered, ax, "_pos").select(*block, F.col(age).alias("_age"), "_pos", F.col(key).alias("control"))
-    return chosen.join(numbered, [*block, "_age", "_pos"]).select(*block, "case", "choice", "control", F.col("_age").alias("control_age"))
+    return chosen.join(numbered, [*block, "_age", "_pos"]).select(*wanted, "case", "choice", "control", F.col("_age").alias("control_age"))

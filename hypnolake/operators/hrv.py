@@ -8,7 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from ..vocab import EPOCH_S, POOLS, STAGES
 from .micro import interval_entropy
 from .ordered import Axis, ordinal, running_sum, shift
@@ -153,29 +155,89 @@ def contrasts(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def windows(rr: DataFrame, keys: Sequence[str], win_s: float = 120.0, min_beats: int = 30) -> DataFrame:
+_PASSED = "_from ARRAY<BIGINT>, _cuts ARRAY<INT>, _rest ARRAY<BIGINT>, _total BIGINT"
+
+
+def _passes(us: np.ndarray, win: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """What a stretch of beats does to the time that is open when it begins.
+
+    ``upto[e]`` is the time to the end of beat e; the first cut falls on the first beat where it reaches what is missing. For every beat on which that
+    can be: the cuts after it and the time open at the end.
+    """
+    upto = np.cumsum(us)
+    n = len(us)
+    start = np.r_[0, upto]  # time before beat s
+    ends = np.searchsorted(upto, start + win, "left")  # the beat that closes a window begun at s; n: none does
+    cuts, rest = np.zeros(n + 1, "int32"), np.zeros(n + 1, "int64")
+    for s in range(n - 1, -1, -1):
+        if ends[s] < n:
+            cuts[s], rest[s] = cuts[ends[s] + 1] + 1, rest[ends[s] + 1]
+        else:
+            rest[s] = upto[-1] - start[s]
+    last = min(int(np.searchsorted(upto, win, "left")) + 1, n)
+    return upto[:last], cuts[1 : last + 1], rest[1 : last + 1], int(upto[-1]) if n else 0
+
+
+def _follow(win: int, n_keys: int):
+    """Stretches of a stage in order, one row each: the time open and the windows closed before each of them."""
+
+    def run(batches):
+        key, open_, done = None, 0, 0
+        for pdf in batches:
+            before = []
+            for row in pdf.itertuples(index=False):
+                here = row[:n_keys]
+                if here != key:
+                    key, open_, done = here, 0, 0
+                before.append((open_, done))
+                upto, cuts, rest, total = row[-4:]
+                e = int(np.searchsorted(upto, win - open_, "left"))
+                open_, done = (int(rest[e]), done + 1 + int(cuts[e])) if e < len(upto) else (open_ + int(total), done)
+            out = pdf.iloc[:, : n_keys + 1].copy()
+            out["_open"], out["_done"] = [b[0] for b in before], [b[1] for b in before]
+            yield out
+
+    return run
+
+
+def windows(rr: DataFrame, keys: Sequence[str], win_s: float = 120.0, min_beats: int = 30, stretch_s: float = 3600.0) -> DataFrame:
     """Consecutive windows of about ``win_s`` of RR time inside each stage (the sum restarts after each window).
 
-    The restart makes the cut sequential, so one stage of one night is cut per call; statistics
-    are then aggregated on beat rows.
+    Beats are cut in stretches of ``stretch_s``, each of which tells what it does to any time that is open when it begins. Only these rows, one a
+    stretch, are followed in order; then every stretch numbers its own beats. Times are whole microseconds, so the cut does not depend on the stretches.
     """
     one = [*keys, "stage"]
-    arr = rr.groupBy(*one).agg(F.array_sort(F.collect_list(F.struct("t", "rr_ms"))).alias("_a")).where(F.size("_a") >= min_beats)
+    at = [*one, "_s"]
+    win = int(round(win_s * 1e6))
+    us = F.round(F.col("rr_ms") * 1000).cast("long")
+    beats = rr.withColumn("_s", F.floor(F.col("t") / stretch_s)).groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("t", "rr_ms", us.alias("us")))).alias("_a"))
+    beats = cut_lineage(beats)
+
+    @F.pandas_udf(_PASSED)
+    def passes(a: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_passes(np.asarray(x, "int64"), win) for x in a], columns=["_from", "_cuts", "_rest", "_total"])
+
+    told = beats.select(*at, passes(F.col("_a.us")).alias("_p")).select(*at, "_p.*")
+    schema = T.StructType([*told.select(*at).schema, T.StructField("_open", T.LongType()), T.StructField("_done", T.LongType())])
+    ordered = told.repartition(*one).sortWithinPartitions(*at)
+    before = ordered.mapInPandas(_follow(win, len(one)), schema)
+    before = before.select(*[F.col(c).alias(f"_b_{c}") for c in at], "_open", "_done")
 
     @F.pandas_udf("array<int>")
-    def cut(a: pd.Series) -> pd.Series:
+    def cut(a: pd.Series, open_: pd.Series, done: pd.Series) -> pd.Series:
         out = []
-        for rr_ms in a:
-            ids, total, k = [], 0.0, 0
-            for v in rr_ms:
+        for us_, total, k in zip(a, open_, done):
+            ids = []
+            for v in us_:
                 ids.append(k)
                 total += v
-                if total >= win_s * 1000:
-                    k, total = k + 1, 0.0
+                if total >= win:
+                    k, total = k + 1, 0
             out.append(ids)
         return pd.Series(out)
 
-    z = arr.withColumn("_w", cut(F.col("_a.rr_ms"))).select(*one, F.explode(F.arrays_zip("_a", "_w")).alias("_z"))
+    same = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in at]
+    z = beats.join(before, same).withColumn("_w", cut(F.col("_a.us"), "_open", "_done")).select(*one, F.explode(F.arrays_zip("_a", "_w")).alias("_z"))
     beats = z.select(*one, F.col("_z._w").alias("window_index"), "_z._a.t", "_z._a.rr_ms")
     w = Window.partitionBy(*one, "window_index").orderBy("t")
     d = beats.withColumn("_d", F.col("rr_ms") - F.lag("rr_ms").over(w))

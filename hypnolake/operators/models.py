@@ -1,7 +1,7 @@
-"""Classifiers, calibration, site experts and evaluation drivers on MLlib.
+"""Classifiers, calibration, site experts and evaluation drivers: boosting of our own, the rest on MLlib.
 
-A feature table is wide: key, site, age, label and numeric feature columns. Drivers loop over
-sites, folds or arms (short lists); every fit and transform inside is a distributed job.
+A feature table is wide: key, site, age, label and numeric feature columns. The boosted models of all sites, folds, repeats and
+calibration parts of a driver are fitted in one run (``fit_sets``) and each row is scored once per model it needs.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression
@@ -20,12 +22,10 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_fraction, hash_key
 from ..session import cut_lineage
-from . import metrics as m
-from .cohort import stratified_folds, subsample_positives
+from . import boosting, metrics as m
+from .cohort import permuted, stratified_folds
 from .ranks import auroc
 
-# Fixed settings of the boosted model: iterations, step, depth (31 leaves), rows per leaf.
-GBT = {"maxIter": 400, "stepSize": 0.05, "maxDepth": 5, "minInstancesPerNode": 20, "seed": 42}
 LOGIT = {"maxIter": 100, "regParam": 0.0}
 
 
@@ -35,7 +35,7 @@ def training_table(df: DataFrame) -> DataFrame:
 
 
 def with_flags(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """NaN to NULL, and one missing-indicator per feature (trees here have no native missing branch)."""
+    """NaN to NULL, and one missing-indicator per feature (MLlib has no missing branch)."""
     clean = {f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features}
     return df.withColumns(clean).withColumns({f"{f}__na": F.col(f).isNull().cast("double") for f in features})
 
@@ -58,9 +58,7 @@ def class_weight(df: DataFrame, label: str = "label") -> Column:
 
 def base_pipeline(kind: str, features: Sequence[str], weight: str | None, **params) -> Pipeline:
     extra = {"weightCol": weight} if weight else {}
-    if kind == "gbt":
-        clf, scale = GBTClassifier(featuresCol="_x", labelCol="label", **{**GBT, **params}, **extra), False
-    elif kind == "logit":
+    if kind == "logit":
         clf, scale = LogisticRegression(featuresCol="_z", labelCol="label", **{**LOGIT, **params}, **extra), True
     elif kind == "forest":
         clf, scale = RandomForestClassifier(featuresCol="_x", labelCol="label", **{"seed": 42, **params}, **extra), False
@@ -99,9 +97,97 @@ class Classifier:
                 iso.write().overwrite().save(f"{path}/part{i}/isotonic")
 
 
-def fit_classifier(train: DataFrame, features: Sequence[str], kind: str = "gbt", weight: str | None = None, calibrate: bool = True, key: str = "rec", folds: int = 3, **params) -> Classifier:
+# ------------------------------------------------------------------ boosted sets (M1, M2)
+@dataclass
+class BoostedSets:
+    """Boosted models of several training sets, fitted together: a set's probability is the mean over its parts' (calibrated) ones."""
+
+    model: boosting.Boosted
+    parts: dict[str, list[int]]  # model numbers by set
+    maps: dict[int, tuple[np.ndarray, np.ndarray]]  # isotonic maps by model number
+
+    def _prob(self, bins: np.ndarray, name: str) -> np.ndarray:
+        each = []
+        for k in self.parts[name]:
+            raw = self.model.raw(bins, k)
+            each.append(np.interp(raw, *self.maps[k]) if k in self.maps else 1 / (1 + np.exp(-raw)))
+        return np.mean(each, axis=0)
+
+    def prob(self, name: Column) -> Column:
+        """Probability by the set each row names; 0 where it names none."""
+
+        @F.pandas_udf("double")
+        def score(x: pd.Series, names: pd.Series) -> pd.Series:
+            bins, out = self.model.bins(boosting.matrix(x, len(self.model.features))), np.zeros(len(x))
+            for n in names.dropna().unique():
+                if n in self.parts:
+                    rows = np.flatnonzero((names == n).to_numpy())
+                    out[rows] = self._prob(bins[:, rows], n)
+            return pd.Series(out)
+
+        return score(boosting.vector(self.model.features), name)
+
+    def probs(self, names: Sequence[str]) -> Column:
+        """Array of every named set's probability."""
+
+        @F.pandas_udf("array<double>")
+        def score(x: pd.Series) -> pd.Series:
+            bins = self.model.bins(boosting.matrix(x, len(self.model.features)))
+            return pd.Series(list(np.array([self._prob(bins, n) for n in names]).T))
+
+        return score(boosting.vector(self.model.features))
+
+
+@dataclass
+class BoostedSet:
+    """One of the sets, used like any classifier."""
+
+    sets: BoostedSets
+    name: str
+
+    def transform(self, df: DataFrame, out: str = "prob") -> DataFrame:
+        return df.withColumn(out, self.sets.prob(F.lit(self.name)))
+
+
+def fit_sets(train: DataFrame, features: Sequence[str], sets: dict[str, Column], weight: str | None = None, calibrate: bool = True, key: str = "rec", folds: int = 3, **settings) -> BoostedSets:
+    """A boosted model per set of rows, all in one run.
+
+    Sets with 3 rows of the rarer class and 30 rows get a part per fold, fitted without it, and the fold's rows an isotonic map of the part's scores.
+    """
+    features, names = list(features), list(sets)
+    data = train.where(F.col("label").isin(0, 1))
+    fold = F.lit(-1)
+    if calibrate:
+        data = data.join(stratified_folds(data, key, ["label"], folds).select(key, F.col("fold").alias("_fold")), key)
+        fold = F.col("_fold")
+    data = training_table(data.withColumn("_sets", F.array(*[F.coalesce(sets[n], F.lit(False)) for n in names])))
+    inside = [F.get("_sets", F.lit(i)) for i in range(len(names))]
+    n = data.agg(*[F.sum(F.when(c & (F.col("label") == y), 1).otherwise(0)) for c in inside for y in (0, 1)]).first()
+    parts: dict[str, list[int]] = {}
+    members: list[Column] = []
+    held: list[Column] = []  # the rows a calibrated part has not seen
+    for i, name in enumerate(names):
+        neg, pos = n[2 * i] or 0, n[2 * i + 1] or 0
+        split = calibrate and min(neg, pos) >= 3 and neg + pos >= 30
+        parts[name] = list(range(len(members), len(members) + (folds if split else 1)))
+        for f in range(folds) if split else [None]:
+            members.append(inside[i] if f is None else inside[i] & (fold != f))
+            held.append(F.lit(False) if f is None else inside[i] & (fold == f))
+    model = boosting.fit(data, features, members, weight=weight, key=key, settings=boosting.Settings(**settings))
+    if not any(len(p) > 1 for p in parts.values()):
+        return BoostedSets(model, parts, {})
+    numbers = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(held)]), lambda k: k.isNotNull())
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    each = data.select("label", w.alias("weight"), *features, F.explode(numbers).alias("model"))
+    scored = each.select("model", "label", "weight", boosting.raw_score(model, F.col("model")).alias("score"))
+    return BoostedSets(model, parts, boosting.isotonic(scored))
+
+
+def fit_classifier(train: DataFrame, features: Sequence[str], kind: str = "boost", weight: str | None = None, calibrate: bool = True, key: str = "rec", folds: int = 3, **params) -> Classifier | BoostedSet:
     """Base model; with 3 rows of the rarer class and 30 rows, isotonic maps from held-out folds instead."""
     features = list(features)
+    if kind == "boost":
+        return BoostedSet(fit_sets(train, features, {"all": F.lit(True)}, weight, calibrate, key, folds, **params), "all")
     n = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     rare = min(n.get(0, 0), n.get(1, 0))
     data = with_flags(train, features)
@@ -125,12 +211,17 @@ def fit_classifier(train: DataFrame, features: Sequence[str], kind: str = "gbt",
 class SiteModels:
     """Global model, one expert per large enough site, optional override heads."""
 
-    overall: Classifier
-    experts: dict[str, Classifier]
-    overrides: dict[str, Classifier] = field(default_factory=dict)
+    overall: Classifier | BoostedSet
+    experts: dict[str, Classifier | BoostedSet]
+    overrides: dict[str, Classifier | BoostedSet] = field(default_factory=dict)
 
     def transform(self, df: DataFrame, site: str = "site", out: str = "prob") -> DataFrame:
         chosen = {**self.experts, **self.overrides}
+        if isinstance(self.overall, BoostedSet):
+            name = F.lit(self.overall.name)
+            for s, c in chosen.items():
+                name = F.when(F.col(site) == s, F.lit(c.name)).otherwise(name)
+            return df.withColumn(out, self.overall.sets.prob(name))
         rest = df.where(~F.col(site).isin(*chosen)) if chosen else df
         parts = [self.overall.transform(rest, out)] + [c.transform(df.where(F.col(site) == s), out) for s, c in chosen.items()]
         return reduce(DataFrame.unionByName, parts)
@@ -144,8 +235,13 @@ def site_sizes(df: DataFrame, site: str = "site") -> dict[str, tuple[int, int]]:
 
 def fit_site_models(train: DataFrame, features: Sequence[str], site: str = "site", min_n: int = 40, override: Sequence[str] = (), **kw) -> SiteModels:
     train = training_table(train)
-    overall = fit_classifier(train, features, **kw)
     big = [s for s, (n, p) in sorted(site_sizes(train, site).items()) if n >= min_n and 0 < p < n]
+    if kw.get("kind", "boost") == "boost":
+        kw.pop("kind", None)
+        fitted = fit_sets(train, features, {"all": F.lit(True), **{f"site {s}": F.col(site) == s for s in big}}, **kw)
+        experts = {s: BoostedSet(fitted, f"site {s}") for s in big}
+        return SiteModels(BoostedSet(fitted, "all"), experts, {s: experts[s] for s in override if s in experts})
+    overall = fit_classifier(train, features, **kw)
     experts = {s: fit_classifier(train.where(F.col(site) == s), features, **kw) for s in big}
     return SiteModels(overall, experts, {s: experts[s] for s in override if s in experts})  # the head is the site's own expert
 
@@ -168,14 +264,19 @@ def routed_prediction(df: DataFrame, router: tuple[PipelineModel, list[str]], mo
     for stage in model.stages[1:]:
         cur = stage.transform(cur)
     cur = cur.select(*df.columns, vector_to_array("_ps").alias("_w"))
-    for i, s in enumerate(labels):
-        cur = models.experts.get(s, models.overall).transform(cur, f"_e{i}")
-    each = F.array(*[F.col(f"_e{i}") for i in range(len(labels))])
+    used = [models.experts.get(s, models.overall) for s in labels]
+    if isinstance(models.overall, BoostedSet):
+        cur = cur.withColumn("_each", models.overall.sets.probs([c.name for c in used]))
+    else:
+        for i, c in enumerate(used):
+            cur = c.transform(cur, f"_e{i}")
+        cur = cur.withColumn("_each", F.array(*[F.col(f"_e{i}") for i in range(len(labels))])).drop(*[f"_e{i}" for i in range(len(labels))])
+    each = F.col("_each")
     if soft:
         prob = F.aggregate(F.zip_with("_w", each, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     else:
         prob = F.get(each, F.array_position("_w", F.array_max("_w")).cast("int") - 1)
-    return cur.withColumn("prob", prob).drop("_w", *[f"_e{i}" for i in range(len(labels))])
+    return cur.withColumn("prob", prob).drop("_w", "_each")
 
 
 # ------------------------------------------------------------------ pairwise ranker (M6)
@@ -268,20 +369,23 @@ def score_job(table: DataFrame, trained: Trained, bmi: str | None = None) -> Dat
     return m.apply_thresholds(trained.models.transform(filled), trained.thresholds)
 
 
-def loso(table: DataFrame, features: Sequence[str], site: str = "site", fit=fit_classifier, **kw) -> DataFrame:
-    """Out-of-fold rows: every site scored by a model of the other sites (single-class train folds are skipped)."""
+def loso(table: DataFrame, features: Sequence[str], site: str = "site", kind: str = "boost", key: str = "rec", **kw) -> DataFrame:
+    """Out-of-fold rows: every site scored by a model of the other sites (single-class train folds are skipped).
+
+    Boosted models of all folds are fitted in one run and the rows scored in one pass.
+    """
     rows = training_table(m.labelled(table))
     sizes = site_sizes(rows, site)
     n_all, p_all = sum(n for n, _ in sizes.values()), sum(p for _, p in sizes.values())
-    parts = []
-    for s, (n, p) in sorted(sizes.items()):
-        if not 0 < p_all - p < n_all - n:
-            continue
-        model = fit(rows.where(F.col(site) != s), features, **kw)
-        rate = (p_all - p) / (n_all - n)
-        scored = model.transform(rows.where(F.col(site) == s))
-        parts.append(scored.withColumn("pred", (F.col("prob") > rate).cast("int")))
-    return training_table(reduce(DataFrame.unionByName, parts))
+    usable = {s: (p_all - p) / (n_all - n) for s, (n, p) in sorted(sizes.items()) if 0 < p_all - p < n_all - n}
+    if kind == "boost":
+        fitted = fit_sets(rows, features, {s: F.col(site) != s for s in usable}, key=key, **kw)
+        scored = rows.where(F.col(site).isin(*usable)).withColumn("prob", fitted.prob(F.col(site)))
+    else:
+        parts = [fit_classifier(rows.where(F.col(site) != s), features, kind=kind, key=key, **kw).transform(rows.where(F.col(site) == s)) for s in usable]
+        scored = reduce(DataFrame.unionByName, parts)
+    rate = F.coalesce(*[F.when(F.col(site) == s, F.lit(r)) for s, r in usable.items()])
+    return training_table(scored.withColumn("pred", (F.col("prob") > rate).cast("int")))
 
 
 def fold_metrics(oof: DataFrame, reference: DataFrame, site: str = "site") -> DataFrame:
@@ -302,17 +406,17 @@ def train_val_test(table: DataFrame, features: Sequence[str], key: str = "rec",
     return m.evaluate(m.apply_thresholds(model.transform(part("test")), thr), part("train"))
 
 
-def repeated_oof(table: DataFrame, features: Sequence[str], key: str = "rec", k: int = 5, repeats: int = 10, seed: int = 0, **kw) -> DataFrame:
-    """Mean out-of-fold probability per recording over repeated stratified k-fold."""
-    rows = training_table(m.labelled(table))
-    folds = training_table(stratified_folds(rows, key, ["label"], k, repeats, seed))
-    parts = []
-    for r in range(repeats):
-        data = rows.join(folds.where(F.col("repeat") == r), key)
-        for f in range(k):
-            model = fit_classifier(data.where(F.col("fold") != f), features, key=key, **kw)
-            parts.append(model.transform(data.where(F.col("fold") == f)).select(key, "label", "prob"))
-    return reduce(DataFrame.unionByName, parts).groupBy(key, "label").agg(F.avg("prob").alias("prob"), F.count(F.lit(1)).alias("n_oof"))
+def repeated_oof(table: DataFrame, features: Sequence[str], key: str = "rec", k: int = 5, repeats: int = 10, seed: int = 0, strata: Sequence[str] = ("label",), **kw) -> DataFrame:
+    """Mean out-of-fold probability per recording over repeated k-fold, stratified by ``strata``: one run for the models of all folds and repeats."""
+    rows = m.labelled(table)
+    folds = stratified_folds(rows, key, list(strata), k, repeats, seed).groupBy(key)
+    folds = folds.agg(F.transform(F.sort_array(F.collect_list(F.struct("repeat", "fold"))), lambda x: x.fold).alias("_folds"))  # one entry per repeat
+    data = training_table(rows.join(folds, key))
+    sets = {f"{r}/{f}": F.get("_folds", F.lit(r)) != f for r in range(repeats) for f in range(k)}
+    fitted = fit_sets(data, features, sets, key=key, **kw)
+    each = data.select(key, "label", *features, F.posexplode("_folds").alias("_r", "_f"))
+    scored = each.select(key, "label", fitted.prob(F.concat_ws("/", F.col("_r"), F.col("_f"))).alias("prob"))
+    return scored.groupBy(key, "label").agg(F.avg("prob").alias("prob"), F.count(F.lit(1)).alias("n_oof"))
 
 
 def compare_arms(table: DataFrame, arms: dict[str, Sequence[str]], key: str = "rec", replicates: int = 200, seed: int = 7, **kw) -> DataFrame:
@@ -338,6 +442,24 @@ def score_excluded(table: DataFrame, trained, group: str) -> tuple[DataFrame, Da
     return means, auroc(tall, ["pair"], "prob", "label")
 
 
+def risk_trend(scored: DataFrame, group: str, time: str, score: str = "prob") -> DataFrame:
+    """Does risk fall as the event lies further off? Per group: rank correlation of risk and time, its two-sided p, mean risk by tertile of time."""
+    from ..functions.tails import student_two_sided
+    from .ranks import average_ranks, quantiles
+
+    known = training_table(scored.where(F.col(group).isNotNull() & F.col(time).isNotNull() & F.col(score).isNotNull()).select(group, F.col(time).alias("_t"), F.col(score).alias("_p")))
+    ranks = known
+    for c in ("_t", "_p"):
+        r = average_ranks(known, [group], c).select(F.col(group).alias("_g"), F.col(c).alias("_v"), F.col("rank").alias(f"{c}r"))
+        ranks = ranks.join(r, (F.col(group) == F.col("_g")) & (F.col(c) == F.col("_v"))).drop("_g", "_v")
+    ranks = ranks.join(quantiles(known, [group], "_t", {"_q1": 1 / 3, "_q2": 2 / 3}), group)
+    third = F.when(F.col("_t") <= F.col("_q1"), 1).when(F.col("_t") <= F.col("_q2"), 2).otherwise(3)
+    out = ranks.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.corr("_tr", "_pr").alias("rho"), *[F.avg(F.when(third == k, F.col("_p"))).alias(f"mean_risk_third_{k}") for k in (1, 2, 3)])
+    room = 1 - F.col("rho") * F.col("rho")
+    t = F.when((F.col("n") > 2) & (room > 0), F.col("rho") * F.sqrt((F.col("n") - 2) / room))
+    return out.withColumn("_d", (F.col("n") - 2).cast("double")).withColumn("_t", t).withColumn("p", student_two_sided("_t", "_d")).drop("_t", "_d")
+
+
 def calibration_line(df: DataFrame, score: str = "prob", label: str = "label") -> DataFrame:
     """Slope and intercept of a logistic fit on the logit of the clipped probability."""
     p = F.least(F.greatest(F.col(score), F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -346,16 +468,22 @@ def calibration_line(df: DataFrame, score: str = "prob", label: str = "label") -
     return df.sparkSession.createDataFrame([(float(lr.coefficients[0]), float(lr.intercept))], "slope DOUBLE, intercept DOUBLE")
 
 
-def learning_curve(table: DataFrame, features: Sequence[str], fractions: Sequence[float], seeds: Sequence[int], key: str = "rec", **kw) -> DataFrame:
-    """Leave-one-site-out AUROC by share of positives kept, mean and SD over seeds."""
-    rows = training_table(m.labelled(table))
-    parts = []
-    for fr in fractions:
-        for sd in seeds:
-            oof = loso(subsample_positives(rows, key, fr, sd), features, key=key, **kw)
-            parts.append(auroc(oof, [], "prob", "label").select(F.lit(float(fr)).alias("fraction"), F.lit(int(sd)).alias("seed"), "auroc"))
-    runs = reduce(DataFrame.unionByName, parts)
-    return runs.groupBy("fraction").agg(F.count("auroc").alias("n_seeds"), F.avg("auroc").alias("mean"), F.stddev_samp("auroc").alias("sd"))
+def learning_curve(table: DataFrame, features: Sequence[str], fractions: Sequence[float], seeds: Sequence[int], site: str = "site", key: str = "rec", **kw) -> DataFrame:
+    """Leave-one-site-out AUROC by share of positives kept, mean and SD over seeds: one run for all shares, seeds and sites."""
+    rows = m.labelled(table)
+    for sd in seeds:  # place of each positive in every seed's permutation
+        place = permuted(rows.where("label = 1"), [], key, sd).select(key, F.col("pos").alias(f"_pos{sd}"), F.col("n_stratum").alias(f"_n{sd}"))
+        rows = rows.join(place, key, "left")
+    rows = training_table(rows)
+    kept = {(fr, sd): F.coalesce(F.col(f"_pos{sd}") <= F.greatest(F.round(F.col(f"_n{sd}") * fr), F.lit(1)), F.lit(True)) for fr in fractions for sd in seeds}
+    sites = sorted(site_sizes(rows, site))
+    sets = {f"{fr}/{sd}/{s}": c & (F.col(site) != s) for (fr, sd), c in kept.items() for s in sites}
+    fitted = fit_sets(rows, features, sets, key=key, **kw)
+    runs = F.filter(F.array(*[F.when(c, F.struct(F.lit(float(fr)).alias("fraction"), F.lit(int(sd)).alias("seed"), F.lit(f"{fr}/{sd}/").alias("head"))) for (fr, sd), c in kept.items()]), lambda x: x.isNotNull())
+    each = rows.select("label", site, *features, F.explode(runs).alias("_run")).select("label", site, *features, "_run.*")
+    each = each.withColumn("prob", fitted.prob(F.concat("head", F.col(site)))).select("fraction", "seed", "label", "prob")
+    per = auroc(training_table(each), ["fraction", "seed"], "prob", "label")
+    return per.groupBy("fraction").agg(F.count("auroc").alias("n_seeds"), F.avg("auroc").alias("mean"), F.stddev_samp("auroc").alias("sd"))
 
 
 # ------------------------------------------------------------------ reduction, importances, probes

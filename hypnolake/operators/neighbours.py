@@ -1,93 +1,136 @@
 """Exact k-nearest-neighbour join and its uses, without a cross join.
 
-Train rows go to their nearest pivot. A query visits only the cells that can hold one of its
-k nearest rows (triangle inequality against an upper bound from cell counts and radii). Cells and
-query sets above ``block_rows`` are salted, so no task holds more than one block of each.
+Train rows go to their nearest pivot; pivots grow with the square root of the rows. A query first searches its own cell, which gives it a true k-th
+distance, and then only the cells that can hold a nearer row (triangle inequality with the cells' radii). Cells and query sets above
+``block_rows`` are salted, so no task holds more than one block of each; distances are matrix products over sub-blocks, and those near the
+k-th are computed again exactly.
 """
 
 from __future__ import annotations
 
+import logging
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_fraction, hash_key
 from ..session import cut_lineage
 
-PIVOTS = 64
+SUB_BLOCK = 256  # queries whose distances to a block are held at once
+log = logging.getLogger(__name__)
 
 
 def _matrix(s: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, float) for v in s]) if len(s) else np.zeros((0, 1))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances by one matrix product; good to about 1e-13 of the squared lengths."""
+    return np.maximum((a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T), 0)
+
+
+def nearest_rows(q: np.ndarray, t: np.ndarray, want: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the ``want`` nearest rows of ``t`` per query, at most ``bound`` away, ties in the order of ``t``."""
+    d2 = _squares(q, t)
+    slack = 1e-11 * ((q * q).sum(axis=1).max(initial=0) + (t * t).sum(axis=1).max(initial=0)) + 1e-300
+    m = min(want, len(t))
+    kth = np.partition(d2, m - 1, axis=1)[:, m - 1]
+    row, col = np.nonzero(d2 <= (np.minimum(kth, bound * bound) + slack)[:, None])
+    exact = np.sqrt(((q[row] - t[col]) ** 2).sum(axis=1))
+    order = np.lexsort((col, exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+    keep = (place < m) & (exact <= bound[row] * (1 + 1e-9) + 1e-12)
+    return row[keep], col[keep], exact[keep]
+
+
+def _search(ask: DataFrame, cells: Column, placed: DataFrame, salts: dict[int, int], want: int, names: list[str], out_schema: str, block_rows: int) -> DataFrame:
+    """Nearest rows of every query (_qk, _qv, _bound) in the cells it visits: up to ``want`` rows per visited block."""
+    key, payload = names[0], names[3:]
+    n_salts = F.element_at(F.create_map(*[F.lit(x) for kv in salts.items() for x in kv]), F.col("cell"))
+    left = ask.withColumn("cell", F.explode(cells)).withColumn("salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
+    per = left.groupBy("cell").agg(F.count(F.lit(1)).alias("_q")).withColumn("_qs", F.greatest(F.ceil(F.col("_q") / (F.lit(block_rows) * n_salts)), F.lit(1)).cast("int")).select("cell", "_qs")
+    left = left.join(F.broadcast(per), "cell").withColumn("part", F.pmod(F.xxhash64("_qk"), F.col("_qs"))).drop("_qs")  # one row per pivot
+    right = placed.withColumn("salt", F.pmod(F.xxhash64(key), n_salts).cast("int")).join(F.broadcast(per), "cell")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_qs").cast("long") - 1))).drop("_qs")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    vector = next(c for c in placed.columns if c not in (key, "cell", *payload))
+
+    def block(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or t.empty:
+            return pd.DataFrame({n: [] for n in names})
+        t = t.sort_values(key)
+        tm, tk, rows = _matrix(t[vector]), t[key].to_numpy(), []
+        for a in range(0, len(q), SUB_BLOCK):
+            part = q.iloc[a : a + SUB_BLOCK]
+            row, col, d = nearest_rows(_matrix(part["_qv"]), tm, want, part["_bound"].to_numpy())
+            rows.append(pd.DataFrame({key: part["_qk"].to_numpy()[row], "neighbour": tk[col], "distance": d, **{p: t[p].to_numpy()[col] for p in payload}}))
+        return pd.concat(rows)[names]
+
+    g = ["cell", "salt", "part"]
+    return left.groupBy(*g).cogroup(right.groupBy(*g)).applyInPandas(block, out_schema)
 
 
-def knn_join(queries: DataFrame, train: DataFrame, k: int, key: str, vector: str, payload: str | None = None, block_rows: int = 20_000, exclude_self: bool = False, n_pivots: int = PIVOTS) -> DataFrame:
+def knn_join(queries: DataFrame, train: DataFrame, k: int, key: str, vector: str, payload: str | None = None, block_rows: int = 20_000, exclude_self: bool = False, n_pivots: int | None = None) -> DataFrame:
     """(query key, rank, neighbour key, distance[, payload]); ties break by neighbour key."""
     cols = [key, vector] + ([payload] if payload else [])
-    bank, ask = train.select(*cols), queries.select(key, vector)
-    want = k + int(exclude_self)
-    # a fixed number of seeded rows; they only steer pruning, never the result
+    bank, want = cut_lineage(train.select(*cols)), k + int(exclude_self)
+    n_pivots = n_pivots or max(16, math.isqrt(bank.count()))
+    # seeded rows; they only steer pruning, never the result
     pivots = _matrix(pd.Series([r[0] for r in bank.orderBy(hash_key("pivot", F.col(key))).select(vector).limit(n_pivots).collect()]))
 
     @F.pandas_udf("cell int, radius double")
     def nearest(v: pd.Series) -> pd.DataFrame:
-        d = _distances(_matrix(v), pivots)
-        return pd.DataFrame({"cell": d.argmin(axis=1).astype("int32"), "radius": d.min(axis=1)})
+        x = _matrix(v)
+        cell = _squares(x, pivots).argmin(axis=1)
+        return pd.DataFrame({"cell": cell.astype("int32"), "radius": np.sqrt(((x - pivots[cell]) ** 2).sum(axis=1))})
 
     placed = bank.withColumn("_c", nearest(vector)).select(*cols, F.col("_c.cell").alias("cell"), F.col("_c.radius").alias("radius"))
+    placed = cut_lineage(placed)
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("radius").alias("r")).orderBy("cell").collect()  # one row per pivot
-    ids = np.array([c.cell for c in cells])
+    ids = np.array([c.cell for c in cells], "int32")
     count, radius = np.array([c.n for c in cells]), np.array([c.r for c in cells])
-    centre = pivots[ids]
-    salts = {int(i): int(-(-n // block_rows)) for i, n in zip(ids, count)}
+    centre = pivots[ids] if len(ids) else pivots
+    salts = {int(i): int(-(-n // block_rows)) for i, n in zip(ids, count)} or {0: 1}
+    placed = placed.drop("radius")
+
+    def homes(d: np.ndarray) -> list[np.ndarray]:
+        """Per query the nearest cells that hold enough rows together."""
+        near = np.argsort(d, axis=1, kind="stable")
+        enough = (np.cumsum(count[near], axis=1) < want).sum(axis=1)
+        return [near[i, : e + 1] for i, e in enumerate(enough)]
+
+    @F.pandas_udf("array<int>")
+    def home(v: pd.Series) -> pd.Series:
+        return pd.Series([ids[h] for h in homes(_squares(_matrix(v), centre))])
 
     @F.pandas_udf("array<int>")
-    def visits(v: pd.Series) -> pd.Series:
-        d = _distances(_matrix(v), centre)
+    def others(v: pd.Series, bound: pd.Series) -> pd.Series:
+        x = _matrix(v)
+        d2 = _squares(x, centre)
+        slack = np.sqrt(1e-11 * ((x * x).sum(axis=1).max(initial=0) + (centre * centre).sum(axis=1).max(initial=0)))
         out = []
-        for row in d:
-            far = np.argsort(row + radius)
-            enough = np.searchsorted(np.cumsum(count[far]), min(want, count.sum()))
-            bound = (row + radius)[far[min(enough, len(far) - 1)]]
-            out.append(ids[row - radius <= bound * (1 + 1e-9) + 1e-12].astype("int32"))
+        for h, row, b in zip(homes(d2), np.sqrt(d2), bound):
+            may = row - radius <= b * (1 + 1e-9) + slack + 1e-12
+            may[h] = False
+            out.append(ids[may])
         return pd.Series(out)
 
-    n_salts = F.element_at(F.create_map(*[F.lit(x) for kv in salts.items() for x in kv]), F.col("cell"))
-    left = ask.toDF("_qk", "_qv").withColumn("cell", F.explode(visits("_qv")))
-    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), n_salts - 1)))
-    per = left.groupBy("cell").agg(F.count(F.lit(1)).alias("_q")).withColumn("_qs", F.greatest(F.ceil(F.col("_q") / (F.lit(block_rows) * n_salts)), F.lit(1)).cast("int")).select("cell", "_qs")
-    left = left.join(F.broadcast(per), "cell").withColumn("part", F.pmod(F.xxhash64("_qk"), F.col("_qs"))).drop("_qs")  # one row per pivot
-    right = placed.drop("radius").withColumn("salt", F.pmod(F.xxhash64(key), n_salts).cast("int")).join(F.broadcast(per), "cell")
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_qs").cast("long") - 1))).drop("_qs")
-
     key_t = train.schema[key].dataType.simpleString()
     out_schema = f"{key} {key_t}, neighbour {key_t}, distance double" + (f", {payload} {train.schema[payload].dataType.simpleString()}" if payload else "")
-
-    def block(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in out_schema.split(", ")]
-        if q.empty or t.empty:
-            return pd.DataFrame({n: [] for n in names})
-        t = t.sort_values(key)
-        tm, tk = _matrix(t[vector]), t[key].to_numpy()
-        rows = []
-        for a in range(0, len(q), 256):
-            d = _distances(_matrix(q["_qv"].iloc[a : a + 256]), tm)
-            top = np.argsort(d, axis=1, kind="stable")[:, :want]
-            n = top.shape[1]
-            part = {key: np.repeat(q["_qk"].iloc[a : a + 256].to_numpy(), n), "neighbour": tk[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel()}
-            if payload:
-                part[payload] = t[payload].to_numpy()[top].ravel()
-            rows.append(pd.DataFrame(part))
-        return pd.concat(rows)[names]
-
-    g = ["cell", "salt", "part"]
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    local = left.groupBy(*g).cogroup(right.groupBy(*g)).applyInPandas(block, out_schema)
+    names = [key, "neighbour", "distance"] + ([payload] if payload else [])
+    ask = cut_lineage(queries.select(F.col(key).alias("_qk"), F.col(vector).alias("_qv")))
+    first = cut_lineage(_search(ask.withColumn("_bound", F.lit(float("inf"))), home("_qv"), placed, salts, want, names, out_schema, block_rows))
+    kth = first.groupBy(key).agg(F.sort_array(F.collect_list("distance")).alias("_d"))  # k rows per home cell
+    kth = kth.select(F.col(key).alias("_k"), F.when(F.size("_d") >= want, F.get("_d", F.lit(want - 1))).otherwise(F.lit(float("inf"))).alias("_bound"))
+    asked = cut_lineage(ask.join(kth, F.col("_qk") == F.col("_k")).drop("_k"))
+    if log.isEnabledFor(logging.DEBUG):
+        log.debug("cells visited per query: %s of %s", asked.agg(F.avg(F.size(others("_qv", "_bound")) + 1)).first()[0], len(ids))
+    second = _search(asked, others("_qv", "_bound"), placed, salts, want, names, out_schema, block_rows)
+    local = first.unionByName(second)
     if exclude_self:
         local = local.where(F.col(key) != F.col("neighbour"))
     item = F.struct("distance", "neighbour", *([payload] if payload else []))

@@ -1,21 +1,21 @@
 """Exact ranks, cumulative counts and quantiles without a single-task sort.
 
-Rows collapse to one row per distinct (group, value) first. Large groups are then cut into
-value ranges at deterministic sample points (the value with the smallest hash in each of
-``LANES`` hash lanes), each range is cumulated on its own and shifted by the total of the
-ranges below it. Cut points only decide parallelism; results are exact.
+Rows collapse to one row per distinct (group, value) first. These are dealt by one range exchange on (group, value), so a large group
+lies in several ranges and small ones share one; each range is cumulated as it is sorted, and shifted by the totals of the group's ranges below it.
+The ranges only decide parallelism; results are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-LANES = 256
-STRIDE = 16
-SPLIT_ABOVE = 200_000
+from ..session import cut_lineage
 
 
 def histogram(df: DataFrame, group: Sequence[str], value: str, counts: dict[str, Column] | None = None) -> DataFrame:
@@ -31,21 +31,39 @@ def histogram(df: DataFrame, group: Sequence[str], value: str, counts: dict[str,
     )
 
 
-def cumulate(
-    hist: DataFrame,
-    group: Sequence[str],
-    value: str,
-    counts: Sequence[str] = ("n",),
-    split_above: int | None = None,
-    bounded: bool = False,
-) -> DataFrame:
+def _running(counts: Sequence[str]):
+    """Adds the running sums of ``counts`` to sorted batches; they start anew where ``_g`` changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, carry = None, [0] * len(counts)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column("_g").to_numpy()
+            start = np.flatnonzero(np.r_[group is None or g[0] != group, g[1:] != g[:-1]])
+            last = np.searchsorted(start, np.arange(len(g)), "right") - 1  # the start a row belongs to; -1: before this batch
+            added = []
+            for i, c in enumerate(counts):
+                v = b.column(c).fill_null(0).to_numpy(zero_copy_only=False)
+                v = v.astype("i8" if v.dtype.kind in "iu" else "f8")
+                up = np.cumsum(v)
+                out = up + carry[i] if not len(start) else np.where(last >= 0, up - (up - v)[start[np.maximum(last, 0)]], up + carry[i])
+                carry[i] = out[-1]
+                added.append(pa.array(out))
+            group = g[-1]
+            names = [n for n in b.schema.names if n != "_g"]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *added], names=[*names, *[f"_w_{c}" for c in counts]])
+
+    return run
+
+
+def cumulate(hist: DataFrame, group: Sequence[str], value: str, counts: Sequence[str] = ("n",), bounded: bool = False) -> DataFrame:
     """Add ``cum_<c>`` (inclusive, ascending value) and ``tot_<c>`` per group.
 
     ``bounded=True`` is for groups whose distinct values are few by construction (ages, grids).
     """
     counts = list(counts)
     keys = list(group)
-    split_above = SPLIT_ABOVE if split_above is None else split_above
     if bounded:
         run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*keys)
@@ -54,58 +72,28 @@ def cumulate(
             *[F.sum(c).over(run).alias(f"cum_{c}") for c in counts],
             *[F.sum(c).over(whole).alias(f"tot_{c}") for c in counts],
         )
-    single = not keys
-    if single:
-        hist = hist.withColumn("_all", F.lit(0))
-        keys = ["_all"]
-    lane = F.pmod(F.xxhash64(value), F.lit(LANES))
-    stats = (
-        hist.groupBy(*keys, lane.alias("_lane"))
-        .agg(F.min_by(value, F.xxhash64(value, F.lit(1))).alias("_cut"), F.count(F.lit(1)).alias("_m"), _touch(counts))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"), F.sum("_m").alias("_m"), F.max("_touch").alias("_touch"))
-        .where("_touch IS NOT NULL")
-        .drop("_touch")
-    )
-    if single:
-        stats = F.broadcast(stats)  # one row of at most LANES values
-    # two-level search in the sorted cuts: every STRIDE-th first, then inside one stride
-    upto = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col(value)))
-    large = F.col("_m") > split_above
-    at = (F.col("_step") - 1) * STRIDE
-    fine = at + upto(F.slice("_cuts", at + 1, F.lit(STRIDE)))
-    parts = (
-        hist.join(stats.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % STRIDE == 0)), keys)
-        .withColumn("_step", F.when(large, upto("_coarse")).otherwise(F.lit(0)))
-        .withColumn("_part", F.when(F.col("_step") > 0, fine).otherwise(F.lit(0)))
-        .drop("_cuts", "_coarse", "_m", "_step")
-        .repartition(*keys, "_part")
-    )
-    run = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    inner = parts.select("*", *[F.sum(c).over(run).alias(f"_w_{c}") for c in counts])
-    whole = Window.partitionBy(*keys)
+    order = [*keys, value]
+    dealt = hist.withColumn("_g", F.xxhash64(*keys) if keys else F.lit(0).cast("long")).repartitionByRange(*order).sortWithinPartitions(*order)
+    kinds = {f.name: f for f in hist.schema}
+    whole_number = lambda c: isinstance(kinds[c].dataType, T.IntegralType)
+    schema = T.StructType([*hist.schema, *[T.StructField(f"_w_{c}", T.LongType() if whole_number(c) else T.DoubleType()) for c in counts]])
+    inner = cut_lineage(dealt.mapInArrow(_running(counts), schema).withColumn("_part", F.spark_partition_id()))
+    sums = inner.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_o_{c}") for c in counts])
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = parts.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_o_{c}") for c in counts], _touch(hist.columns))
-    offsets = sums.where("_touch IS NOT NULL").select(  # at most LANES + 1 rows per group
+    offsets = cut_lineage(sums.select(  # one row per group and range
         *keys, "_part",
         *[F.coalesce(F.sum(f"_o_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in counts],
         *[F.sum(f"_o_{c}").over(whole).alias(f"tot_{c}") for c in counts],
-    )
+    ))
     out = inner.join(offsets, [*keys, "_part"])
-    keep = [c for c in hist.columns if c != "_all"]
     return out.select(
-        *keep,
+        *hist.columns,
         *[(F.col(f"_w_{c}") + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in counts],
         *[f"tot_{c}" for c in counts],
     )
 
 
-def _touch(cols: Sequence[str]) -> Column:
-    """Reads all columns of a side branch, so that it shares its exchange with the main branch
-    instead of being pruned to a different one and computed again."""
-    return F.max(F.hash(*cols)).alias("_touch")
-
-
 def average_ranks(df: DataFrame, group: Sequence[str], value: str, **kw) -> DataFrame:
     """One row per distinct value: n ties, average rank (1-based), group size."""
     cum = cumulate(histogram(df, group, value), group, value, **kw)

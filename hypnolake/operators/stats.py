@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash_fraction, hash_key, poisson_weight
 from ..functions.tails import chi_square_tail, normal_two_sided, student_two_sided
-from .ranks import cumulate, histogram
+from ..session import cut_lineage
+from . import replicates as replicates_
+from .ranks import average_ranks, cumulate, histogram
 
 
 def mann_whitney(df: DataFrame, group: Sequence[str], value: str = "value", label: str = "label", min_class: int = 5) -> DataFrame:
@@ -112,32 +113,16 @@ def significance_table(numeric: DataFrame, categorical: DataFrame | None, alpha:
 
 
 # ------------------------------------------------------------------ resampling
-def bootstrap_weights(df: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """(row, replicate, weight) with Poisson(1) multiplicities from a portable hash; zero weights are dropped."""
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    w = poisson_weight(hash_fraction(F.concat_ws(":", F.lit(str(seed)), F.col("rep")), F.col(key)))
-    return reps.withColumn("w", w).where("w > 0")
-
-
 def bootstrap_mean(df: DataFrame, key: str, arms: dict[str, Column], replicates: int, seed: int) -> DataFrame:
-    """Weighted mean of each arm per replicate. Rows fan out in the map task and combine there; only
-    one partial row per replicate and task is shuffled."""
-    boot = bootstrap_weights(df, key, replicates, seed)
-    return boot.groupBy("rep").agg(*[(F.sum(F.col("w") * e) / F.sum(F.when(e.isNotNull(), F.col("w")))).alias(a) for a, e in arms.items()])
+    """Weighted mean of each arm per replicate: one row per replicate, arm and task is shuffled."""
+    sums = replicates_.weighted_sums(df, key, arms, replicates, seed)
+    mean = F.when(F.col("weight") > 0, F.col("total") / F.col("weight"))
+    return sums.groupBy("rep").agg(*[F.max(F.when(F.col("name") == a, mean)).alias(a) for a in arms])
 
 
 def bootstrap_auroc(df: DataFrame, key: str, scores: Sequence[str], label: str, replicates: int, seed: int) -> DataFrame:
-    """Weighted AUROC of several scores per replicate, on the same draws: (rep, score, auroc)."""
-    boot = bootstrap_weights(df.select(key, label, *scores), key, replicates, seed)
-    arm = F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("v")) for s in scores]))
-    tall = boot.select("rep", "w", label, arm.alias("_s")).select("rep", "w", label, "_s.*")
-    y = F.col(label)
-    hist = histogram(tall, ["rep", "score"], "v", {"pos": F.when(y == 1, F.col("w")).otherwise(0), "neg": F.when(y == 0, F.col("w")).otherwise(0)})
-    cum = cumulate(hist, ["rep", "score"], "v", ("pos", "neg"))
-    agg = cum.groupBy("rep", "score").agg(
-        F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2)).alias("_w"), F.max(F.col("tot_pos") * F.col("tot_neg")).alias("_p")
-    )
-    return agg.select("rep", "score", F.when(F.col("_p") > 0, F.col("_w") / F.col("_p")).alias("auroc"))
+    """Weighted AUROC of several scores per replicate, on the same draws: (rep, score, auroc). Rows are shuffled once, without replicates."""
+    return replicates_.auroc_vectors(df, key, scores, label, replicates, seed)
 
 
 def interval(reps: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
@@ -160,18 +145,17 @@ def paired_delta(reps: DataFrame, a: str, b: str) -> DataFrame:
 def permutation_auroc(df: DataFrame, key: str, score: str, label: str, replicates: int, seed: int) -> DataFrame:
     """AUROC under permuted labels: per replicate the n_pos smallest hashes become the positives.
 
-    Average ranks of the score are computed once; a replicate only needs their sum over its positives.
+    Average ranks of the score are computed once; a replicate needs their sum over its positives, which lie below one hash.
     """
     rows = df.where(F.col(label).isin(0, 1) & F.col(score).isNotNull()).select(key, score, label)
-    hist = histogram(rows, [], score)
-    cum = cumulate(hist, [], score)
-    ranks = cum.select(score, (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("r"))
-    tot = rows.agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label)).alias("_p"))
-    reps = rows.select(key, score).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    reps = reps.withColumn("h", hash_key(F.concat_ws(":", F.lit(str(seed)), F.col("rep")), F.col(key))).withColumn("n", F.lit(1).cast("long"))
-    pos = cumulate(reps.select("rep", "h", score, "n"), ["rep"], "h").join(F.broadcast(tot)).where(F.col("cum_n") <= F.col("_p"))  # one row
-    p, q = F.max("_p"), F.max(F.col("_n") - F.col("_p"))
-    return pos.join(ranks, score).groupBy("rep").agg(((F.sum("r") - p * (p + 1) / 2) / (p * q)).alias("auroc"))
+    n, p = rows.agg(F.count(F.lit(1)), F.sum(label)).first()
+    if not p or p == n:
+        return rows.sparkSession.createDataFrame([], "rep int, auroc double")
+    ranks = average_ranks(rows, [], score).select(F.col(score).alias("_s"), "rank")
+    ranked = cut_lineage(rows.join(ranks, F.col(score) == F.col("_s")).select(F.col(key).alias("k"), "rank"))
+    last = replicates_.nth_smallest(replicates_.stored_keys(ranked, "k"), int(p), replicates, seed)
+    sums = replicates_.rank_sums(ranked, "k", "rank", last, replicates, seed)
+    return sums.select("rep", ((F.col("rank_sum") - p * (p + 1) / 2) / (p * (n - p))).alias("auroc"))
 
 
 def permutation_p(null: DataFrame, observed: DataFrame, value: str = "auroc") -> DataFrame:

@@ -11,7 +11,6 @@ from .registry import query
 from .tables import STREAM_SQL, USER, features_wide, read, streams
 
 FEATURES = ["chars", "words", "lines", "digits", "commas", "mean_word"]
-FAST = {"kind": "logit", "calibrate": False}
 
 
 def _table(spark, sf):
@@ -75,26 +74,26 @@ def interpolated_oversample(spark, sf):
 def boosted_trees(spark, sf):
     t = _table(spark, sf)
     lab = t.where("label IN (0, 1)").withColumn("w", md.class_weight(t.where("label IN (0, 1)")))
-    return _out(md.fit_classifier(lab, FEATURES, weight="w", calibrate=False, maxIter=8, stepSize=0.1, maxDepth=3).transform(t))
+    return _out(md.fit_classifier(lab, FEATURES, weight="w", calibrate=False).transform(t))
 
 
 @query("isotonic_calibrated", dbl="prob", nd=6)
 def isotonic_calibrated(spark, sf):
     t = _table(spark, sf)
-    return _out(md.fit_classifier(t.where("label IN (0, 1)"), FEATURES, kind="logit").transform(t))
+    return _out(md.fit_classifier(t.where("label IN (0, 1)"), FEATURES).transform(t))
 
 
 @query("site_experts", dbl="prob", nd=6)
 def site_experts(spark, sf):
     t = _table(spark, sf)
-    return _out(md.fit_site_models(t.where("label IN (0, 1)"), FEATURES, min_n=30, override=["en"], **FAST).transform(t))
+    return _out(md.fit_site_models(t.where("label IN (0, 1)"), FEATURES, min_n=30, override=["en"]).transform(t))
 
 
 @query("site_router_blend", dbl="prob", nd=6)
 def site_router_blend(spark, sf):
     t = _table(spark, sf)
     lab = t.where("label IN (0, 1)")
-    models = md.fit_site_models(lab, FEATURES, min_n=30, **FAST)
+    models = md.fit_site_models(lab, FEATURES, min_n=30)
     return _out(md.routed_prediction(t, md.fit_router(lab, FEATURES, maxIter=50, regParam=0.01), models, FEATURES))
 
 
@@ -103,7 +102,7 @@ def logistic_balanced(spark, sf):
     t = _table(spark, sf)
     lab = t.where("label IN (0, 1)")
     lab = lab.withColumn("w", md.class_weight(lab))
-    return _out(md.fit_classifier(lab, FEATURES, weight="w", **FAST).transform(t))
+    return _out(md.fit_classifier(lab, FEATURES, kind="logit", weight="w", calibrate=False).transform(t))
 
 
 @query("pairwise_ranker", dbl="prob", nd=6)
@@ -115,46 +114,55 @@ def pairwise_ranker(spark, sf):
 @query("train_and_score", dbl="prob threshold", nd=6)
 def train_and_score(spark, sf):
     t = _table(spark, sf).withColumn("bmi", F.when(F.col("digits") > 0, F.col("mean_word")))
-    trained = md.train_job(t, [*FEATURES, "bmi"], bmi="bmi", min_n=30, **FAST)
+    trained = md.train_job(t, [*FEATURES, "bmi"], bmi="bmi", min_n=30)
     return _out(md.score_job(t, trained, bmi="bmi"), "threshold", "pred")
 
 
 # ------------------------------------------------------------------ drivers
 @query("loso_metrics", dbl="auroc reward", nd=6)
 def loso_metrics(spark, sf):
-    oof = md.loso(_table(spark, sf), FEATURES, **FAST)
+    oof = md.loso(_table(spark, sf), FEATURES)
     return md.fold_metrics(oof, oof)
 
 
 @query("train_val_test_metrics", dbl="value", nd=6)
 def train_val_test_metrics(spark, sf):
-    return md.train_val_test(_table(spark, sf), FEATURES, **FAST)
+    return md.train_val_test(_table(spark, sf), FEATURES)
 
 
 @query("repeated_oof_mean", dbl="prob", nd=6)
 def repeated_oof_mean(spark, sf):
-    return md.repeated_oof(_table(spark, sf), FEATURES, **FAST)
+    return md.repeated_oof(_table(spark, sf), FEATURES)
 
 
 @query("feature_family_ab", dbl="delta_mean lo hi p_gt_0", nd=6)
 def feature_family_ab(spark, sf):
-    return md.compare_arms(_table(spark, sf), {"base": FEATURES[:3], "more": FEATURES}, **FAST)
+    return md.compare_arms(_table(spark, sf), {"base": FEATURES[:3], "more": FEATURES})
 
 
 @query("excluded_group_risk", dbl="mean_risk", nd=6)
 def excluded_group_risk(spark, sf):
     t = _table(spark, sf)
-    model = md.fit_classifier(t.where("label IN (0, 1)"), FEATURES, **FAST)
+    model = md.fit_classifier(t.where("label IN (0, 1)"), FEATURES)
     return md.score_excluded(t.where("label IS NULL"), model, "site")[0]
 
 
 @query("excluded_group_auroc", dbl="auroc", nd=6)
 def excluded_group_auroc(spark, sf):
     t = _table(spark, sf)
-    model = md.fit_classifier(t.where("label IN (0, 1)"), FEATURES, **FAST)
+    model = md.fit_classifier(t.where("label IN (0, 1)"), FEATURES)
     return md.score_excluded(t.where("label IS NULL"), model, "site")[1]
 
 
+@query("excluded_group_trend", dbl="rho p mean_risk_third_1 mean_risk_third_2 mean_risk_third_3", nd=6)
+def excluded_group_trend(spark, sf):
+    """Documents without a label stand for the excluded; months to the event are derived from their number."""
+    t = _table(spark, sf)
+    model = md.fit_classifier(t.where("label IN (0, 1)"), FEATURES)
+    scored = model.transform(t.where("label IS NULL")).withColumn("months", F.col("rec") % 84)
+    return md.risk_trend(scored, "site", "months")
+
+
 @query("calibration_line", dbl="slope intercept", nd=5)
 def calibration_line(spark, sf):
     return md.calibration_line(features_wide(spark, sf))
@@ -162,7 +170,7 @@ def calibration_line(spark, sf):
 
 @query("learning_curve", dbl="fraction mean sd", nd=6)
 def learning_curve(spark, sf):
-    return md.learning_curve(_table(spark, sf), FEATURES, [0.3, 1.0], [1, 2, 3], **FAST)
+    return md.learning_curve(_table(spark, sf), FEATURES, [0.3, 1.0], [1, 2, 3])
 
 
 # ------------------------------------------------------------------ reduction and probes (H14, H16, H17), sequences

@@ -266,6 +266,16 @@ def directed_coupling(spark, sf):
     return network.directed_coupling(p, [*REC, "triple"])
 
 
+@query("pooled_coupling", dbl="g stationary_frac", nd=6)
+def pooled_coupling(spark, sf):
+    """Samples stand for seconds: the stages of successive epochs form the runs; the first three channels are the nodes."""
+    from ..operators.coupling import pooled_coupling as pooled
+
+    c = channels(spark, sf).where(F.col("channel").isin(*CHANNELS[:3]))
+    sec = c.select("rec", "stage", "epoch", F.col("channel").alias("node"), F.posexplode("samples").alias("_i", "value"))
+    return pooled(sec.select("rec", "stage", "node", "value", (F.col("epoch").cast("long") * 64 + F.col("_i")).alias("sec")), REC, CHANNELS[:3], timescales=(1, 2, 4))
+
+
 @query("node_seconds", dbl="value")
 def node_seconds(spark, sf):
     from ..operators.signals import with_context
@@ -443,18 +453,41 @@ def hrv_frequency_domain(spark, sf):
     return hrv.frequency_domain(hrv.pooled(rr), USER, min_beats=20)
 
 
-@query("hrv_windows", dbl="start_s dur_s mean_nn sdnn rmssd sdsd pnn50 hr_mean cvnn")
+# windows of 5 s: a window begun at a beat closes on the first beat that reaches 5 s; the true ones follow from the first beat
+HRV_WIN = f"""WITH RECURSIVE {STREAM_SQL}, rr AS (SELECT user_id, stage, epoch AS t, 600 + value AS rr_ms, CAST(round((600 + value) * 1000) AS BIGINT) AS us FROM streams WHERE stage <> 9),
+c AS (SELECT *, row_number() OVER w AS i, sum(us) OVER w AS s FROM rr WINDOW w AS (PARTITION BY user_id, stage ORDER BY t)),
+e AS (SELECT c.user_id, c.stage, c.i, d.i AS j FROM c ASOF JOIN c d ON c.user_id = d.user_id AND c.stage = d.stage AND c.s - c.us + 5000000 <= d.s),
+k AS (SELECT user_id, stage, 0 AS window_index, CAST(1 AS BIGINT) AS a FROM c WHERE i = 1
+  UNION ALL SELECT k.user_id, k.stage, k.window_index + 1, e.j + 1 FROM k JOIN e ON e.user_id = k.user_id AND e.stage = k.stage AND e.i = k.a),
+b AS (SELECT c.*, k.window_index FROM c ASOF JOIN k ON k.user_id = c.user_id AND k.stage = c.stage AND k.a <= c.i),
+d AS (SELECT *, rr_ms - lag(rr_ms) OVER (PARTITION BY user_id, stage, window_index ORDER BY t) AS d FROM b),
+hw AS (SELECT user_id, stage, window_index, min(t) AS start_s, sum(rr_ms) / 1000 AS dur_s, count(*) AS n_beats, avg(rr_ms) AS mean_nn, stddev_samp(rr_ms) AS sdnn, sqrt(avg(d * d)) AS rmssd,
+  stddev_samp(d) AS sdsd, 100.0 * count(*) FILTER (abs(d) > 50) / count(d) AS pnn50, 60000.0 / avg(rr_ms) AS hr_mean, stddev_samp(rr_ms) / avg(rr_ms) AS cvnn FROM d GROUP BY ALL HAVING count(*) >= 3)"""
+
+
+@query("hrv_windows", HRV_WIN + " SELECT * FROM hw", dbl="start_s dur_s mean_nn sdnn rmssd sdsd pnn50 hr_mean cvnn", nd=7)
 def hrv_windows(spark, sf):
     rr, ax = _rr(spark, sf)
-    return hrv.windows(rr, USER, win_s=5.0, min_beats=3)
+    return hrv.windows(rr, USER, win_s=5.0, min_beats=3, stretch_s=30.0)
 
 
-@query("hrv_window_spread", dbl="mean sd cv p10 p50 p90 iqr")
+@query(
+    "hrv_window_spread",
+    HRV_WIN + """, m AS (UNPIVOT (SELECT user_id, stage, mean_nn, sdnn, rmssd, sdsd, pnn50, hr_mean, cvnn FROM hw) ON mean_nn, sdnn, rmssd, sdsd, pnn50, hr_mean, cvnn INTO NAME metric VALUE v)
+SELECT user_id, stage, metric, count(*) AS n, avg(v) AS mean, stddev_samp(v) AS sd, CASE WHEN count(*) >= 2 AND avg(v) <> 0 THEN stddev_samp(v) / abs(avg(v)) END AS cv,
+  CASE WHEN count(*) >= 2 THEN quantile_cont(v, 0.1) END AS p10, CASE WHEN count(*) >= 2 THEN quantile_cont(v, 0.5) END AS p50, CASE WHEN count(*) >= 2 THEN quantile_cont(v, 0.9) END AS p90,
+  CASE WHEN count(*) >= 2 THEN quantile_cont(v, 0.75) - quantile_cont(v, 0.25) END AS iqr FROM m GROUP BY ALL""",
+    dbl="mean sd cv p10 p50 p90 iqr",
+    nd=7,
+)
 def hrv_window_spread(spark, sf):
     from ..operators.profile import spread
 
     rr, ax = _rr(spark, sf)
-    return spread(hrv.windows(rr, USER, win_s=5.0, min_beats=3), ["user_id", "stage"], "rmssd", bounded=not ax.chunked)
+    w = hrv.windows(rr, USER, win_s=5.0, min_beats=3, stretch_s=30.0)
+    names = ("mean_nn", "sdnn", "rmssd", "sdsd", "pnn50", "hr_mean", "cvnn")
+    tall = w.select("user_id", "stage", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in names])).alias("_m"))
+    return spread(tall.select("user_id", "stage", "_m.*"), ["user_id", "stage", "metric"], "v", bounded=not ax.chunked)
 
 
 WIN = f"""WITH {STREAM_SQL}, w AS (SELECT user_id, epoch AS win, stage, value AS total, value * 0.4 AS s, value * (k % 10) / 10.0 AS q, sqrt(value) AS amp, stage IN (1, 2, 3) AS nrem FROM streams),

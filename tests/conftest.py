@@ -25,9 +25,8 @@ def spark(tmp_path_factory):
 @pytest.fixture(params=["calm", "hot"])
 def mode(request, monkeypatch):
     """Run a test with whole recordings and again with every recording cut into chunks."""
-    from hypnolake.operators import ordered, ranks
+    from hypnolake.operators import ordered
 
     if request.param == "hot":
         monkeypatch.setattr(ordered, "HOT_ROWS", 5)
-        monkeypatch.setattr(ranks, "SPLIT_ABOVE", 3)
     return request.param

@@ -76,7 +76,7 @@ def main():
     if os.environ.get("HOT"):  # force the hot-recording and large-group paths on small data
         from hypnolake.operators import ordered, ranks
 
-        ordered.HOT_ROWS, ranks.SPLIT_ABOVE = 20, 10
+        ordered.HOT_ROWS = 20
     want = sys.argv[2:]
     names = [n for n in entry.queries() if not want or any(w in n for w in want)]
     spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "16g"})

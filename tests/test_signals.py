@@ -106,6 +106,29 @@ def test_hrv_windows_restart_after_each_window(spark):
     assert [w.n_beats for w in got] == [4, 4, 5] and got[0].rmssd == 0.0  # the last beat alone is dropped
 
 
+@pytest.mark.parametrize("stretch", [3600.0, 60.0, 7.0, 1.0])
+def test_hrv_windows_do_not_depend_on_the_stretches(spark, stretch):
+    """Against a plain loop over each stage's beats: windows longer and shorter than a stretch."""
+    rng = np.random.default_rng(8)
+    rows, t = [], {"a": 0.0, "b": 0.0}
+    for i in range(600):
+        rec, rr = "ab"[i % 2], float(np.round(rng.uniform(300, 2000), 3))
+        t[rec] += rr / 1000
+        rows.append((rec, t[rec], int(1 + (i // 90) % 3), rr))
+    want = {}
+    for rec in "ab":
+        for stage in (1, 2, 3):
+            k = total = 0
+            for _, _, _, rr in [r for r in rows if r[0] == rec and r[2] == stage]:
+                want.setdefault((rec, stage, k), []).append(rr)
+                total += round(rr * 1000)
+                if total >= 20_000_000:
+                    k, total = k + 1, 0
+    df = spark.createDataFrame(rows, "rec string, t double, stage int, rr_ms double").repartition(5)
+    got = {(r.rec, r.stage, r.window_index): (r.n_beats, r.mean_nn) for r in hrv.windows(df, ["rec"], 20.0, 2, stretch).collect()}
+    assert got == {k: (len(v), pytest.approx(np.mean(v))) for k, v in want.items() if len(v) >= 2}
+
+
 def test_time_delay_stability_finds_the_coupled_stage(spark, mode):
     rng = np.random.default_rng(6)
     n = 1800
