@@ -14,21 +14,28 @@ from __future__ import annotations
 
 import bisect
 import os
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, id_text, query, table
+from .common import id_text, query, table
 
 WINDOW = 2048
 POOL = 4096
 EOD = 1
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
+WORDS_AT_ONCE = 2000
+END_OF_WORD = "</w>"
+# Fixed value: the pattern by which the tokenizer parts a word
+_UNITS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 FLUSH_IDS = 1_000_000
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([
@@ -37,29 +44,88 @@ ARROW = pa.schema([
 ])
 
 
+def _stable(word: str) -> bool:
+    """Whether normal form and lower case leave the word's units where they are."""
+    return unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", word.lower()) and "\u0130" not in word
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """text -> little-endian ids. Whitespace always parts words here, so a word's ids are kept by the word."""
+    """texts -> little-endian ids. Whitespace always parts words here, so a word's ids are kept by the word.
+
+    New words are cut into the units that the tokenizer's own pattern gives. A unit of letters ends with one end-of-word token, so new ones are
+    encoded many at a time and cut there.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
+    ends = np.zeros(tok.get_vocab_size(), bool)
+    for token, i in tok.get_vocab().items():
+        ends[i] = token.endswith(END_OF_WORD)
+    memo: dict[bytes, bytes] = {}  # ids of words
+    units: dict[str, bytes] = {}  # ids of what words are made of
+
+    def alone(text: str) -> bytes:
+        return np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(letters: list[str]) -> None:
+        ids = np.array(tok.encode(" ".join(letters), add_special_tokens=False).ids, "<u4")
+        stop = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(stop) != len(letters):  # a letter that lower case makes two
+            half = len(letters) // 2
+            for part in (letters[:half], letters[half:]):
+                if len(part) == 1:
+                    units[part[0]] = alone(part[0])
+                elif part:
+                    learn(part)
+            return
+        raw = ids.tobytes()
+        units.update((w, raw[i:j]) for w, i, j in zip(letters, [0, *stop], stop))
+
+    def encode(texts: list[str]) -> Iterator[bytes]:
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        if len(units) > MEMO_WORDS:
+            units.clear()
+        split = []
+        for text in texts:
+            raw = text.encode()
+            if b"<|" not in raw:  # special tokens are matched before lower-casing
+                raw = raw.lower()
+            split.append(raw.split())
+        made: dict[bytes, list[str]] = {}
+        for w in set().union(*split).difference(memo):
+            text = w.decode()
+            if "<|" in text or not (w.isascii() or _stable(text)):
+                memo[w] = alone(text)
+            else:
+                made[w] = _UNITS.findall(text)
+        new = {u for parts in made.values() for u in parts}.difference(units)
+        letters = [u for u in new if u.isalpha()]
+        for i in range(0, len(letters), WORDS_AT_ONCE):
+            learn(letters[i : i + WORDS_AT_ONCE])
+        units.update((u, alone(u)) for u in new.difference(letters))
+        memo.update((w, b"".join([units[u] for u in parts])) for w, parts in made.items())
+        for words in split:
+            yield b"".join(map(memo.__getitem__, words))
 
-    def word(raw: bytes) -> bytes:
-        ids = tok.encode(raw.decode(), add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
-
-    memo = Memo(word, MEMO_WORDS)
+    return encode
 
-    def encode(text: str) -> bytes:
-        raw = text.encode()
-        if b"<|" not in raw:  # special tokens are matched before lower-casing
-            raw = raw.lower()
-        return b"".join(map(memo.__getitem__, raw.split()))
 
-    return encode
+def _runs(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Successive texts of about ``chars`` characters together."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def closest_fill(lengths: list[int], counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -201,8 +267,9 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, pool: int =
 
         packer = Packer(window, pool, emit)
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                packer.add(doc, encode(text.as_py()) + end)
+            encoded = (ids for some in _runs(batch.column(1).to_pylist()) for ids in encode(some))
+            for doc, ids in zip(batch.column(0).to_pylist(), encoded):
+                packer.add(doc, ids + end)
                 if held >= FLUSH_IDS:
                     yield flush()
         packer.close()
