@@ -3,7 +3,8 @@
 A block (line) meets a template if it holds at least the share ``THRESHOLD`` of the template's distinct words. All template words
 are ordered by the number of blocks of the corpus that hold them, rarest first. A block that reaches the needed overlap must hold one of a template's
 first |T| - need + 1 words (prefix filter), must hold enough template words at all (length filter), and from the place of the
-first common word on, both sides must still have enough words (positional filter). What is left is verified word by word.
+first common word on, both sides must still have enough words (positional filter). What is left is verified word by word. Where a block meets
+two templates and the words of one are among the other's, only one counts: the longer if a word that it adds stands there, else the shorter.
 
 Texts are read once: each block is reduced to the template words in it, written to the shared folder. The templates are a fixed list, so
 broadcasting them is bounded; the join needs no shuffle, and a pair is met at its rarest common word only.
@@ -65,6 +66,11 @@ def template_words(templates: list[tuple[str, str]], threshold: float) -> list[t
     return out
 
 
+def nested_templates(known: list[tuple[int, str, list[str], int]]) -> list[tuple[int, int, list[str]]]:
+    """(number of a template, number of one that holds all its words and more, the words it adds)."""
+    return [(k, j, sorted(set(wide) - set(words))) for k, _, words, _ in known for j, _, wide, _ in known if set(words) < set(wide)]
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -126,6 +132,12 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     met = met.filter(F.size("t_words") - F.col("at") >= F.col("need"))  # position: words left in the template from its rarest common one
     common = F.array_intersect("t_words", "held")  # in the template's order
     met = met.withColumn("common", common).filter((F.get("common", F.lit(0)) == F.col("word")) & (F.size("common") >= F.col("need")))
+    holds = lambda words, need: F.size(F.array_intersect("held", _strings(words))) >= need
+    for k, j, added in nested_templates(known):
+        (*_, short, short_need), (*_, wide, wide_need) = known[k], known[j]
+        less = (F.col("template") == k) & holds(added, 1) & holds(wide, wide_need)
+        more = (F.col("template") == j) & ~holds(added, 1) & holds(short, short_need)
+        met = met.filter(~(less | more))
     found = met.groupBy("row").agg(F.collect_set("label").alias("more"), F.max(F.size("common") / F.size("t_words")).alias("share"))
     none = F.array().cast("array<string>")
     return rows.drop("blocks").join(found, "row", "left").select(
@@ -151,9 +163,13 @@ places AS ({places}),
 base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 blocks AS (SELECT doc_id, list_distinct({words("line")}) AS held FROM lines),
+nested AS (SELECT s.template AS k, s.words AS short, s.need AS short_need, b.template AS j, b.words AS wide, b.need AS wide_need, [w FOR w IN b.words IF NOT list_contains(s.words, w)] AS added
+  FROM t s, t b WHERE len(b.words) > len(s.words) AND len(list_intersect(s.words, b.words)) = len(s.words)),
 met AS (
   SELECT doc_id, label, len(list_intersect(held, t.words)) / len(t.words) AS share
-  FROM blocks, t WHERE len(list_intersect(held, t.words)) >= need
+  FROM blocks, t WHERE len(list_intersect(held, t.words)) >= need AND NOT EXISTS (SELECT 1 FROM nested WHERE
+    k = t.template AND list_has_any(held, added) AND len(list_intersect(held, wide)) >= wide_need
+    OR j = t.template AND NOT list_has_any(held, added) AND len(list_intersect(held, short)) >= short_need)
 ),
 found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM met GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, base.first_word, base.last_word,
