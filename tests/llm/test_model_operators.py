@@ -116,15 +116,6 @@ def test_mixer_is_a_distribution():
     assert total == pytest.approx(1.0, abs=1e-6)
 
 
-def test_mixer_learns_online():
-    from hypnolake.llm.mixing import CONFIDENCE, CONTEXTS, GATES, mix
-
-    x = np.tile(np.array([[0.5], [0.0], [0.0]], np.float32), (1, 20_000))  # always right, too timid
-    gate = np.zeros(x.shape[1], np.int64)
-    late = mix(x, gate, w := np.ones((CONTEXTS, GATES)), s := np.ones(CONFIDENCE)) / x.shape[1]
-    assert late < math.log1p(math.exp(-0.5)) * 0.92 and w[0, 0] > 1.3 and s[0] > 1
-
-
 def test_mixer_learns_in_small_blocks():
     """The bounds of a mixer that is updated every 1,024 bits."""
     from hypnolake.llm.mixing import CONFIDENCE, CONTEXTS, GATES, mix

@@ -63,6 +63,24 @@ def ids_of(library, text):
 # packing
 
 
+def test_encoder_learns_words_together(path, library, monkeypatch):
+    """New words are encoded many at a time: letters that lower case makes two, marks, digits and a full memory change no id."""
+    from hypnolake.llm import packing
+
+    texts = ["Hello  WORLD <|endoftext|> don't", "", "İstanbul İİ ŉ ǰ ẞ ΐ straße ΣΑΣ e\u0301t\u00e9", "日本語 テスト 🙂 naïve", "a1 1a -- x", "word " * 50]
+    texts += [" ".join(f"{a}{b}{c}" for a in "abcdefgh" for b in "éßxyz" for c in "qrst")]
+    monkeypatch.setattr(packing, "WORDS_AT_ONCE", 7)
+    monkeypatch.setattr(packing, "MEMO_WORDS", 20)
+    packing._encoder.cache_clear()
+    encode = packing._encoder(path)
+    for _ in range(2):
+        for text, ids in zip(texts, encode(texts), strict=True):
+            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == ids_of(library, text)
+        for text in texts:
+            assert next(iter(encode([text]))) == struct.pack(f"<{len(ids_of(library, text))}I", *ids_of(library, text))
+    packing._encoder.cache_clear()
+
+
 def check_pieces(pieces, texts, library, window=2048):
     """Every id in one piece, sequences gapless, full or a power of two."""
     docs, seqs = {}, {}
@@ -346,8 +364,10 @@ def brute_scan(text):
     labels, share = {x for _, x in places}, 0.0
     for line in text.split("\n"):
         held = set(word.findall(line))
-        for _, label, tokens, need in template_words(TEMPLATES, THRESHOLD):
-            if len(held & set(tokens)) >= need:
+        met = [(label, set(tokens)) for _, label, tokens, need in template_words(TEMPLATES, THRESHOLD) if len(held & set(tokens)) >= need]
+        for label, tokens in met:
+            # of two nested notices the longer counts if a word that it adds stands there, else the shorter
+            if not any(tokens < o and held & (o - tokens) or o < tokens and not held & (tokens - o) for _, o in met):
                 labels.add(label)
                 share = max(share, len(held & set(tokens)) / len(tokens))
     starts = [i for i, _ in places]
@@ -362,6 +382,9 @@ def test_licences(spark, odd, empty):
     for df in (docs, odd):
         want = sorted(((str(r.doc_id), *brute_scan(r.text)) for r in df.collect()), key=str)
         assert sorted(((str(r.doc_id), *r[1:]) for r in scan(df).collect()), key=str) == want
+    got = {r.doc_id: r.labels for r in scan(docs).collect()}
+    assert {got[k] for k, t in enumerate(texts) if "BY-NC" in t} == {"cc-by-nc"} and [got[k] for k, t in enumerate(texts) if "BY-SA" in t] == ["cc-by-sa"]
+    assert [got[k] for k, (_, t) in enumerate(TEMPLATES) if "CC BY 4" in t or "Attribution 4" in t] == ["cc-by", "cc-by"]
     assert scan(empty).collect() == []
 
 
