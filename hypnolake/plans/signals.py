@@ -456,10 +456,14 @@ def hrv_frequency_domain(spark, sf):
 # windows of 5 s: a window begun at a beat closes on the first beat that reaches 5 s; the true ones follow from the first beat
 HRV_WIN = f"""WITH RECURSIVE {STREAM_SQL}, rr AS (SELECT user_id, stage, epoch AS t, 600 + value AS rr_ms, CAST(round((600 + value) * 1000) AS BIGINT) AS us FROM streams WHERE stage <> 9),
 c AS (SELECT *, row_number() OVER w AS i, sum(us) OVER w AS s FROM rr WINDOW w AS (PARTITION BY user_id, stage ORDER BY t)),
-e AS (SELECT c.user_id, c.stage, c.i, d.i AS j FROM c ASOF JOIN c d ON c.user_id = d.user_id AND c.stage = d.stage AND c.s - c.us + 5000000 <= d.s),
-k AS (SELECT user_id, stage, 0 AS window_index, CAST(1 AS BIGINT) AS a FROM c WHERE i = 1
-  UNION ALL SELECT k.user_id, k.stage, k.window_index + 1, e.j + 1 FROM k JOIN e ON e.user_id = k.user_id AND e.stage = k.stage AND e.i = k.a),
-b AS (SELECT c.*, k.window_index FROM c ASOF JOIN k ON k.user_id = c.user_id AND k.stage = c.stage AND k.a <= c.i),
+p AS (SELECT user_id, stage, i, s AS ends, 1 AS beat FROM c UNION ALL SELECT user_id, stage, i, s - us + 5000000, 0 FROM c),
+e AS (SELECT user_id, stage, i, beat, sum(beat) OVER (PARTITION BY user_id, stage ORDER BY ends, beat ROWS UNBOUNDED PRECEDING) + 1 AS j FROM p),
+n AS (SELECT user_id, stage, count(*) AS n FROM c GROUP BY ALL),
+k AS (SELECT user_id, stage, 0 AS window_index, CAST(1 AS BIGINT) AS a FROM n
+  UNION ALL SELECT k.user_id, k.stage, k.window_index + 1, CAST(e.j + 1 AS BIGINT) FROM k JOIN e ON e.user_id = k.user_id AND e.stage = k.stage AND e.i = k.a AND e.beat = 0
+  JOIN n ON n.user_id = k.user_id AND n.stage = k.stage AND e.j < n.n),
+z AS (SELECT *, lead(a) OVER (PARTITION BY user_id, stage ORDER BY window_index) AS b FROM k),
+b AS (SELECT c.*, z.window_index FROM c JOIN z ON z.user_id = c.user_id AND z.stage = c.stage AND c.i >= z.a AND (z.b IS NULL OR c.i < z.b)),
 d AS (SELECT *, rr_ms - lag(rr_ms) OVER (PARTITION BY user_id, stage, window_index ORDER BY t) AS d FROM b),
 hw AS (SELECT user_id, stage, window_index, min(t) AS start_s, sum(rr_ms) / 1000 AS dur_s, count(*) AS n_beats, avg(rr_ms) AS mean_nn, stddev_samp(rr_ms) AS sdnn, sqrt(avg(d * d)) AS rmssd,
   stddev_samp(d) AS sdsd, 100.0 * count(*) FILTER (abs(d) > 50) / count(d) AS pnn50, 60000.0 / avg(rr_ms) AS hr_mean, stddev_samp(rr_ms) / avg(rr_ms) AS cvnn FROM d GROUP BY ALL HAVING count(*) >= 3)"""

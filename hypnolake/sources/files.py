@@ -1,6 +1,6 @@
-"""Waveform and annotation files (EDF): one ingest job turns each file into chunk rows.
+"""Waveform and annotation files (EDF) held whole in rows: decoding, record ids, coded streams.
 
-Every later query reads the Parquet chunks, so channel and column pruning is Spark's.
+``waveform`` reads the same files by byte ranges, for files of any length; later queries read the Parquet chunks, so channel and column pruning is Spark's.
 """
 
 from __future__ import annotations
@@ -90,8 +90,9 @@ def decode_chunks(files: DataFrame, epoch_s: float = 30.0) -> DataFrame:
 
 
 def decode_headers(files: DataFrame) -> DataFrame:
-    """Channel list, unit, rate and duration per file, from the header bytes only."""
-    head = files.select("path", F.substring("content", 1, 256 * 257).alias("head"))
+    """Channel list, unit, rate and duration per file, from the header bytes only (their number stands in bytes 184 to 192)."""
+    length = F.trim(F.decode(F.substring("content", 185, 8), "US-ASCII")).cast("int")
+    head = files.select("path", F.substring(F.col("content"), F.lit(1), length).alias("head"))
 
     def decode(batches):
         for batch in batches:
