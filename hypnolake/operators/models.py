@@ -162,12 +162,13 @@ def fit_sets(train: DataFrame, features: Sequence[str], sets: dict[str, Column],
         fold = F.col("_fold")
     data = training_table(data.withColumn("_sets", F.array(*[F.coalesce(sets[n], F.lit(False)) for n in names])))
     inside = [F.get("_sets", F.lit(i)) for i in range(len(names))]
-    n = data.agg(*[F.sum(F.when(c & (F.col("label") == y), 1).otherwise(0)) for c in inside for y in (0, 1)]).first()
+    each = data.select(F.col("label").cast("int").alias("y"), F.posexplode("_sets").alias("i", "inside")).where("inside")
+    n = {(r.i, r.y): r["count"] for r in each.groupBy("i", "y").count().collect()}  # two rows a set
     parts: dict[str, list[int]] = {}
     members: list[Column] = []
     held: list[Column] = []  # the rows a calibrated part has not seen
     for i, name in enumerate(names):
-        neg, pos = n[2 * i] or 0, n[2 * i + 1] or 0
+        neg, pos = n.get((i, 0), 0), n.get((i, 1), 0)
         split = calibrate and min(neg, pos) >= 3 and neg + pos >= 30
         parts[name] = list(range(len(members), len(members) + (folds if split else 1)))
         for f in range(folds) if split else [None]:
