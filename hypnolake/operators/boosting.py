@@ -1,9 +1,10 @@
 """Histogram boosting of a binary label: leaf-wise trees, learned directions for missing values, many models in one fit.
 
-Features become bins once and rows become blocks of bins. A pass over the blocks adds up gradients, curvatures and rows by (model, node,
-feature, bin) in a tree aggregate; what reaches the driver is bounded by ``SUMS_MB`` whatever the number of rows. All models share the passes: a
-model is a membership of rows (a site, the rows outside a fold), so folds, sites and repeats are fitted together. A table that is one block is
-fitted by the same passes inside tasks, one per model.
+Features become bins once and rows become blocks of bins. A model is a membership of rows (a site, the rows outside a fold), so folds, sites and
+repeats are fitted together. While all rows take at most ``TASK_MB`` and a tree's sums ``SUMS_MB``, every model is grown in a task of its own, which holds
+that model's bins and no more; the tasks share no passes and need no jobs between them. Beyond it all models share passes over the blocks: gradients,
+curvatures and rows are added up by (model, node, feature, bin) in one exchange, at most ``SUMS_MB`` a task, and the best split of each
+node is found where its sums meet, so that only splits reach the driver.
 
 Gradients are added as whole numbers of 2**-26, so the sums, and with them the trees, do not depend on how the rows are dealt.
 """
@@ -11,6 +12,7 @@ Gradients are added as whole numbers of 2**-26, so the sums, and with them the t
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -25,6 +27,7 @@ from ..functions.hashing import hash_fraction
 from ..session import checkpoint_dir, cut_lineage
 
 MISSING = 255  # bin of missing values; the others are 0 to 254
+TASK_MB = 96  # bins, labels, weights, scores and gradients of one task's model
 SUMS_MB = 32  # histograms of one pass
 CHECKPOINT_EVERY = 20  # rounds
 SKETCH = 10_000  # accuracy of the percentiles that cut the bins
@@ -76,10 +79,10 @@ class Block:
         """All raw scores at the models' base."""
         return Block(self.x, self.y, self.w, self.role, np.repeat(base[:, None], len(self.y), axis=1))
 
-    def only(self, m: int) -> Block:
-        """The rows and the role of one model."""
-        rows = np.flatnonzero(self.role[m])
-        return Block(self.x[:, rows], self.y[rows], self.w[rows], self.role[m : m + 1, rows], self.raw[m : m + 1, rows])
+    def part(self, m: int, role: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bins, labels and weights of the rows that have ``role`` in a model."""
+        rows = np.flatnonzero(self.role[m] == role)
+        return self.x[:, rows], self.y[rows], self.w[rows]
 
     def advanced(self, trees: dict[int, Tree]) -> Block:
         raw = self.raw.copy()
@@ -125,10 +128,10 @@ class Tree:
     right: np.ndarray
     value: np.ndarray
 
-    def route(self, x: np.ndarray) -> np.ndarray:
-        """The last node each row (column of ``x``) reaches."""
-        node = np.zeros(x.shape[1], "int32")
-        live = np.arange(x.shape[1]) if self.feature[0] >= 0 else np.zeros(0, "int64")
+    def route(self, x: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        """The last node each row (column of ``x``) reaches, from the root or on from its node in ``start``."""
+        node = np.zeros(x.shape[1], "int32") if start is None else start.copy()
+        live = np.flatnonzero(self.feature[node] >= 0)
         while live.size:
             k = node[live]
             b = x[self.feature[k], live]
@@ -137,6 +140,77 @@ class Tree:
         return node
 
 
+_FIELDS = [("feature", "i4"), ("bin", "u1"), ("missing_left", "?"), ("left", "i4"), ("right", "i4"), ("value", "f8")]
+
+
+def pack(trees: list[Tree]) -> bytes:
+    """A model's trees as one compressed table; what the inner nodes are worth is left out."""
+    out = np.zeros(sum(len(t.feature) for t in trees), _FIELDS)
+    at = 0
+    for t in trees:
+        part = out[at : at + len(t.feature)]
+        for name, _ in _FIELDS:
+            part[name] = getattr(t, name)
+        part["value"][t.feature >= 0] = 0
+        at += len(part)
+    sizes = np.array([len(trees), *[len(t.feature) for t in trees]], "i8")
+    return zlib.compress(sizes.tobytes() + out.tobytes(), 1)
+
+
+def unpack(packed: bytes) -> list[Tree]:
+    raw = zlib.decompress(packed)
+    n = int(np.frombuffer(raw, "i8", 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, "i8", n, 8))
+    rows = np.frombuffer(raw, _FIELDS, offset=8 * (n + 1))
+    columns = [np.ascontiguousarray(rows[name]) for name, _ in _FIELDS]
+    return [Tree(*[c[a:b] for c in columns]) for a, b in zip([0, *ends], ends)]
+
+
+_DE_BRUIJN = np.uint32(0x077CB531)
+_PLACE = np.zeros(32, "int64")
+for _i in range(32):
+    _PLACE[(0x077CB531 << _i & 0xFFFFFFFF) >> 27] = _i
+
+
+def _leaf_values(t: Tree, x: np.ndarray) -> np.ndarray:
+    """The value of each row's leaf, for trees of at most 32 leaves.
+
+    Leaves are bits from left to right. A test that sends a row right clears the leaves below its left side, so the lowest bit left is the row's leaf;
+    the tests of one feature are one table of masks by bin.
+    """
+    feature, left, right = t.feature.tolist(), t.left.tolist(), t.right.tolist()
+    order: list[int] = []  # leaves from left to right
+    below: dict[int, tuple[int, int]] = {}  # of inner nodes the leaves of the left side
+    stack = [(0, False)]
+    while stack:
+        k, left_done = stack.pop()
+        if feature[k] < 0:
+            order.append(k)
+        elif left_done:
+            below[k] = (below[k][0], len(order))
+            stack.append((right[k], False))
+        else:
+            below[k] = (len(order), 0)
+            stack += [(k, True), (left[k], False)]
+    tables: dict[int, np.ndarray] = {}
+    for k, (a, b) in below.items():
+        table = tables.setdefault(feature[k], np.full(256, 2 ** len(order) - 1, "u4"))
+        keep = np.uint32((2**32 - 1) ^ ((1 << b) - (1 << a)))
+        table[int(t.bin[k]) + 1 : MISSING] &= keep
+        if not t.missing_left[k]:
+            table[MISSING] &= keep
+    masks = None
+    for f, table in tables.items():
+        got = table[x[f]]
+        masks = got if masks is None else np.bitwise_and(masks, got, out=masks)
+    if masks is None:
+        return np.full(x.shape[1], t.value[0])
+    masks &= ~masks + np.uint32(1)
+    values = np.zeros(32)
+    values[: len(order)] = t.value[order]
+    return values[_PLACE][(masks * _DE_BRUIJN) >> np.uint32(27)]
+
+
 @dataclass
 class Node:
     """A node's sums and its best split: (gain, feature, bin, missing left, left sums), or None."""
@@ -145,6 +219,7 @@ class Node:
     split: tuple | None
     left: int = -1
     right: int = -1
+    parent: int = -1
 
 
 class Growing:
@@ -183,7 +258,7 @@ class Growing:
             _, _, _, _, part = self.nodes[k].split
             rest = tuple(a - b for a, b in zip(self.nodes[k].sums, part))
             self.nodes[k].left, self.nodes[k].right = len(self.nodes), len(self.nodes) + 1
-            self.nodes += [Node(part, None), Node(rest, None)]
+            self.nodes += [Node(part, None, parent=k), Node(rest, None, parent=k)]
             out += [c for c in (self.nodes[k].left, self.nodes[k].right) if self.nodes[c].sums[2] >= 2 * self.s.min_rows]
         return out
 
@@ -193,7 +268,7 @@ class Growing:
         keep = [0, *[c for k in split for c in (self.nodes[k].left, self.nodes[k].right)]] if only_chosen else list(range(len(self.nodes)))
         number = {k: i for i, k in enumerate(keep)}
         size = len(keep)
-        t = Tree(np.full(size, -1), np.zeros(size, "int64"), np.zeros(size, bool), np.zeros(size, "int32"), np.zeros(size, "int32"), np.zeros(size))
+        t = Tree(np.full(size, -1, "int32"), np.zeros(size, "u1"), np.zeros(size, bool), np.zeros(size, "int32"), np.zeros(size, "int32"), np.zeros(size))
         for k in keep:
             g, h, _ = self.nodes[k].sums
             t.value[number[k]] = -self.s.rate * g / (h + self.s.l2)
@@ -202,6 +277,17 @@ class Growing:
             t.left[number[k]], t.right[number[k]] = number[self.nodes[k].left], number[self.nodes[k].right]
         return t
 
+    def values(self) -> np.ndarray:
+        """Of every tried node the value of the chosen tree's leaf that it is or lies in."""
+        out = np.zeros(len(self.nodes))
+        for k, node in enumerate(self.nodes):  # parents come first
+            if k == 0 or node.parent in self.chosen:
+                g, h, _ = node.sums
+                out[k] = -self.s.rate * g / (h + self.s.l2)
+            else:
+                out[k] = out[node.parent]
+        return out
+
 
 def best_splits(sums: np.ndarray, s: Settings) -> list[Node]:
     """Of every node its sums and best split, from whole-number sums (node, feature, bin, [gradient, curvature, rows])."""
@@ -234,24 +320,38 @@ def best_splits(sums: np.ndarray, s: Settings) -> list[Node]:
 
 
 # ------------------------------------------------------------------ passes
-def _block_sums(b: Block, m: int, tree: Tree | None, slot: np.ndarray, n_slots: int) -> np.ndarray:
-    rows = np.flatnonzero(b.role[m] == 1)
-    x = b.x[:, rows]
-    at = slot[tree.route(x)] if tree is not None else np.zeros(len(rows), "int64")
-    rows, x, at = rows[at >= 0], x[:, at >= 0], at[at >= 0]
-    p = 1 / (1 + np.exp(-b.raw[m, rows]))
-    w, n_f = b.w[rows], len(x)
-    parts = (np.rint(w * (p - b.y[rows]) * _UNIT), np.rint(w * p * (1 - p) * _UNIT), None)
+def _gradients(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of each row, as whole numbers."""
+    p = 1 / (1 + np.exp(-raw))
+    return np.rint(w * (p - y) * _UNIT), np.rint(w * p * (1 - p) * _UNIT)
+
+
+def _loss(raw: np.ndarray, y: np.ndarray, w: np.ndarray) -> int:
+    return int(np.rint(w * (np.logaddexp(0, raw) - y * raw) * _UNIT).sum())
+
+
+def _sums(x: np.ndarray, at: np.ndarray, g: np.ndarray, h: np.ndarray, n_slots: int) -> np.ndarray:
+    """Sums of rows (columns of ``x``) by (slot, feature, bin, [gradient, curvature, rows])."""
+    n_f, n = x.shape
     out = np.empty((n_slots, n_f, 256, 3), "int64")
-    step = max(1, (1 << 20) // max(len(rows), 1))
+    step = max(1, (1 << 17) // max(n, 1))
     for f in range(0, n_f, step):
         k = min(step, n_f - f)
         cell = ((at * k + np.arange(k)[:, None]) * 256 + x[f : f + k]).ravel()
-        for i, v in enumerate(parts):  # sums of whole numbers below 2**53 are exact
-            out[:, f : f + k, :, i] = np.bincount(cell, None if v is None else np.tile(v, k), n_slots * k * 256).reshape(n_slots, k, 256)
+        for i, v in enumerate((g, h, None)):  # sums of whole numbers below 2**53 are exact
+            v = v if v is None or k == 1 else np.tile(v, k)
+            out[:, f : f + k, :, i] = np.bincount(cell, v, n_slots * k * 256).reshape(n_slots, k, 256)
     return out
 
 
+def _block_sums(b: Block, m: int, tree: Tree | None, slot: np.ndarray, n_slots: int) -> np.ndarray:
+    rows = np.flatnonzero(b.role[m] == 1)
+    x = b.x[:, rows]
+    at = slot[tree.route(x)] if tree is not None else np.zeros(len(rows), "int64")
+    rows, x, at = rows[at >= 0], x[:, at >= 0], at[at >= 0]
+    return _sums(x, at, *_gradients(b.raw[m, rows], b.y[rows], b.w[rows]), n_slots)
+
+
 def _pass(blocks: Iterable[Block], plan: dict, watch: dict[int, int] | None) -> dict:
     """Sums by model for the nodes of ``plan`` {model: (tree, slot by node, slots)}; losses of the watched rows by model."""
     out: dict = {}
@@ -261,16 +361,17 @@ def _pass(blocks: Iterable[Block], plan: dict, watch: dict[int, int] | None) ->
             out[m] = out[m] + got if m in out else got
         for m, role in (watch or {}).items():
             rows = np.flatnonzero(b.role[m] == role)
-            z = b.raw[m, rows]
-            loss = np.rint(b.w[rows] * (np.logaddexp(0, z) - b.y[rows] * z) * _UNIT).sum()
-            out[f"loss{m}"] = out.get(f"loss{m}", 0) + int(loss)
+            out[f"loss{m}"] = out.get(f"loss{m}", 0) + _loss(b.raw[m, rows], b.y[rows], b.w[rows])
     return out
 
 
-def _merge(a: dict, b: dict) -> dict:
-    for k, v in b.items():
-        a[k] = a[k] + v if k in a else v
-    return a
+def _cells(got: dict) -> Iterator[tuple]:
+    """What a pass found, by (model, slot); the loss under slot -1."""
+    for k, v in got.items():
+        if isinstance(k, str):
+            yield (int(k[4:]), -1), v
+        else:
+            yield from (((k, i), v[i]) for i in range(len(v)))
 
 
 def _weights(blocks: Iterable[Block], n_models: int) -> np.ndarray:
@@ -287,18 +388,23 @@ def _weights(blocks: Iterable[Block], n_models: int) -> np.ndarray:
 # ------------------------------------------------------------------ fit and score
 @dataclass
 class Boosted:
-    """Fitted models over the same features: base score and trees by model."""
+    """Fitted models over the same features: base score and packed trees by model."""
 
     features: list[str]
     edges: list[np.ndarray]
     base: list[float]
-    trees: list[list[Tree]] = field(default_factory=list)
+    packed: list[bytes] = field(default_factory=list)
+
+    @property
+    def trees(self) -> list[list[Tree]]:
+        return [unpack(p) for p in self.packed]
 
     def raw(self, x: np.ndarray, m: int) -> np.ndarray:
         """Log odds of rows given as bins by feature."""
         out = np.full(x.shape[1], self.base[m])
-        for t in self.trees[m]:
-            out += t.value[t.route(x)]
+        wide = x.astype("int64") if x.shape[1] >= 256 else None  # tables of masks pay for many rows
+        for t in unpack(self.packed[m]):
+            out += t.value[t.route(x)] if wide is None or len(t.feature) > 63 else _leaf_values(t, wide)
         return out
 
     def bins(self, values: np.ndarray) -> np.ndarray:
@@ -314,6 +420,12 @@ def matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.array(column.tolist(), "float64").reshape(len(column), width)
 
 
+def dealt(df: DataFrame, by: Column | None = None) -> DataFrame:
+    """``df`` over all cores, whatever the files it is read from, and in each part the rows of one model together."""
+    out = df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+    return out if by is None else out.sortWithinPartitions(by)
+
+
 def raw_score(model: Boosted, which: Column) -> Column:
     """Log odds by the model whose number each row names."""
 
@@ -346,15 +458,21 @@ def fit(rows: DataFrame, features: Sequence[str], members: Sequence[Column], lab
     table = known.select(*[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)], F.col(label).cast("double").alias("_y"), w.alias("_w"), role.alias("_r"))
     stored = cut_lineage(table.hint("rebalance").mapInArrow(_block_writer(edges), "n long, x binary, y binary, w binary, role binary"))
     blocks = stored.rdd.map(_read_block(n_models, len(features)))
-    if stored.count() <= 1:
-        trees, base = _fit_here(blocks, n_models, s)
+    n_blocks, n = stored.agg(F.count("n"), F.sum("n")).first()
+    if n_blocks <= 1 or n * (len(features) + 48) <= TASK_MB * 1e6 and _cell_bytes(len(features)) * s.leaves <= SUMS_MB * 1e6:
+        packed, base = _fit_here(blocks, n_models, s)
     else:
         _may_checkpoint(rows)
-        spread = _Spread(blocks, n_models)
+        spread = _Spread(blocks, n_models, len(features))
         base, tot = spread.begin()
-        trees = _boost(spread, tot, len(features), s)
+        packed = [pack(t) for t in _boost(spread, tot, len(features), s)]
         spread.end()
-    return Boosted(features, edges, base.tolist(), trees)
+    return Boosted(features, edges, base.tolist(), packed)
+
+
+def _cell_bytes(n_features: int) -> int:
+    """Sums of one node."""
+    return n_features * 256 * 24
 
 
 def _begin(tot: np.ndarray) -> np.ndarray:
@@ -367,8 +485,8 @@ def _begin(tot: np.ndarray) -> np.ndarray:
 class _Spread:
     """Blocks over the cluster: a pass is a job, the raw scores are kept with the blocks and checkpointed every few rounds."""
 
-    def __init__(self, blocks: RDD, n_models: int):
-        self.blocks, self.n_models, self.old, self.round = blocks, n_models, None, 0
+    def __init__(self, blocks: RDD, n_models: int, n_features: int):
+        self.blocks, self.n_models, self.n_features, self.old, self.round = blocks, n_models, n_features, None, 0
 
     def begin(self) -> tuple[np.ndarray, np.ndarray]:
         n = self.n_models
@@ -377,14 +495,21 @@ class _Spread:
         self.state = self.blocks.map(lambda b: b.at(base)).persist(StorageLevel.MEMORY_AND_DISK)
         return base, tot
 
-    def sums(self, plan: dict, watch: dict[int, int] | None = None) -> dict:
-        out = self.state.mapPartitions(lambda it: [_pass(it, plan, watch)]).treeReduce(_merge)
+    def splits(self, plan: dict[int, tuple[Growing | None, list[int]]], s: Settings, watch: dict[int, int] | None = None) -> tuple[dict[int, list[Node]], dict[int, int]]:
+        """By model the asked nodes with their best splits, and losses. Sums meet by node; only splits are collected."""
+        asked = {m: (g and g.tree(False), _slots(nodes, len(g.nodes)) if g else None, len(nodes)) for m, (g, nodes) in plan.items()}
+        tasks = max(1, min(sum(a[2] for a in asked.values()), self.state.context.defaultParallelism))
+        sums = self.state.mapPartitions(lambda it: _cells(_pass(it, asked, watch))).reduceByKey(lambda a, b: a + b, tasks)
+        got = sums.map(lambda kv: (kv[0], kv[1] if kv[0][1] < 0 else best_splits(kv[1][None], s)[0])).collectAsMap()
         if self.old is not None:
             self.old.unpersist()
             self.old = None
-        return out
+        empty = np.zeros((1, self.n_features, 256, 3), "int64")
+        nodes = {m: [got.get((m, i)) or best_splits(empty, s)[0] for i in range(a[2])] for m, a in asked.items()}
+        return nodes, {m: got.get((m, -1), 0) for m in watch or {}}
 
-    def advance(self, trees: dict[int, Tree]) -> None:
+    def advance(self, grown: dict[int, Growing]) -> None:
+        trees = {m: t.tree() for m, t in grown.items()}
         self.old, self.state = self.state, self.state.map(lambda b: b.advanced(trees)).persist(StorageLevel.MEMORY_AND_DISK)
         self.round += 1
         if self.round % CHECKPOINT_EVERY == 0:
@@ -397,40 +522,64 @@ class _Spread:
 
 
 class _Here:
-    """The same over one block, inside a task."""
+    """The same over the rows of one model, inside a task. Rows go on from the node they reached; of two children the smaller is summed, the other is what is left."""
 
-    def __init__(self, block: Block):
-        self.block = block
+    def __init__(self, fitted: tuple[np.ndarray, ...], held: tuple[np.ndarray, ...]):
+        self.parts = {1: fitted, 2: held}
 
     def begin(self) -> tuple[np.ndarray, np.ndarray]:
-        tot = _weights([self.block], len(self.block.role))
+        tot = np.array([[[w.sum(), (w * y).sum(), len(y)] for _, y, w in self.parts.values()]])
         base = _begin(tot)
-        self.block = self.block.at(base)
+        self.raw = {role: np.full(len(y), base[0]) for role, (_, y, _) in self.parts.items()}
         return base, tot
 
-    def sums(self, plan: dict, watch: dict[int, int] | None = None) -> dict:
-        return _pass([self.block], plan, watch)
-
-    def advance(self, trees: dict[int, Tree]) -> None:
-        self.block = self.block.advanced(trees)
-
-
-def _fit_here(blocks: RDD, n_models: int, s: Settings) -> tuple[list[list[Tree]], np.ndarray]:
-    """A table of one block: the same passes without a job each, a task per model, each with the model's rows alone."""
-
-    def one(item: tuple[int, Block]) -> tuple[int, float, list[Tree]]:
-        m, block = item
-        here = _Here(block)
-        base, tot = here.begin()
-        return m, float(base[0]), _boost(here, tot, len(block.x), s)[0]
-
-    tasks = max(1, min(n_models, blocks.context.defaultParallelism))
-    items = blocks.flatMap(lambda b: [(m, b.only(m)) for m in range(n_models)]).partitionBy(tasks, lambda m: m)
-    trees: list[list[Tree]] = [[] for _ in range(n_models)]
+    def splits(self, plan: dict[int, tuple[Growing | None, list[int]]], s: Settings, watch: dict[int, int] | None = None) -> tuple[dict[int, list[Node]], dict[int, int]]:
+        grown, nodes = plan[0]
+        x, y, w = self.parts[1]
+        if grown is None:
+            self.g, self.h = _gradients(self.raw[1], y, w)
+            self.node = np.zeros(len(y), "int32")
+            self.sums = {0: _sums(x, np.zeros(len(y), "int64"), self.g, self.h, 1)[0]}
+        else:
+            self.node = grown.tree(False).route(x, self.node)
+            parents = sorted({grown.nodes[k].parent for k in nodes})
+            small = [min(grown.nodes[p].left, grown.nodes[p].right, key=lambda c: grown.nodes[c].sums[2]) for p in parents]
+            at = _slots(small, len(grown.nodes))[self.node]
+            rows = np.flatnonzero(at >= 0)
+            for p, c, got in zip(parents, small, _sums(x[:, rows], at[rows], self.g[rows], self.h[rows], len(small))):
+                other = grown.nodes[p].left + grown.nodes[p].right - c
+                self.sums[c], self.sums[other] = got, self.sums.pop(p) - got
+        loss = {m: _loss(self.raw[role], *self.parts[role][1:]) for m, role in (watch or {}).items()}
+        return {0: best_splits(np.array([self.sums[k] for k in nodes]), s)}, loss
+
+    def advance(self, grown: dict[int, Growing]) -> None:
+        for t in grown.values():
+            self.raw[1] += t.values()[t.tree(False).route(self.parts[1][0], self.node)]
+            tree = t.tree()
+            self.raw[2] += tree.value[tree.route(self.parts[2][0])]
+
+
+def _fit_here(blocks: RDD, n_models: int, s: Settings) -> tuple[list[bytes], np.ndarray]:
+    """A model a task, each with its own rows alone."""
+
+    def one(items: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int, float, bytes]]:
+        parts: dict[int, list] = {}
+        for m, part in items:
+            parts.setdefault(m, []).append(part)
+        for m in sorted(parts):
+            found = parts.pop(m)
+            fitted, held = ([np.concatenate(c, axis=-1) for c in zip(*(p[i] for p in found))] for i in (0, 1))
+            here = _Here(tuple(fitted), tuple(held))
+            del found
+            base, tot = here.begin()
+            yield m, float(base[0]), pack(_boost(here, tot, len(fitted[0]), s)[0])
+
+    items = blocks.flatMap(lambda b: [(m, (b.part(m, 1), b.part(m, 2))) for m in range(n_models)]).partitionBy(max(n_models, 1), lambda m: m)
+    packed = [pack([])] * n_models
     base = np.zeros(n_models)
-    for m, x, t in items.map(one).collect():  # trees, not rows
-        base[m], trees[m] = x, t
-    return trees, base
+    for m, x, t in items.mapPartitions(one).collect():  # trees, not rows
+        base[m], packed[m] = x, t
+    return packed, base
 
 
 def _boost(where: _Spread | _Here, tot: np.ndarray, n_features: int, s: Settings) -> list[list[Tree]]:
@@ -440,31 +589,31 @@ def _boost(where: _Spread | _Here, tot: np.ndarray, n_features: int, s: Settings
     active = [m for m in range(n_models) if 0 < tot[m, 0, 1] < tot[m, 0, 0]]
     watch = {m: 2 if tot[m, 1, 2] else 1 for m in active}  # without validation rows the fitted ones tell when to stop
     scores: dict[int, list[float]] = {m: [] for m in active}
-    limit = max(2, int(SUMS_MB * 1e6 / (n_features * 256 * 24)))
+    limit = max(2, int(SUMS_MB * 1e6 / _cell_bytes(n_features)))
     for _ in range(s.rounds):
         if not active:
             break
         grown: dict[int, Growing] = {}
         for some in _runs(active, limit):
-            got = where.sums({m: (None, None, 1) for m in some}, {m: watch[m] for m in some})
+            got, loss = where.splits({m: (None, [0]) for m in some}, s, {m: watch[m] for m in some})
             for m in some:
-                scores[m].append(-got[f"loss{m}"] / _UNIT / max(tot[m, watch[m] - 1, 0], 1e-300))
+                scores[m].append(-loss[m] / _UNIT / max(tot[m, watch[m] - 1, 0], 1e-300))
                 if not _stalled(scores[m], s):
-                    grown[m] = Growing(best_splits(got[m], s)[0], s)
+                    grown[m] = Growing(got[m][0], s)
         while wanted := {m: t for m, t in grown.items() if not t.done}:
             for some in _runs(list(wanted), limit // 2):
                 ask = {m: wanted[m].ahead(max(2, limit // len(some))) for m in some}
-                plan = {m: (wanted[m].tree(False), _slots(nodes, len(wanted[m].nodes)), len(nodes)) for m, nodes in ask.items() if nodes}
-                got = where.sums(plan) if plan else {}
+                plan = {m: (wanted[m], nodes) for m, nodes in ask.items() if nodes}
+                got = where.splits(plan, s)[0] if plan else {}
                 for m, nodes in ask.items():
-                    for k, node in zip(nodes, best_splits(got[m], s) if nodes else []):
+                    for k, node in zip(nodes, got.get(m, [])):
                         wanted[m].nodes[k].split = node.split
                     wanted[m].settle()
-        trees = {m: t.tree() for m, t in grown.items() if t.chosen}
-        for m, t in trees.items():
-            out[m].append(t)
-        active = list(trees)
-        where.advance(trees)
+        grown = {m: t for m, t in grown.items() if t.chosen}
+        for m, t in grown.items():
+            out[m].append(t.tree())
+        active = list(grown)
+        where.advance(grown)
     return out
 
 

@@ -127,6 +127,11 @@ class BoostedSets:
 
         return score(boosting.vector(self.model.features), name)
 
+    def scored(self, df: DataFrame, name: Column, out: str = "prob") -> DataFrame:
+        """``df`` with ``prob`` in column ``out``."""
+        named = boosting.dealt(df.withColumn("_set", name), F.col("_set"))
+        return named.withColumn(out, self.prob(F.col("_set"))).drop("_set")
+
     def probs(self, names: Sequence[str]) -> Column:
         """Array of every named set's probability."""
 
@@ -146,7 +151,7 @@ class BoostedSet:
     name: str
 
     def transform(self, df: DataFrame, out: str = "prob") -> DataFrame:
-        return df.withColumn(out, self.sets.prob(F.lit(self.name)))
+        return self.sets.scored(df, F.lit(self.name), out)
 
 
 def fit_sets(train: DataFrame, features: Sequence[str], sets: dict[str, Column], weight: str | None = None, calibrate: bool = True, key: str = "rec", folds: int = 3, **settings) -> BoostedSets:
@@ -180,6 +185,7 @@ def fit_sets(train: DataFrame, features: Sequence[str], sets: dict[str, Column],
     numbers = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(held)]), lambda k: k.isNotNull())
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     each = data.select("label", w.alias("weight"), *features, F.explode(numbers).alias("model"))
+    each = boosting.dealt(each, F.col("model"))
     scored = each.select("model", "label", "weight", boosting.raw_score(model, F.col("model")).alias("score"))
     return BoostedSets(model, parts, boosting.isotonic(scored))
 
@@ -222,7 +228,7 @@ class SiteModels:
             name = F.lit(self.overall.name)
             for s, c in chosen.items():
                 name = F.when(F.col(site) == s, F.lit(c.name)).otherwise(name)
-            return df.withColumn(out, self.overall.sets.prob(name))
+            return self.overall.sets.scored(df, name, out)
         rest = df.where(~F.col(site).isin(*chosen)) if chosen else df
         parts = [self.overall.transform(rest, out)] + [c.transform(df.where(F.col(site) == s), out) for s, c in chosen.items()]
         return reduce(DataFrame.unionByName, parts)
@@ -267,7 +273,7 @@ def routed_prediction(df: DataFrame, router: tuple[PipelineModel, list[str]], mo
     cur = cur.select(*df.columns, vector_to_array("_ps").alias("_w"))
     used = [models.experts.get(s, models.overall) for s in labels]
     if isinstance(models.overall, BoostedSet):
-        cur = cur.withColumn("_each", models.overall.sets.probs([c.name for c in used]))
+        cur = boosting.dealt(cur).withColumn("_each", models.overall.sets.probs([c.name for c in used]))
     else:
         for i, c in enumerate(used):
             cur = c.transform(cur, f"_e{i}")
@@ -381,7 +387,7 @@ def loso(table: DataFrame, features: Sequence[str], site: str = "site", kind: st
     usable = {s: (p_all - p) / (n_all - n) for s, (n, p) in sorted(sizes.items()) if 0 < p_all - p < n_all - n}
     if kind == "boost":
         fitted = fit_sets(rows, features, {s: F.col(site) != s for s in usable}, key=key, **kw)
-        scored = rows.where(F.col(site).isin(*usable)).withColumn("prob", fitted.prob(F.col(site)))
+        scored = fitted.scored(rows.where(F.col(site).isin(*usable)), F.col(site))
     else:
         parts = [fit_classifier(rows.where(F.col(site) != s), features, kind=kind, key=key, **kw).transform(rows.where(F.col(site) == s)) for s in usable]
         scored = reduce(DataFrame.unionByName, parts)
@@ -416,7 +422,7 @@ def repeated_oof(table: DataFrame, features: Sequence[str], key: str = "rec", k:
     sets = {f"{r}/{f}": F.get("_folds", F.lit(r)) != f for r in range(repeats) for f in range(k)}
     fitted = fit_sets(data, features, sets, key=key, **kw)
     each = data.select(key, "label", *features, F.posexplode("_folds").alias("_r", "_f"))
-    scored = each.select(key, "label", fitted.prob(F.concat_ws("/", F.col("_r"), F.col("_f"))).alias("prob"))
+    scored = fitted.scored(each, F.concat_ws("/", F.col("_r"), F.col("_f")))
     return scored.groupBy(key, "label").agg(F.avg("prob").alias("prob"), F.count(F.lit(1)).alias("n_oof"))
 
 
@@ -482,7 +488,7 @@ def learning_curve(table: DataFrame, features: Sequence[str], fractions: Sequenc
     fitted = fit_sets(rows, features, sets, key=key, **kw)
     runs = F.filter(F.array(*[F.when(c, F.struct(F.lit(float(fr)).alias("fraction"), F.lit(int(sd)).alias("seed"), F.lit(f"{fr}/{sd}/").alias("head"))) for (fr, sd), c in kept.items()]), lambda x: x.isNotNull())
     each = rows.select("label", site, *features, F.explode(runs).alias("_run")).select("label", site, *features, "_run.*")
-    each = each.withColumn("prob", fitted.prob(F.concat("head", F.col(site)))).select("fraction", "seed", "label", "prob")
+    each = fitted.scored(each, F.concat("head", F.col(site))).select("fraction", "seed", "label", "prob")
     per = auroc(training_table(each), ["fraction", "seed"], "prob", "label")
     return per.groupBy("fraction").agg(F.count("auroc").alias("n_seeds"), F.avg("auroc").alias("mean"), F.stddev_samp("auroc").alias("sd"))
 

@@ -215,3 +215,35 @@ def test_risk_trend(spark):
         assert got[g].n == len(t) and got[g].rho == pytest.approx(rho) and got[g].p == pytest.approx(beta_inc((len(t) - 2) / 2, 0.5, (len(t) - 2) / (len(t) - 2 + z * z)))
         a, b = np.quantile(t, [1 / 3, 2 / 3])
         assert got[g].mean_risk_third_1 == pytest.approx(p[t <= a].mean()) and got[g].mean_risk_third_3 == pytest.approx(p[t > b].mean())
+
+
+def test_models_of_many_blocks_grow_in_tasks(spark, table, monkeypatch, request):
+    """Up to ``TASK_MB`` no pass is a job, however many blocks there are; the trees are those of the passes."""
+    s = boosting.Settings(rounds=4, rate=0.3, min_rows=5)
+    members = [F.lit(True), F.col("site") == "a", F.lit(False)]
+    request.getfixturevalue("many_blocks")
+    with monkeypatch.context() as m:
+        m.setattr(boosting, "TASK_MB", 0)
+        m.setattr(boosting, "_fit_here", None)
+        a = boosting.fit(table.repartition(7), FEATURES, members, settings=s)
+    monkeypatch.setattr(boosting, "_Spread", None)
+    b = boosting.fit(table.repartition(7), FEATURES, members, settings=s)
+    assert a.base == b.base and [len(t) for t in a.trees] == [len(t) for t in b.trees] == [4, 4, 0]
+    assert all((np.sort(x.value) == np.sort(z.value)).all() for p, q in zip(a.trees, b.trees) for x, z in zip(p, q))
+
+
+def test_leaf_masks_equal_routes():
+    """A tree of 32 leaves and smaller ones, packed and read again."""
+    rng = np.random.default_rng(4)
+    for leaves in (1, 2, 9, 32):
+        size = 2 * leaves - 1
+        t = boosting.Tree(np.full(size, -1, "int32"), rng.integers(0, 255, size).astype("u1"), rng.random(size) < 0.5, np.zeros(size, "int32"), np.zeros(size, "int32"), rng.normal(size=size))
+        ends = [0]
+        for k in range(1, size, 2):
+            at = ends.pop(int(rng.integers(len(ends))))
+            t.feature[at], t.left[at], t.right[at] = rng.integers(0, 3), k, k + 1
+            ends += [k, k + 1]
+        x = rng.integers(0, 256, (3, 3000)).astype("u1")
+        want = t.value[t.route(x)]
+        u, v = boosting.unpack(boosting.pack([t, t]))
+        assert (boosting._leaf_values(t, x.astype("int64")) == want).all() and (u.value[v.route(x)] == want).all()
