@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 class DuplicateKeys(ValueError):
     """A table that must hold one row per key does not."""
@@ -30,6 +32,32 @@ def interval_join(
     return left.join(right, [*keys, "_b"]).where(hit).drop("_b")
 
 
+PAIRS_A_KEY = 1_000_000  # candidate pairs of a bucket beyond which its left rows are dealt over several keys
+PAIRS_A_TASK = 10_000_000
+
+
+def _dealt(l: DataFrame, r: DataFrame, on: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a part number, so that no part of a bucket has many more than ``PAIRS_A_KEY`` candidate pairs, and the left side over enough tasks.
+
+    A few close values make few buckets, however many rows there are; their left rows are dealt, their right rows copied to every part.
+    """
+    n_l = l.groupBy(*[F.col(a) for a in on]).agg(F.count(F.lit(1)).alias("_nl"))
+    n_r = r.groupBy(*[F.col(b).alias(a) for a, b in on.items()]).agg(F.count(F.lit(1)).alias("_nr"))
+    pairs = F.col("_nl").cast("double") * F.col("_nr")
+    sizes = n_l.join(n_r, list(on)).select(*on, pairs.alias("_n"), F.least(F.ceil(pairs / PAIRS_A_KEY), F.col("_nl")).cast("int").alias("_parts"))
+    sizes = cut_lineage(sizes)
+    total = sizes.agg(F.sum("_n")).first()[0] or 0.0
+    if total <= PAIRS_A_TASK:
+        return l.withColumn("_s", F.lit(0)), r.withColumn("_rs", F.lit(0))
+    wide = sizes.where("_parts > 1").select(*on, "_parts")
+    mine = wide.select(*[F.col(a).alias(b) for a, b in on.items()], F.col("_parts").alias("_rparts"))
+    columns = l.columns
+    l = l.join(wide, list(on), "left").select(*columns, F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int").alias("_s"))
+    columns = r.columns
+    r = r.join(mine, list(on.values()), "left").select(*columns, F.explode(F.sequence(F.lit(0), F.coalesce("_rparts", F.lit(1)) - 1)).alias("_rs"))
+    return l.repartition(int(total // PAIRS_A_TASK) + 1, *on, "_s"), r
+
+
 def range_join(left: DataFrame, right: DataFrame, l_col: str, r_col: str, gap: float, keys: Sequence[str] = (), how="inner") -> DataFrame:
     """|left - right| <= gap. ``gap`` 0 is an equi-join; else the right side visits three buckets."""
     if gap == 0:
@@ -38,13 +66,15 @@ def range_join(left: DataFrame, right: DataFrame, l_col: str, r_col: str, gap: f
     l = left.withColumn("_b", F.floor(F.col(l_col) / gap))
     near = F.array(*[F.floor(F.col(r_col) / gap) + d for d in (-1, 0, 1)])
     r = right.withColumn("_rb", F.explode(near))
-    cond = (F.col("_b") == F.col("_rb")) & (F.abs(F.col(l_col) - F.col(r_col)) <= gap)
+    on = {"_b": "_rb", **{k: f"_r_{k}" for k in keys}}
+    cond = (F.col("_s") == F.col("_rs")) & (F.col("_b") == F.col("_rb")) & (F.abs(F.col(l_col) - F.col(r_col)) <= gap)
     if keys:
         r = r.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in r.columns])
         for k in keys:
             cond &= F.col(k) == F.col(f"_r_{k}")
+    l, r = _dealt(l, r, on)
     out = l.join(r, cond, how)
-    return out.drop("_b", "_rb", *[f"_r_{k}" for k in keys])
+    return out.drop("_b", "_rb", "_s", "_rs", *[f"_r_{k}" for k in keys])
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str], name: str = "table") -> DataFrame:

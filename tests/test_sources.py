@@ -112,3 +112,20 @@ def test_joins(spark):
     base = spark.createDataFrame([(" 1 ",), ("2",)], "rec string")
     fam = spark.createDataFrame([(1, 5.0)], "rec int, v double")
     assert {r.rec: (r.nk__v, r.nk__matched) for r in join_families(base, {"nk": fam}, ["rec"]).collect()} == {"1": (5.0, 1), "2": (None, 0)}
+
+
+def test_range_join_of_few_buckets_is_dealt(spark, monkeypatch):
+    """Buckets of very many pairs are cut into parts of bounded size over several tasks; no pair is lost or doubled."""
+    from hypnolake.operators import joins
+
+    monkeypatch.setattr(joins, "PAIRS_A_KEY", 50)
+    monkeypatch.setattr(joins, "PAIRS_A_TASK", 100)
+    a = spark.createDataFrame([(i, "pq"[i % 2], float(i % 3) if i % 7 else None) for i in range(60)], "i int, k string, x double").repartition(2)
+    b = spark.createDataFrame([(j, "pq"[j % 2], float(j % 4) / 2) for j in range(40)], "j int, k string, y double")
+    near = [(i, j) for i in range(60) if i % 7 for j in range(40) if abs(i % 3 - j % 4 / 2) <= 0.5]
+    got = range_join(a, b, "x", "y", 0.5).select("i", "j")
+    assert sorted(map(tuple, got.collect())) == near and got.select(F.spark_partition_id()).distinct().count() > 4
+    keyed = range_join(a, b, "x", "y", 0.5, ["k"], how="left").select("i", "j").collect()
+    matched = [(i, j) for i, j in near if i % 2 == j % 2]
+    alone = [(i, -1) for i in range(60) if i not in {m[0] for m in matched}]
+    assert sorted((r.i, -1 if r.j is None else r.j) for r in keyed) == sorted(matched + alone)
