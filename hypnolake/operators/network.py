@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..vocab import EPOCH_S
 from ..session import cut_lineage
 from .ordered import Axis, forward_fill, running_sum, shift, with_axis
 from .signals import BANDS, analytic, core, envelopes, stacks
 
+EPOCHS_AT_ONCE = 64  # montages whose cross-spectra a task holds
 STAGE_POOLS = {"nrem": (1, 2, 3), "rem": (4,)}
 REGION_PAIRS = {"interhemi": (("f3", "f4"), ("c3", "c4"), ("o1", "o2")), "antpost": (("f3", "o1"), ("f4", "o2"))}
 
@@ -36,35 +39,59 @@ def referenced(x) -> np.ndarray:
 
 # ------------------------------------------------------------------ connectivity
 def cross_spectra(montages: DataFrame, keys: Sequence[str], seg_s: float = 2.0, overlap: float = 0.5) -> DataFrame:
-    """Per epoch, pair and band bin: summed cross-spectrum terms over Hann segments inside the epoch."""
-    fields = "i:string,j:string,hz:double,n:int,re:double,im:double,aim:double,xx:double,yy:double"
+    """Per epoch, pair and band bin: summed cross-spectrum terms over Hann segments inside the epoch.
 
-    @F.pandas_udf(f"array<struct<{fields}>>")
-    def terms(channels: pd.Series, x: pd.Series, fs: pd.Series) -> pd.Series:
-        out = []
-        for names, data, rate in zip(channels, x, fs):
-            rows, m = [], referenced(data)
-            seg = int(round(seg_s * rate))
-            if len(names) >= 2 and seg >= 8 and m.shape[1] >= seg and rate >= 2 * BANDS[-1][2]:
-                hop = max(1, int(round(seg * (1 - overlap))))
-                starts = np.arange(0, m.shape[1] - seg + 1, hop)
-                cut = m[:, starts[:, None] + np.arange(seg)]
-                spec = np.fft.rfft((cut - cut.mean(axis=2, keepdims=True)) * np.hanning(seg), axis=2)
-                freq = np.fft.rfftfreq(seg, 1 / rate)
-                use = np.flatnonzero((freq >= BANDS[0][1]) & (freq < BANDS[-1][2]))
-                power = (np.abs(spec) ** 2).sum(axis=1)
-                for a in range(len(names)):
-                    for b in range(a + 1, len(names)):
-                        c = spec[a] * np.conj(spec[b])
-                        re, im, aim = c.real.sum(axis=0), c.imag.sum(axis=0), np.abs(c.imag).sum(axis=0)
-                        rows += [
-                            (names[a], names[b], float(freq[k]), len(starts), float(re[k]), float(im[k]), float(aim[k]), float(power[a, k]), float(power[b, k]))
-                            for k in use
-                        ]
-            out.append(rows)
-        return pd.Series(out)
-
-    return montages.select(*keys, "stage", F.explode(terms("channels", "x", "fs")).alias("_t")).select(*keys, "stage", "_t.*")
+    Epochs are read ``EPOCHS_AT_ONCE`` at a time, so a task holds no more terms than theirs.
+    """
+    own = [*keys, "stage"]
+    terms = ("n", "re", "im", "aim", "xx", "yy")
+    fields = [T.StructField(c, T.StringType()) for c in "ij"] + [T.StructField("hz", T.DoubleType()), T.StructField("n", T.IntegerType())]
+    fields += [T.StructField(c, T.DoubleType()) for c in terms[1:]]
+
+    def of_epoch(data, rate: float) -> tuple | None:
+        """Pairs (a, b), bins of the bands and the terms by (pair, bin)."""
+        m = referenced(data)
+        seg = int(round(seg_s * rate))
+        if len(m) < 2 or seg < 8 or m.shape[1] < seg or rate < 2 * BANDS[-1][2]:
+            return None
+        hop = max(1, int(round(seg * (1 - overlap))))
+        starts = np.arange(0, m.shape[1] - seg + 1, hop)
+        cut = m[:, starts[:, None] + np.arange(seg)]
+        spec = np.fft.rfft((cut - cut.mean(axis=2, keepdims=True)) * np.hanning(seg), axis=2)
+        freq = np.fft.rfftfreq(seg, 1 / rate)
+        use = np.flatnonzero((freq >= BANDS[0][1]) & (freq < BANDS[-1][2]))
+        power = (np.abs(spec) ** 2).sum(axis=1)
+        a, b = np.triu_indices(len(m), 1)
+        out = np.empty((5, len(a), len(use)))
+        for k, (p, q) in enumerate(zip(a, b)):
+            c = spec[p] * np.conj(spec[q])
+            out[:, k] = [x[use] for x in (c.real.sum(axis=0), c.imag.sum(axis=0), np.abs(c.imag).sum(axis=0), power[p], power[q])]
+        return a, b, freq[use], len(starts), out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, EPOCHS_AT_ONCE):
+                part = batch.slice(at, EPOCHS_AT_ONCE)
+                names, data, rates = (part.column(c).to_pandas() for c in ("channels", "x", "fs"))
+                rows, i, j, columns = [], [], [], [[] for _ in range(7)]
+                for k in range(part.num_rows):
+                    found = of_epoch(data[k], rates[k])
+                    if found is None:
+                        continue
+                    a, b, hz, n, out = found
+                    size = len(a) * len(hz)
+                    rows.append(np.full(size, k))
+                    i.append(np.repeat(np.asarray(names[k], object)[a], len(hz)))
+                    j.append(np.repeat(np.asarray(names[k], object)[b], len(hz)))
+                    for column, x in zip(columns, (np.tile(hz, len(a)), np.full(size, n, "int32"), *out.reshape(5, size))):
+                        column.append(x)
+                if rows:
+                    mine = part.select(own).take(pa.array(np.concatenate(rows)))
+                    pairs = [pa.array(np.concatenate(c), pa.string()) for c in (i, j)]
+                    yield pa.RecordBatch.from_arrays([*mine.columns, *pairs, *[pa.array(np.concatenate(c)) for c in columns]], names=[*own, "i", "j", "hz", *terms])
+
+    table = montages.select(*own, "channels", "x", "fs")
+    return table.mapInArrow(run, T.StructType([*table.select(*own).schema, *fields]))
 
 
 def connectivity(spectra: DataFrame, keys: Sequence[str], min_segments: int = 20) -> DataFrame:

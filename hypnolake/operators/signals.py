@@ -22,13 +22,18 @@ TOTAL = (0.5, 30.0)
 BAND_NAMES = [b[0] for b in BANDS]
 
 
+SAMPLES_AT_ONCE = 1 << 18  # of one stack: what a task holds of spectra and the like, whatever the batch
+
+
 def stacks(samples: pd.Series, *extra: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, tuple]]:
-    """Rows of equal length and equal extra values as (positions, 2-D float array, extras)."""
+    """Rows of equal length and equal extra values as (positions, 2-D float array, extras), at most ``SAMPLES_AT_ONCE`` a stack."""
     keys = pd.DataFrame({"n": [0 if s is None else len(s) for s in samples], **{i: e.to_numpy() for i, e in enumerate(extra)}})
     for key, idx in keys.groupby(list(keys.columns), dropna=False).indices.items():
-        if key[0]:
-            rows = np.stack([np.asarray(samples.iloc[i], dtype=float) for i in idx])
-            yield idx, np.where(np.isfinite(rows), rows, 0.0), key[1:]
+        step = max(1, SAMPLES_AT_ONCE // max(int(key[0]), 1))
+        for at in range(0, len(idx) if key[0] else 0, step):
+            part = idx[at : at + step]
+            rows = np.stack([np.asarray(samples.iloc[i], dtype=float) for i in part])
+            yield part, np.where(np.isfinite(rows), rows, 0.0), key[1:]
 
 
 def analytic(x: np.ndarray, fs: float, lo: float, hi: float) -> np.ndarray:
@@ -93,15 +98,14 @@ def envelopes(fs: pd.Series, padded: pd.Series, pad: pd.Series, n: pd.Series, ba
 
 
 def log_histogram(band: tuple[float, float], resolution: int = 1000):
-    """pandas UDF: |band-passed samples| of one epoch as (key, n), key = rint(ln|x| * resolution)."""
+    """pandas UDF: |band-passed samples| of one epoch as cell numbers rint(ln|x| * resolution), one a sample."""
 
-    @F.pandas_udf("array<struct<key:int,n:int>>")
+    @F.pandas_udf("array<int>")
     def hist(fs: pd.Series, padded: pd.Series, pad: pd.Series, n: pd.Series) -> pd.Series:
-        out = [[] for _ in range(len(fs))]
+        out = [np.zeros(0, "int32")] * len(fs)
         for i, _, z in envelopes(fs, padded, pad, n, band, 0.0):
             v = np.abs(z.real)
-            keys, counts = np.unique(np.rint(np.log(v[v > 0]) * resolution).astype(int), return_counts=True)
-            out[i] = [{"key": int(k), "n": int(c)} for k, c in zip(keys, counts)]
+            out[i] = np.rint(np.log(v[v > 0]) * resolution).astype("int32")
         return pd.Series(out)
 
     return hist
@@ -112,8 +116,8 @@ def amplitude_quantile(context: DataFrame, keys: Sequence[str], band: tuple[floa
 
     Relative precision 1/resolution; only histogram cells are shuffled, never samples.
     """
-    h = context.select(*keys, F.explode(log_histogram(band, resolution)("fs", "padded", "pad", F.size("samples"))).alias("_h"))
-    cells = h.groupBy(*keys, "_h.key").agg(F.sum("_h.n").alias("n"))
+    h = context.select(*keys, F.explode(log_histogram(band, resolution)("fs", "padded", "pad", F.size("samples"))).alias("key"))
+    cells = h.groupBy(*keys, "key").agg(F.count(F.lit(1)).alias("n"))  # counted before the exchange
     q = pick_quantiles(cumulate(cells, keys, "key", ("n",), bounded=True), keys, "key", {"_k": p})  # cells bounded by the log range
     return q.select(*keys, F.exp(F.col("_k") / resolution).alias(out))
 

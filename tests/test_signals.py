@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,42 @@ def test_hrv_pieces_weigh_by_length(spark):
         lf[name] = got.lf
         assert got.n_beats == len(rows) - (len(stub) if name == "abs" else 0)
     assert lf["ab"] == pytest.approx((lf["a"] * 294 + lf["b"] * 29) / 323, rel=0.01) and lf["abs"] == lf["ab"]
+
+
+def test_kernels_hold_few_epochs_at_once(spark, monkeypatch):
+    """Stacks are bounded whatever the batch, and cross-spectra leave a task in pieces."""
+    from hypnolake.operators import signals
+
+    monkeypatch.setattr(signals, "SAMPLES_AT_ONCE", 20)
+    x = pd.Series([np.arange(8.0) + k for k in range(7)] + [None, np.arange(30.0)])
+    got = list(signals.stacks(x, pd.Series([1.0] * 9)))
+    assert [len(i) for i, r, _ in got if r.shape[1] == 8] == [2, 2, 2, 1] and all(r.shape[0] == 1 or r.size <= 20 for _, r, _ in got)
+    assert sorted(int(i) for idx, _, _ in got for i in idx) == [0, 1, 2, 3, 4, 5, 6, 8]
+    rng = np.random.default_rng(3)
+    rows = [(k, k, 2, 64.0, c, [float(v) for v in rng.normal(size=64)]) for k in range(200) for c in "abc"]
+    df = spark.createDataFrame(rows, "rec int, epoch int, stage int, fs double, channel string, samples array<float>").coalesce(1)
+    found = network.cross_spectra(network.montage(df, ["rec"]).coalesce(1), ["rec"], seg_s=0.5)
+    bins = found.select("hz").distinct().count()
+    assert found.count() == 200 * 3 * bins and found.groupBy("rec", "i", "j", "hz").count().where("count > 1").isEmpty()
+
+
+def test_recovery_of_short_long_and_repeated_events(spark):
+    """Windows inside one span, beyond one, and two events of one start, against the definition."""
+    from hypnolake.operators import events
+
+    rng = np.random.default_rng(8)
+    value = {(u, s): float(np.round(90 + 8 * rng.random(), 1)) for u in "ab" for s in range(900) if rng.random() < 0.9}
+    spo2 = spark.createDataFrame([(u, s, v) for (u, s), v in value.items()] + [("a", 900, None)], "u string, sec long, value double")
+    ev = [("a", 40, 55), ("a", 149, 151), ("a", 200, 700), ("b", 10, 20), ("b", 10, 30), ("b", 300, 420), ("b", 880, 890), ("b", 0, 5)]
+    got = {(r.u, r.start_s): r for r in events.post_event_recovery(spark.createDataFrame(ev, "u string, start_s long, end_s long"), spo2, ["u"]).collect()}
+    want = {}
+    for u, a in {(u, a) for u, a, _ in ev}:
+        inside = [(value[u, s], s) for w, x, e in ev if (w, x) == (u, a) for s in range(a - 30, e + 45) if (u, s) in value]
+        pre, post = [v for v, s in inside if s < a], [c for c in inside if c[1] >= a]
+        if pre and post:
+            base, nadir = float(np.median(pre)), min(post)[1]
+            back = [s for v, s in post if s >= nadir and v >= base - 1]
+            want[u, a] = (base, max(post)[0] - base, float(min(back) - nadir) if back else None)
+    assert set(got) == set(want) and len(want) == 6
+    for k, (base, over, rec) in want.items():
+        assert got[k].baseline == pytest.approx(base) and got[k].overshoot == pytest.approx(over) and got[k].recovery_s == rec
