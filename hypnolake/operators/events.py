@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..vocab import AHI_CODES, EPOCH_S, RDI_CODES, RESP, STAGES
 from .describe import cv_pop, describe, fano, kurtosis, sd_pop, skewness
 from .joins import containment_join, interval_join
@@ -101,17 +102,32 @@ def post_event_recovery(
 ) -> DataFrame:
     """Per event: pre-event median, overshoot above it, seconds from nadir to baseline - tol.
 
-    ``spo2`` is 1 Hz (keys, sec, value). Every group below is one event's window.
+    ``spo2`` is 1 Hz (keys, sec, value). Samples meet in arrays by spans of ``2 * width`` seconds that overlap by half, so an event whose window is no longer
+    than ``width`` finds it in one span and its samples are never shuffled again. Longer events are joined sample by sample.
     """
-    keys = list(keys)
-    ev = events.select(*keys, "start_s", "end_s").withColumn("_from", F.col("start_s") - baseline_s).withColumn(
-        "_to", F.col("end_s") + recovery_s
-    )
-    rows = interval_join(spo2.where(F.col("value").isNotNull()), ev, keys, "sec", "_from", "_to", 60.0)
+    keys, width = list(keys), 2 * (baseline_s + recovery_s)
     one = [*keys, "start_s"]
-    pre, post = F.col("sec") < F.col("start_s"), F.col("sec") >= F.col("start_s")
-    after = F.collect_list(F.when(post, F.struct(F.col("value").alias("v"), F.col("sec").alias("s"))))  # one event's window
-    stats = rows.groupBy(*one).agg(F.median(F.when(pre, F.col("value"))).alias("baseline"), after.alias("_post"))
+    known = spo2.where(F.col("value").isNotNull())
+    ev = events.groupBy(*one).agg(F.collect_list(F.col("end_s") + recovery_s).alias("_tos")).withColumn("_from", F.col("start_s") - baseline_s)
+    ev = cut_lineage(ev.withColumn("_long", F.array_max("_tos") - F.col("_from") > width))
+    spans = F.explode(F.array(*[F.floor(F.col("sec") / width) + d for d in (-1, 0)]))
+    cell = F.struct(F.col("value").alias("v"), F.col("sec").alias("s"))
+    samples = known.withColumn("_b", spans).groupBy(*keys, "_b").agg(F.collect_list(cell).alias("_w"))  # two widths of samples
+    near = ev.where("NOT _long").withColumn("_b", F.floor(F.col("_from") / width)).join(samples, [*keys, "_b"])
+    inside = F.flatten(F.transform("_tos", lambda t: F.filter("_w", lambda x: (x.s >= F.col("_from")) & (x.s < t))))
+    near = near.select(*one, inside.alias("_in")).select(
+        *one, F.filter("_in", lambda x: x.s >= F.col("start_s")).alias("_post"),
+        F.array_sort(F.transform(F.filter("_in", lambda x: x.s < F.col("start_s")), lambda x: x.v.cast("double"))).alias("_pre"),
+    )
+    n = F.size("_pre")
+    low, high = F.get("_pre", F.floor((n - 1) / 2).cast("int")), F.get("_pre", F.floor(n / 2).cast("int"))
+    stats = near.select(*one, F.when(low == high, low).otherwise(0.5 * low + 0.5 * high).alias("baseline"), "_post")
+    far = ev.where("_long")
+    if not far.isEmpty():
+        rows = interval_join(known, far.select(*one, "_from", F.explode("_tos").alias("_to")), keys, "sec", "_from", "_to", 60.0)
+        pre, post = F.col("sec") < F.col("start_s"), F.col("sec") >= F.col("start_s")
+        after = F.collect_list(F.when(post, cell))  # one event's window
+        stats = stats.unionByName(rows.groupBy(*one).agg(F.median(F.when(pre, F.col("value"))).alias("baseline"), after.alias("_post")))
     stats = stats.where(F.col("baseline").isNotNull() & (F.size("_post") > 0)).withColumn("_nadir", F.array_min("_post").getField("s"))
     back = F.filter("_post", lambda x: (x.s >= F.col("_nadir")) & (x.v >= F.col("baseline") - tol))
     return stats.select(
