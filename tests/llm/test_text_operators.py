@@ -351,6 +351,49 @@ def test_near_copies_by_likeness(spark, odd, empty, monkeypatch):
     assert sorted(i for i in ids if i is not None) == [1, 2, 5, 6, 7] and ids.count(None) == 2 and copies.keep_one(empty).collect() == []
 
 
+def test_pair_rows_stay_in_proportion(spark, monkeypatch):
+    """Texts that share buckets and lie under 0.8 of each other: as many pairs as members times bands at most, and brute force's components."""
+    from hypnolake.llm import copies
+
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for c in range(150):
+        edited = list(base)
+        for at in rng.choice(400, 10, replace=False):
+            edited[at] = f"x{c}y{at}"
+        rows.append((c, " ".join(edited), "en", "a", 0))
+    rows += [(200, rows[7][1] + " more", "en", "a", 0), (201, rows[7][1] + " more words", "en", "a", 0)]
+    sets = {r[0]: copies.shingles(r[1]) for r in rows}
+    label = {k: min(j for j in sets if copies.likeness(sets[k], sets[j]) >= 0.8) for k in sets}
+    while label != (low := {k: min(label[j] for j in sets if copies.likeness(sets[k], sets[j]) >= 0.8) for k in sets}):
+        label = low
+    assert len(set(label.values())) > 100
+    seen, checked = [], copies._checked
+    monkeypatch.setattr(copies, "_checked", lambda pairs, docs: (seen.append(pairs.count()), checked(pairs, docs))[1])
+    docs = spark.createDataFrame(rows, DOCS)
+    for bucket in (64, 512):
+        monkeypatch.setattr(copies, "BUCKET", bucket)
+        seen.clear()
+        assert {r.doc_id: r.component_id for r in copies.near_copies(docs).collect()} == label
+        assert sum(seen) <= len(rows) * copies.BANDS
+
+
+def test_near_duplicates_stage_runs_simhash(spark, monkeypatch):
+    """The stage asks the SimHash operator; of its classes those stay whose texts are alike."""
+    import corpus_pipeline as pipe
+    from hypnolake.llm import copies, simhash
+
+    rows = [(1, "a b c d e f g h i j k l", "en", "a", 0), (2, "a b c d e f g h i j k l m", "en", "a", 0), (3, "n o p q r s t u", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    asked = []
+    found = spark.createDataFrame([(1, 0, 1), (2, 0, 1), (3, 0, 1)], "doc_id long, fp long, component_id long")
+    monkeypatch.setattr(simhash, "near_duplicates", lambda d: asked.append(1) or found)
+    monkeypatch.setattr(copies, "_proposed", lambda rows: rows.select("u", rows.u.alias("v")).limit(0))
+    monkeypatch.setattr(copies, "_open", lambda rows, label: rows.selectExpr("key", "band", "u", "u AS comp").limit(0))
+    assert sorted(r.doc_id for r in pipe.distinct(spark, docs, SF).collect()) == [1, 3] and asked
+
+
 # licences
 
 
