@@ -5,7 +5,7 @@ code of the training tokens, and every bit is predicted in three hashed contexts
 predicts the log odds of the counts that the training texts left in its slot; from the second on it is taken as a change to the one
 before, shrunk where the slot is thin. A mixer adds them with weights chosen by the depth in the code (the gate), and a second stage rescales the
 sum by how sure it is. Both learn online, block by block, inside the text that is scored, so a score never depends on
-other texts of its task. A rarer word adds its share of the counts of all rarer words, unseen ones being one more word. The total of -log2 p over
+other texts of its task. Texts are scored side by side, each with its own weights: a step takes one block of every text of a group. A rarer word adds its share of the counts of all rarer words, unseen ones being one more word. The total of -log2 p over
 the bytes of the text is its bits per byte.
 
 Training gathers the count of every distinct word, combined before the shuffle, and the counts of the hashed contexts, summed from dense
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +43,11 @@ GATES = 8
 CONFIDENCE = 10
 BLOCK = 1024  # bits between two updates
 RATE, RATE_SCALE = 0.3, 0.02
-SEGMENT = 32_768  # tokens expanded to bits at once
-FLUSH_BYTES = 2_000_000
+SEGMENT = 32_768  # tokens of one text expanded to bits at once
+GROUP = 65_536  # tokens of texts that are scored together
+SPELLED = 8192  # tokens spelled at once
+ABREAST = 16  # texts scored side by side
+CHUNK_BYTES = 4_000_000  # of texts that are split at once
 COUNTED = 400_000  # distinct words held while counting
 END = b""  # the end as a token
 _ROW = 1 << 12
@@ -53,6 +57,27 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Successive rows (id, text) of about ``CHUNK_BYTES`` together."""
+    upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(upto):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The ``tokens`` of all texts in a row, and the number of each text's."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, n = lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at a text's ends leaves empty words
+    if not full.all():
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[full], minlength=len(n))
+        words = words.filter(pa.array(full))
+    return words, n
+
+
 def held_out(doc_id) -> bool:
     """Whether a document is kept out of training; a null id counts as the empty string."""
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 1
@@ -86,7 +111,6 @@ class Speller:
     """Tokens to bits with their context slots. Symbols: the frequent words, RARE, the end; START stands before a text."""
 
     def __init__(self, frequent: list[tuple[bytes, int]], n_rare: int, n_end: int, table_bits: int):
-        self.symbol = {w: i for i, (w, _) in enumerate(frequent)}
         self.rare, self.end, self.start = len(frequent), len(frequent) + 1, len(frequent) + 2
         first, length, node, bit = huffman([c for _, c in frequent] + [n_rare, n_end])
         self.first, self.length, self.node, self.bit = first.astype(np.int32), length.astype(np.int32), node.astype(np.int32), bit.astype(np.int8)
@@ -94,23 +118,34 @@ class Speller:
         self.slots = 1 << table_bits
         self.size = self.rare + 1 + (CONTEXTS - 1) * self.slots  # the first context has a slot per inner node
 
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        """START twice, the words and the end."""
-        get, rare = self.symbol.get, self.rare
-        return np.array([self.start, self.start, *[get(w, rare) for w in words], self.end], np.int32)
-
-    def spell(self, symbol: np.ndarray, before: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(slots [CONTEXTS, bits], bit, gate) of ``symbol``, with the two symbols ``before`` it."""
-        last = np.concatenate([[before[1]], symbol[:-1]]).astype(np.uint64) + np.uint64(1)
-        last2 = np.concatenate([[before[0], before[1]], symbol[:-2]])[: len(symbol)].astype(np.uint64) + np.uint64(1)
+    def symbols(self, places: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts in a row the symbols, each text's end after its ``n`` words, and the last but one and the last symbol before each.
+
+        ``places`` are those of the words among the frequent ones, negative or beyond for all others.
+        """
+        ends = np.cumsum(n + 1)
+        out = np.full(int(ends[-1]) if len(ends) else 0, self.end, np.int32)
+        word = np.ones(len(out), bool)
+        word[ends - 1] = False
+        out[word] = np.where((places >= 0) & (places < self.rare), places, self.rare)
+        last, last2 = np.roll(out, 1), np.roll(out, 2)
+        starts = ends - n - 1
+        last[starts] = last2[starts] = self.start
+        last2[starts[n > 0] + 1] = self.start
+        return out, last2, last
+
+    def spell(self, symbol: np.ndarray, before: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slots [CONTEXTS, bits], bit, gate) of ``symbol``; ``before`` has the last but one and the last symbol before each."""
+        last2, last = (np.broadcast_to(np.asarray(b).astype(np.uint64) + np.uint64(1), symbol.shape) for b in before)
         n = self.length[symbol]
         ends = np.cumsum(n, dtype=np.int32)
-        depth = np.arange(int(ends[-1]), dtype=np.int32) - np.repeat(ends - n, n)
-        step = depth + np.repeat(self.first[symbol], n)
-        node = self.node[step]
+        at = np.arange(int(ends[-1]), dtype=np.int32)
+        step = at + np.repeat(self.first[symbol] - (ends - n), n)
+        node = self.node.take(step, mode="clip")
         slots = np.empty((CONTEXTS, len(step)), np.int32)
         slots[0] = node
-        at_node = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        at_node = node.astype(np.uint64)
+        at_node *= np.uint64(0x9E3779B97F4A7C15)
         for k, context in enumerate((last, last * np.uint64(0xC2B2AE3D27D4EB4F) + last2), 1):
             mixed = np.repeat(context * np.uint64(0x165667B19E3779F9), n)
             mixed ^= at_node
@@ -118,9 +153,10 @@ class Speller:
             mixed ^= mixed >> np.uint64(32)
             mixed *= np.uint64(0x9FB21C651E98DF25)
             mixed >>= self.shift
+            mixed += np.uint64(self.rare + 1 + (k - 1) * self.slots)
             slots[k] = mixed
-            slots[k] += self.rare + 1 + (k - 1) * self.slots
-        return slots, self.bit[step], np.minimum(depth, GATES - 1)
+        at -= np.repeat(ends - n, n)
+        return slots, self.bit.take(step, mode="clip"), np.minimum(at, GATES - 1, out=at)
 
 
 def log_odds(n0: np.ndarray, n1: np.ndarray, thin: float) -> np.ndarray:
@@ -134,37 +170,62 @@ def inputs(odds: np.ndarray, slots: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """Mixer inputs [CONTEXTS, bits], signed towards the true bit: the first context's odds, then each next one's change to it."""
     sign = (2 * bit - 1).astype(np.float32)
     x = np.empty(slots.shape, np.float32)
-    below = odds[slots[0]].real
-    np.multiply(below, sign, out=x[0])
+    np.multiply(odds.take(slots[0], mode="clip").real, sign, out=x[0])
+    below = x[0].copy()
     for k in range(1, CONTEXTS):
-        found = odds[slots[k]]
-        change = found.real - found.imag * below
-        np.multiply(change, sign, out=x[k])
-        below = below + change
+        found = odds.take(slots[k], mode="clip")
+        np.multiply(found.real, sign, out=x[k])
+        x[k] -= found.imag * below
+        below += x[k]
     return x
 
 
 def mix(x: np.ndarray, gate: np.ndarray, weights: np.ndarray, scale: np.ndarray) -> float:
-    """-ln p of bits with inputs ``x``; ``weights`` [CONTEXTS, GATES] and ``scale`` learn on the way."""
-    loss = 0.0
-    for s in range(0, x.shape[1], BLOCK):
-        xb, g = x[:, s : s + BLOCK], gate[s : s + BLOCK]
-        w = weights.astype(np.float32)
-        z = xb[0] * w[0][g]
-        for k in range(1, CONTEXTS):
-            z += xb[k] * w[k][g]
-        sure = np.minimum(np.abs(z), CONFIDENCE - 1).astype(np.int8)
-        e = scale.astype(np.float32)[sure]
-        e *= z
-        np.clip(e, -30, 30, out=e)
-        np.negative(e, out=e)
-        np.exp(e, out=e)
-        loss += float(np.log1p(e).sum(dtype=np.float64))
-        miss = e / (1 + e)
-        n = RATE / (np.bincount(g, minlength=GATES) + 32.0)
-        for k in range(CONTEXTS):
-            weights[k] += n * np.bincount(g, weights=miss * xb[k], minlength=GATES)
-        scale += RATE_SCALE / (np.bincount(sure, minlength=CONFIDENCE) + 32.0) * np.bincount(sure, weights=miss * z, minlength=CONFIDENCE)
+    """-ln p of a text's bits with inputs ``x``; ``weights`` [CONTEXTS, GATES] and ``scale`` learn on the way."""
+    return float(mix_texts(x, gate, np.array([x.shape[1]]), weights[None], scale[None])[0])
+
+
+def mix_texts(x: np.ndarray, gate: np.ndarray, sizes: np.ndarray, weights: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """-ln p of each of some texts, whose bits follow each other; text by text ``weights`` and ``scale`` learn on the way."""
+    loss = np.zeros(len(sizes))
+    begin = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    for i in range(0, len(order), ABREAST):  # of about one size
+        some = order[i : i + ABREAST]
+        for at in range(0, int(sizes[some[0]]), BLOCK):
+            live = some[sizes[some] > at]
+            loss[live] += _step(x, gate, begin[live] + at, np.minimum(sizes[live] - at, BLOCK), live, weights, scale)
+    return loss
+
+
+def _step(x: np.ndarray, gate: np.ndarray, begin: np.ndarray, n: np.ndarray, live: np.ndarray, weights: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """-ln p of a block of each of the texts ``live``, after which their weights and scales are updated."""
+    spans = [slice(b, b + k) for b, k in zip(begin.tolist(), n.tolist())]
+    xb, g = np.concatenate([x[:, s] for s in spans], axis=1), np.concatenate([gate[s] for s in spans])
+    text = np.repeat(np.arange(len(live)), n)
+    g = text * GATES + g
+    w = weights[live].astype(np.float32)
+    z = xb[0] * w[:, 0].ravel().take(g, mode="clip")
+    for k in range(1, CONTEXTS):
+        z += xb[k] * w[:, k].ravel().take(g, mode="clip")
+    sure = np.minimum(np.abs(z), CONFIDENCE - 1).astype(np.int64)
+    text *= CONFIDENCE
+    sure += text
+    e = scale[live].astype(np.float32).ravel().take(sure, mode="clip")
+    e *= z
+    np.clip(e, -30, 30, out=e)
+    np.negative(e, out=e)
+    np.exp(e, out=e)
+    more = 1 + e
+    miss = e / more
+    loss = np.add.reduceat(np.log(more), np.cumsum(n) - n, dtype=np.float64)
+    cells = len(live) * GATES
+    rate = RATE / (np.bincount(g, minlength=cells) + 32.0)
+    for k in range(CONTEXTS):
+        weights[live, k] += (rate * np.bincount(g, weights=miss * xb[k], minlength=cells)).reshape(-1, GATES)
+    cells = len(live) * CONFIDENCE
+    rate = RATE_SCALE / (np.bincount(sure, minlength=cells) + 32.0)
+    scale[live] += (rate * np.bincount(sure, weights=miss * z, minlength=cells)).reshape(-1, CONFIDENCE)
     return loss
 
 
@@ -195,24 +256,30 @@ def _tables(docs: DataFrame, model) -> np.ndarray:
     """``log_odds`` of all slots. A task counts its training rows in dense tables and passes them on in rows of 2**12 slots, summed by row."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = model.value
-        n = np.zeros((2, -(-speller.size // _ROW) * _ROW))
-
+        speller, words = model.value
+        places = pa.array(words, pa.binary())
+        rows = -(-speller.size // _ROW)
+        n = np.zeros(2 * rows * _ROW, np.int64)  # slot by slot both bits
+        ones = np.zeros(speller.end + 1, np.int64)  # the first context has no more than the counts of the symbols
         for batch in batches:
-            held, size = [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if held_out(doc):
-                    continue
-                symbols = speller.symbols(tokens(text.as_py()))
-                for s in range(2, len(symbols), SEGMENT):  # the start is never coded, only a context
-                    slots, bit, _ = speller.spell(symbols[s : s + SEGMENT], (symbols[s - 2], symbols[s - 1]))
-                    held.append((slots + bit.astype(np.int32) * np.int32(n.shape[1])).ravel())
-                    size += len(bit)
-                if size > 1_000_000:
-                    _count(n, held)
-                    held, size = [], 0
-            _count(n, held)
-        cells = n.reshape(2, -1, _ROW).astype(np.int32)
+            keep = [not held_out(doc) for doc in batch.column(0).to_pylist()]
+            for some in chunks(batch.filter(pa.array(keep, pa.bool_()))):
+                found, size = split(some.column(1))
+                symbol, last2, last = speller.symbols(_places(found, places), size)
+                ones += np.bincount(symbol, minlength=len(ones))
+                for s in range(0, len(symbol), SPELLED):
+                    part = slice(s, s + SPELLED)
+                    slots, bit, _ = speller.spell(symbol[part], (last2[part], last[part]))
+                    for k in range(1, CONTEXTS):
+                        cell = 2 * slots[k].astype(np.int64)
+                        cell += bit
+                        np.add.at(n, cell, 1)
+        used = np.flatnonzero(ones)
+        for s in range(0, len(used), SPELLED):
+            part = used[s : s + SPELLED]
+            slots, bit, _ = speller.spell(part, (0, 0))
+            np.add.at(n, 2 * slots[0].astype(np.int64) + bit, np.repeat(ones[part], speller.length[part]))
+        cells = n.reshape(rows, _ROW, 2).transpose(2, 0, 1).astype(np.int32)
         for s in range(0, cells.shape[1], 64):
             at = np.flatnonzero(cells[:, s : s + 64].any(axis=(0, 2))) + s
             if len(at):
@@ -235,7 +302,7 @@ def _tables(docs: DataFrame, model) -> np.ndarray:
         if current is not None:
             yield done()
 
-    speller = model.value
+    speller, _ = model.value
     parts = docs.mapInArrow(add, "row long, n0 binary, n1 binary")
     summed = parts.repartition("row").sortWithinPartitions("row").mapInArrow(total, "row long, n0 binary, n1 binary")
     n = np.zeros((2, -(-speller.size // _ROW) * _ROW), np.float32)
@@ -246,10 +313,42 @@ def _tables(docs: DataFrame, model) -> np.ndarray:
     return np.concatenate([log_odds(n[0, a:b], n[1, a:b], thin) for a, b, thin in zip(edges, edges[1:], THIN)])
 
 
-def _count(n: np.ndarray, held: list[np.ndarray]) -> None:
+def _places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """The place of each word ``among`` others, -1 where it is none of them."""
+    return pc.index_in(words, value_set=among).fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _groups(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Spans of successive texts of about ``GROUP`` tokens together; a longer one than SEGMENT stays alone."""
+    at = held = before = 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and (held + n > GROUP or max(before, n) > SEGMENT):
+            yield at, i
+            at, held = i, 0
+        held += n
+        before = n
     if held:
-        flat = n.reshape(-1)
-        flat += np.bincount(np.concatenate(held), minlength=len(flat))
+        yield at, len(sizes)
+
+
+def _nats(speller: Speller, odds: np.ndarray, symbol: np.ndarray, before: tuple[np.ndarray, np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """-ln p of each of some texts, whose ``sizes`` symbols follow each other. Longer texts than SEGMENT go piece by piece."""
+    loss = np.zeros(len(sizes))
+    starts = np.cumsum(sizes) - sizes
+    for a, b in _groups(sizes):
+        weights, scale = np.ones((b - a, CONTEXTS, GATES)), np.ones((b - a, CONFIDENCE))
+        end = int(starts[a] + sizes[a:b].sum())
+        for s in range(int(starts[a]), end, SEGMENT if b - a == 1 else GROUP):
+            stop = min(s + SEGMENT, end) if b - a == 1 else end
+            gates, found = [], []
+            for at in range(s, stop, SPELLED):
+                part = slice(at, min(at + SPELLED, stop))
+                slots, bit, gate = speller.spell(symbol[part], (before[0][part], before[1][part]))
+                gates.append(gate)
+                found.append(inputs(odds, slots, bit))
+            bits = np.add.reduceat(speller.length[symbol[s:stop]], np.maximum(starts[a:b] - s, 0), dtype=np.int64)
+            loss[a:b] += mix_texts(np.concatenate(found, axis=1), np.concatenate(gates), bits, weights, scale)
+    return loss
 
 
 SCORED = (
@@ -261,47 +360,32 @@ def _score_texts(docs: DataFrame, model, learned) -> DataFrame:
     """Per row -ln p of its symbols, and sums over the words whose counts are known; others as (hash, n) for the join. ``model`` and ``learned`` are broadcasts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = model.value
-        odds, known, end_log = learned.value
+        speller, words = model.value
+        odds, logs_of, end_log = learned.value  # the logs of the frequent words by place
+        places = pa.array(words, pa.binary())
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         names = ["doc_id", "held_out", "n_tokens", "n_bytes", "known", "logs", "nats", "in_rare", "rare_logs", "rare", "rare_n"]
-        out: list[tuple] = []
-        held = 0
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = tokens(text.as_py())
-                symbols = speller.symbols(words)
-                weights, scale, nats = np.ones((CONTEXTS, GATES)), np.ones(CONFIDENCE), 0.0
-                for s in range(2, len(symbols), SEGMENT):
-                    slots, bit, gate = speller.spell(symbols[s : s + SEGMENT], (symbols[s - 2], symbols[s - 1]))
-                    nats += mix(inputs(odds, slots, bit), gate, weights, scale)
-                coded, other = 1, Counter()
-                logs = end_log
-                in_rare, rare_logs = 0, 0.0
-                for w, n in Counter(words).items():
-                    log = known.get(w)
-                    if log is None:
-                        other[w] = n
-                        continue
-                    logs += n * log
-                    coded += n
-                    if w not in speller.symbol:
-                        in_rare += n
-                        rare_logs += n * log
-                hashes = [h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh64_intdigest(w, 42) for w in other)]
-                size = sum(map(len, words)) + len(words) + 1
-                seen = coded - (end_log < 0)
-                out.append((doc, held_out(doc), len(words) + 1, size, seen, logs, nats, in_rare, rare_logs, hashes, [*other.values()]))
-                held += size
-                if held >= FLUSH_BYTES:
-                    yield flush()
-                    out, held = [], 0
-        if out:
-            yield flush()
+            for some in chunks(batch):
+                docs_, (found, n) = some.column(0).to_pylist(), split(some.column(1))
+                at = _places(found, places)
+                symbol, last2, last = speller.symbols(at, n)
+                nats = _nats(speller, odds, symbol, (last2, last), n + 1)
+                text = np.repeat(np.arange(len(n)), n)
+                log, seen, rare = np.where(at >= 0, logs_of.take(at, mode="clip"), 0.0) if len(logs_of) else np.zeros(len(at)), at >= 0, at >= speller.rare
+                of = lambda w=None: np.bincount(text, w, len(n))  # noqa: B023, E731
+                size = of(pc.binary_length(found).to_numpy(zero_copy_only=False)).astype(np.int64) + n + 1
+                known, in_rare = of(seen).astype(np.int64) + (not end_log < 0), of(rare).astype(np.int64)
+                others: list[Counter] = [Counter() for _ in docs_]
+                other = np.flatnonzero(~seen)
+                for i, w in zip(text[other].tolist(), found.take(pa.array(other)).to_pylist()):
+                    others[i][w] += 1
+                hashes = [[h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh64_intdigest(w, 42) for w in o)] for o in others]
+                out = (
+                    docs_, [held_out(d) for d in docs_], n + 1, size, known, end_log + of(log), nats, in_rare, of(log * rare), hashes, [[*o.values()] for o in others],
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
     return docs.mapInArrow(run, SCORED)
 
@@ -339,9 +423,10 @@ def score(docs: DataFrame, table_bits: int = TABLE_BITS, most_frequent: int = FR
     spelled = top[:coded]
     n_rare = total - ends - sum(c for _, c in spelled)
     v_rare = distinct - (ends > 0) - len(spelled)
-    model = spark.sparkContext.broadcast(Speller(spelled, n_rare, ends, table_bits))
+    words = [w for w, _ in top]  # the first of them are spelled
+    model = spark.sparkContext.broadcast((Speller(spelled, n_rare, ends, table_bits), words))
     odds = _tables(texts, model)
-    learned = spark.sparkContext.broadcast((odds, {w: math.log10(c + 0.5) for w, c in top}, math.log10(ends + 0.5)))
+    learned = spark.sparkContext.broadcast((odds, np.log10(np.array([c for _, c in top], np.float64) + 0.5), math.log10(ends + 0.5)))
     rows = cut_lineage(_score_texts(texts, model, learned).withColumn("row", F.monotonically_increasing_id()))
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("r")).select("row", F.col("r.rare").alias("h"), F.col("r.rare_n").alias("n"))
     known = rare.join(counts.select(F.xxhash64("word").alias("h"), "c"), "h", "left")

@@ -147,6 +147,43 @@ def test_mixing_segments_do_not_matter(spark, odd, empty, monkeypatch):
     assert mixing.score(empty, table_bits=12).collect() == []
 
 
+def test_mixer_takes_texts_side_by_side():
+    """Texts of a group get what each gets alone, block by block."""
+    from hypnolake.llm.mixing import BLOCK, CONFIDENCE, CONTEXTS, GATES, mix, mix_texts
+
+    rng = np.random.default_rng(4)
+    sizes = np.array([5, 3 * BLOCK, 1, BLOCK + 7, *rng.integers(1, 4000, 40)])
+    x = rng.normal(0.5, 2, (CONTEXTS, sizes.sum())).astype(np.float32)
+    gate = rng.integers(0, GATES, sizes.sum())
+    weights, scale = np.ones((len(sizes), CONTEXTS, GATES)), np.ones((len(sizes), CONFIDENCE))
+    got = mix_texts(x, gate, sizes, weights, scale)
+    for i, (end, n) in enumerate(zip(np.cumsum(sizes), sizes)):
+        part = slice(end - n, end)
+        w, s = np.ones((CONTEXTS, GATES)), np.ones(CONFIDENCE)
+        assert got[i] == pytest.approx(mix(x[:, part], gate[part], w, s), rel=1e-9)
+        assert weights[i] == pytest.approx(w) and scale[i] == pytest.approx(s)
+
+
+def test_mixing_splits_texts_as_tokens_does():
+    import pyarrow as pa
+
+    from hypnolake.llm.mixing import split, tokens
+
+    texts = ["", " ", "  A\x0bb\x1cC c\x85d\xa0E\u0130 ", "x", "\n", "\r\ny\tZ\x0c", "a  b"]
+    words, n = split(pa.array(texts))
+    assert words.to_pylist() == [w for t in texts for w in tokens(t)] and n.tolist() == [len(tokens(t)) for t in texts]
+
+
+def test_mixing_groups_and_segments(monkeypatch):
+    """A text longer than a segment stays alone; every text lies in one group."""
+    from hypnolake.llm import mixing
+
+    monkeypatch.setattr(mixing, "SEGMENT", 10)
+    monkeypatch.setattr(mixing, "GROUP", 15)
+    got = list(mixing._groups(np.array([3, 4, 12, 5, 10, 30, 1, 1, 1])))
+    assert got == [(0, 2), (2, 3), (3, 5), (5, 6), (6, 9)]
+
+
 def test_huffman_is_prefix_free():
     from hypnolake.llm.mixing import huffman
 
