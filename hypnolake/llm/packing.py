@@ -50,8 +50,8 @@ def _stable(word: str) -> bool:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str):
-    """texts -> little-endian ids. Whitespace always parts words here, so a word's ids are kept by the word.
+def _encoder(path: str, memo_words: int | None = None):
+    """texts -> little-endian ids. Whitespace always parts words here, so a word's ids are kept by the word, about ``memo_words`` of them.
 
     New words are cut into the units that the tokenizer's own pattern gives. A unit of letters ends with one end-of-word token, so new ones are
     encoded many at a time and cut there.
@@ -86,9 +86,10 @@ def _encoder(path: str):
         units.update((w, raw[i:j]) for w, i, j in zip(letters, [0, *stop], stop))
 
     def encode(texts: list[str]) -> Iterator[bytes]:
-        if len(memo) > MEMO_WORDS:
+        limit = MEMO_WORDS if memo_words is None else memo_words
+        if len(memo) > limit:
             memo.clear()
-        if len(units) > MEMO_WORDS:
+        if len(units) > limit:
             units.clear()
         split = []
         for text in texts:
@@ -115,10 +116,10 @@ def _encoder(path: str):
     return encode
 
 
-def _runs(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
-    """Successive texts of about ``chars`` characters together."""
+def _runs(texts: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Successive texts of about ``chars`` characters together; no others are made Python's."""
     held, size = [], 0
-    for t in texts:
+    for t in map(pa.StringScalar.as_py, texts):
         held.append(t)
         size += len(t)
         if size >= chars:
@@ -239,17 +240,19 @@ class Packer:
             self._put(pieces)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, pool: int = POOL, end_id: int = EOD) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, pool: int = POOL, end_id: int = EOD, memo_words: int | None = None) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
     Null or empty text is the end id alone; a null doc_id stays null; equal rows are packed each for itself; a text of any
     length is cut at the window; an empty table gives no rows. Other columns are not read. Sequences are full windows or
-    powers of two, their ids unique over the result: the task's partition times 2**33 plus its own count.
+    powers of two, their ids unique over the result: the task's partition times 2**33 plus its own count. Fewer ``memo_words`` take less
+    memory and more time, the pieces are the same.
     """
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer_path)
+        pa.default_memory_pool().release_unused()  # what other stages left in the worker
+        encode = _encoder(tokenizer_path, memo_words)
         base = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         held = 0
@@ -267,7 +270,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, pool: int =
 
         packer = Packer(window, pool, emit)
         for batch in batches:
-            encoded = (ids for some in _runs(batch.column(1).to_pylist()) for ids in encode(some))
+            encoded = (ids for some in _runs(batch.column(1)) for ids in encode(some))
             for doc, ids in zip(batch.column(0).to_pylist(), encoded):
                 packer.add(doc, ids + end)
                 if held >= FLUSH_IDS:

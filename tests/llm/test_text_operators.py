@@ -120,6 +120,22 @@ def test_packing_whole_table(spark, library, path):
     check_pieces(pack(docs, path, pool=16).collect(), [(r.doc_id, r.text) for r in docs.collect()], library)
 
 
+def test_packing_holds_as_many_words_as_asked(spark, library, path):
+    """Fewer words held, the same pieces."""
+    from hypnolake.llm.packing import _encoder, pack
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    check_pieces(pack(docs.coalesce(1), path, memo_words=50).collect(), rows, library)
+    encode, most = _encoder(path, 50), 0
+    for _, text in rows:
+        words = set(text.split())
+        list(encode([text]))
+        held = [c.cell_contents for c in encode.__closure__ if isinstance(c.cell_contents, dict)]
+        most = max(most, max(map(len, held)) - 50 - sum(map(len, words)))
+    assert most <= 0 and len(set(" ".join(t for _, t in rows).split())) > 500
+
+
 def test_packing_empty(empty, path):
     from hypnolake.llm.packing import pack
 
