@@ -216,9 +216,8 @@ def _step(x: np.ndarray, gate: np.ndarray, begin: np.ndarray, n: np.ndarray, liv
     np.clip(e, -30, 30, out=e)
     np.negative(e, out=e)
     np.exp(e, out=e)
-    more = 1 + e
-    miss = e / more
-    loss = np.add.reduceat(np.log(more), np.cumsum(n) - n, dtype=np.float64)
+    loss = np.add.reduceat(np.log1p(e), np.cumsum(n) - n, dtype=np.float64)
+    miss = e / (1 + e)
     cells = len(live) * GATES
     rate = RATE / (np.bincount(g, minlength=cells) + 32.0)
     for k in range(CONTEXTS):
