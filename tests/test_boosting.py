@@ -247,3 +247,24 @@ def test_leaf_masks_equal_routes():
         want = t.value[t.route(x)]
         u, v = boosting.unpack(boosting.pack([t, t]))
         assert (boosting._leaf_values(t, x.astype("int64")) == want).all() and (u.value[v.route(x)] == want).all()
+
+
+def test_rows_follow_splits_alone(monkeypatch):
+    """A task's model never sends all rows through a tree again: a split reads its own node's rows. Sums and scores are those of routed rows."""
+    rng = np.random.default_rng(8)
+    x, y = np.asfortranarray(rng.integers(0, 256, (4, 3000)).astype("u1")), rng.integers(0, 2, 3000).astype("f8")
+    w, s = rng.random(3000) + 0.5, boosting.Settings(rounds=3, rate=0.3, min_rows=5)
+    held = tuple(a[..., 2500:] for a in (x, y, w))
+    route, routed = boosting.Tree.route, []
+    monkeypatch.setattr(boosting.Tree, "route", lambda t, v, start=None: routed.append(v.shape[1]) or route(t, v, start))
+    here = boosting._Here(tuple(a[..., :2500] for a in (x, y, w)), held)
+    base, tot = here.begin()
+    trees = boosting._boost(here, tot, 4, s)[0]
+    assert len(trees) == 3 and max(len(t.feature) for t in trees) == 61 and sum(routed) == 0
+    for role, at in ((1, slice(2500)), (2, slice(2500, None))):
+        assert np.allclose(here.raw[role], base[0] + sum(t.value[route(t, x[:, at])] for t in trees), atol=1e-12)
+    last = boosting._gradients(base[0] + sum(t.value[route(t, x[:, :2500])] for t in trees[:2]), y[:2500], w[:2500])
+    end = route(trees[2], x[:, :2500])
+    for k in np.unique(end):
+        g, h = (v[end == k].sum() / 2.0**26 for v in last)
+        assert trees[2].value[k] == pytest.approx(-s.rate * g / (h + s.l2), abs=1e-6)
