@@ -98,15 +98,15 @@ def features_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six whole-text counts per document beside the cohort columns."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     n = F.length("text")
-    without = lambda pattern: F.length(F.regexp_replace("text", pattern, ""))
-    words = F.size(F.split("text", " ")).cast("double")
+    count = lambda c: n - F.length(F.replace("text", F.lit(c), F.lit("")))
+    words = (count(" ") + 1).cast("double")
     feats = docs.select(
         F.col("doc_id").alias("rec"),
         n.cast("double").alias("chars"),
         words.alias("words"),
-        (n - without("\n") + 1).cast("double").alias("lines"),
-        (n - without("[0-9]")).cast("double").alias("digits"),
-        (n - without(",")).cast("double").alias("commas"),
+        (count("\n") + 1).cast("double").alias("lines"),
+        F.length(F.regexp_replace("text", "[^0-9]+", "")).cast("double").alias("digits"),
+        count(",").cast("double").alias("commas"),
         (n / words).alias("mean_word"),
     )
     # whole texts are read once; every later pass works on the narrow feature table
