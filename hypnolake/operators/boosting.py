@@ -446,9 +446,12 @@ def matrix(column: pd.Series, width: int) -> np.ndarray:
 
 
 def dealt(df: DataFrame, by: Column | None = None) -> DataFrame:
-    """``df`` over all cores, whatever the files it is read from, and in each part the rows of one model together."""
-    out = df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
-    return out if by is None else out.sortWithinPartitions(by)
+    """``df`` over all cores, whatever the files it is read from. Parts are ranges of the models, so that few tasks read a model; one of many rows has several."""
+    n = 2 * df.sparkSession.sparkContext.defaultParallelism
+    if by is None:
+        return df.repartition(n)
+    placed = df.withColumn("_place", F.rand(42))
+    return placed.repartitionByRange(n, by, F.col("_place")).sortWithinPartitions(by).drop("_place")
 
 
 def raw_score(model: Boosted, which: Column) -> Column:

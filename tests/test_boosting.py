@@ -268,3 +268,14 @@ def test_rows_follow_splits_alone(monkeypatch):
     for k in np.unique(end):
         g, h = (v[end == k].sum() / 2.0**26 for v in last)
         assert trees[2].value[k] == pytest.approx(-s.rate * g / (h + s.l2), abs=1e-6)
+
+
+def test_rows_are_dealt_by_ranges_of_models(spark):
+    """Few parts read a model, a single model's rows still go to all parts, and rows without a model or twice the same stay."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    each = spark.range(12_000).select((F.col("id") % 60).alias("v"), F.when(F.col("id") % 41 > 0, F.col("id") % 40).alias("m"))
+    for df, most in ((each, 41 + n), (each.withColumn("m", F.lit("all")), n)):
+        got = boosting.dealt(df, F.col("m"))
+        assert got.columns == ["v", "m"] and not got.exceptAll(df).count() and not df.exceptAll(got).count()
+        part = got.select("m", F.spark_partition_id().alias("p"))
+        assert part.distinct().count() <= most and n / 2 <= part.select("p").distinct().count() <= n
