@@ -211,7 +211,8 @@ def nth_smallest(keys: DataFrame, n: int, replicates: int, seed: int) -> np.ndar
             for b in _slices(batch, replicates):
                 d = digests(seed, replicates, b.column(0).to_pylist())
                 row, rep = np.nonzero((d[..., 0] >> np.uint64(64 - done)) == prefix) if done else np.nonzero(np.ones(d.shape[:2], bool))
-                yield pa.RecordBatch.from_pydict({"rep": rep.astype("i4"), "d": [x.tobytes() for x in d[row, rep].astype(">u8")]})
+                found = pa.array([x.tobytes() for x in d[row, rep].astype(">u8")], pa.binary())  # a slice may hold none: the type is not inferred
+                yield pa.RecordBatch.from_pydict({"rep": rep.astype("i4"), "d": found})
 
     few = keys.mapInArrow(candidates, "rep int, d binary").groupBy("rep").agg(F.sort_array(F.collect_list("d")).alias("ds"))
     wanted = F.element_at(F.array(*[F.lit(int(x)) for x in rest]), F.col("rep") + 1)

@@ -79,6 +79,18 @@ def test_nth_smallest_by_digits(spark, rows, monkeypatch, few):
             assert f"{got[rep, 0]:016x}{got[rep, 1]:016x}" == sorted(md5(rep, r[0]) for r in rows)[n - 1]
 
 
+def test_nth_smallest_where_batches_hold_no_candidate(spark, rows, monkeypatch):
+    """One task writes batches with candidates and batches without."""
+    monkeypatch.setattr(rp, "CANDIDATES", 2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = rp.nth_smallest(spark.createDataFrame([(r[0],) for r in rows], "k string").coalesce(1), 137, R, SEED)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for rep in range(R):
+        assert f"{got[rep, 0]:016x}{got[rep, 1]:016x}" == sorted(md5(rep, r[0]) for r in rows)[136]
+
+
 def test_permutation_auroc(spark, rows):
     df = spark.createDataFrame(rows, "k string, y int, a double, b double")
     got = {r.rep: r.auroc for r in stats.permutation_auroc(df, "k", "a", "y", R, SEED).collect()}
