@@ -410,6 +410,36 @@ def test_near_duplicates_stage_runs_simhash(spark, monkeypatch):
     assert sorted(r.doc_id for r in pipe.distinct(spark, docs, SF).collect()) == [1, 3] and asked
 
 
+@pytest.mark.parametrize("forests", [True, False])
+@pytest.mark.parametrize("bucket", [512, 2])
+def test_all_members_of_a_class_meet(spark, monkeypatch, forests, bucket):
+    """Two members of a class are alike, share no band of minima, and are both unlike the class's least one."""
+    from hypnolake.llm import copies
+
+    words = [f"k23681w{i}" for i in range(9)]
+    rows = [(1, "p q r s t u v w"), (2, " ".join(words)), (4, " ".join(words[:8])), (3, " ".join(words[:8])), (5, "n o p q r s t")]
+    two = [copies.shingles(t) for t in (rows[1][1], rows[2][1])]
+    assert copies.likeness(*two) == 0.8 and not set(copies.keys(two[0])) & set(copies.keys(two[1]))
+    monkeypatch.setattr(copies, "BUCKET", bucket)
+    if not forests:
+        monkeypatch.setattr(copies, "_proposed", lambda rows: rows.select("u", rows.u.alias("v")).limit(0))
+    found = spark.createDataFrame([(1, 1), (2, 1), (4, 1), (3, 3), (5, 1)], "doc_id long, component_id long")
+    got = {r.doc_id: r.component_id for r in copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), found).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 4: 2, 5: 5}
+
+
+def test_a_pair_is_met_in_a_band_it_shares():
+    """The minima of band 0 differ in one number, whose last byte is the same: the pair has no bucket there and is met in band 1."""
+    from hypnolake.llm import copies
+
+    a = np.random.default_rng(4).integers(1, 2**63, copies.BANDS * copies.ROWS, dtype=np.uint64)
+    b = a.copy()
+    b[2] += np.uint64(256 * 77)
+    assert [x == y for x, y in zip(copies._band_keys(a), copies._band_keys(b))][:2] == [False, True]
+    sketch = np.array([copies._sketch(a), copies._sketch(b)])
+    assert [copies._alike(0, np.array([1]), sketch, band).tolist() for band in (0, 1, 2)] == [[], [1], []]
+
+
 # licences
 
 
